@@ -40,15 +40,20 @@ def entry_hash() -> Column:
     return row_hash(*[F.col(k) for k in KEYS])
 
 
-def latest_stage(transitions: DataFrame, seq: str | None = "event_id") -> DataFrame:
-    """One row per entry: current stage, completion time, first and last transition."""
+def latest_stage(transitions: DataFrame, seq: str | None = "event_id",
+                 carry: tuple[str, ...] = ("rows_read",)) -> DataFrame:
+    """One row per entry: current stage, completion time, first and last transition.
+
+    Columns of `carry` keep their last value that is not NULL. Without a
+    sequence column the stage order breaks ties of `ts`.
+    """
     tie = F.col(seq) if seq else F.coalesce(stage_ordinal(F.col("stage")), F.lit(99))
     at = F.struct(F.col("ts"), tie.alias("tie"))
     return (
         transitions.groupBy(*KEYS)
         .agg(
             F.max_by("stage", at).alias("stage"),
-            F.max_by("rows_read", F.when(F.col("rows_read").isNotNull(), at)).alias("rows_read"),
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in carry],
             F.min("ts").alias("first_ts"),
             F.max("ts").alias("last_ts"),
             F.max(F.when(F.col("stage") == "COMPLETED", F.col("ts"))).alias("date_completed"),
@@ -112,11 +117,12 @@ def find_or_create(transitions: DataFrame, files: DataFrame, now: Column) -> Dat
         *KEYS, now.alias("ts"), F.lit("NEW").alias("stage"), F.lit(None).cast("bigint").alias("rows_read"))
 
 
-def advance(entries: DataFrame, stage: Column, now: Column, rows_read: Column | None = None) -> DataFrame:
+def advance(entries: DataFrame, stage: Column, now: Column, rows_read: Column | None = None,
+            keep: tuple[str, ...] = ()) -> DataFrame:
     """Transition rows that move `entries` to `stage`."""
     count = rows_read if rows_read is not None else F.lit(None).cast("bigint")
     return entries.select(
-        *KEYS, now.alias("ts"), stage.alias("stage"), count.cast("bigint").alias("rows_read"))
+        *KEYS, now.alias("ts"), stage.alias("stage"), count.cast("bigint").alias("rows_read"), *keep)
 
 
 def advance_all(entries: DataFrame, now: Column) -> DataFrame:

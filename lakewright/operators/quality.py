@@ -43,9 +43,12 @@ def expression(sql: str, name: str, columns: Sequence[str] = ()) -> Test:
     return Test(f"expression_{name}", tuple(columns), ~F.coalesce(F.expr(sql), F.lit(True)))
 
 
-def unique(*columns: str) -> Test:
-    """Every row of a key that occurs more than once fails; keys with NULL pass."""
-    return Test("unique_" + "_".join(columns), columns, kind="unique")
+def unique(*columns: str, scope: Sequence[str] = ()) -> Test:
+    """Every row of a key that occurs more than once fails; keys with NULL pass.
+
+    `scope` names columns within whose values the key has to be unique.
+    """
+    return Test("unique_" + "_".join(columns), (*scope, *columns), kind="unique")
 
 
 def relationships(column: str, parent: DataFrame, parent_column: str) -> Test:

@@ -7,43 +7,45 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 SAMPLE = 4096
 RANGES = 256
 
 
-def _bounds(values: DataFrame, column: str, ranges: int) -> list:
+def _bounds(values: DataFrame, ranges: int) -> list:
     """At most `ranges` - 1 cut points from a fixed-size hash sample of the distinct values.
 
     The cut points only balance the work; ranks are exact whatever they are.
     """
-    sample = values.orderBy(F.xxhash64(column), column).limit(SAMPLE).orderBy(column)
+    sample = values.orderBy(F.xxhash64("value"), "value").limit(SAMPLE).orderBy("value")
     picked = [row[0] for row in sample.collect()]
     step = max(1, len(picked) // ranges)
     return picked[step::step][: ranges - 1]
 
 
 def dense_ranks(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
-    """(`column`, `rank` from 0, `n` distinct values), one row per non-NULL value."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    cuts = _bounds(values, column, ranges)
-    if cuts:
-        literal = F.array(*[F.lit(c) for c in cuts])
-        part = F.size(F.filter(literal, lambda c: c <= F.col(column)))
-    else:
-        part = F.lit(0)
+    """(`value`, `rank` from 0, `n` distinct values), one row per non-NULL value of `column`.
+
+    Distinct values are cut into value ranges; a rank is the position inside
+    the range plus the size of the ranges before it.
+    """
+    present = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
+    values = cut_lineage(present.distinct(), "values")
+    cuts = _bounds(values, ranges)
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value"))) if cuts else F.lit(0)
     placed = values.withColumn("_range", part)
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_size"))
     # One row per range, at most `ranges` rows.
-    ordered = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = sizes.select(
-        "_range",
-        F.coalesce(F.sum("_size").over(ordered), F.lit(0)).alias("_before"),
-        F.sum("_size").over(whole).alias("n"),
-    )
-    within = Window.partitionBy("_range").orderBy(column)
-    return placed.join(offsets, "_range").select(
-        column, (F.row_number().over(within) - 1 + F.col("_before")).cast("bigint").alias("rank"), "n")
+    sizes = {row[0]: row[1] for row in placed.groupBy("_range").count().collect()}
+    before, total = [], 0
+    for i in range(len(cuts) + 1):
+        before.append(total)
+        total += sizes.get(i, 0)
+    offset = F.get(F.array(*[F.lit(b).cast("bigint") for b in before]), F.col("_range"))
+    within = Window.partitionBy("_range").orderBy("value")
+    return placed.select(
+        "value", (F.row_number().over(within) - 1 + offset).cast("bigint").alias("rank"),
+        F.lit(total).cast("bigint").alias("n"))
 
 
 def interleave(buckets: Sequence[Column], bits: int) -> Column:
@@ -65,7 +67,7 @@ def z_values(df: DataFrame, columns: Sequence[str], bits: int = 8, out: str = "z
     result = df
     for i, column in enumerate(columns):
         ranks = dense_ranks(df, column).select(
-            F.col(column).alias(f"_v{i}"),
+            F.col("value").alias(f"_v{i}"),
             F.floor(F.col("rank") * (1 << bits) / F.col("n")).cast("bigint").alias(f"_b{i}"))
         result = result.join(ranks, F.col(column) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
     buckets = [F.coalesce(F.col(f"_b{i}"), F.lit(0).cast("bigint")) for i in range(len(columns))]

@@ -2,12 +2,15 @@
 
 All files of a batch move through a stage together. Each step works on the
 entries whose current stage calls for it, does its work, and then appends the
-transition; work is keyed by `_ingest_id`, so a repeated step replaces its own
-output. A run that died continues where the ledger says it was.
+transition, which is the commit. Staged rows lie in one partition per staging
+attempt; the ledger records which attempt counts, so rows of an attempt that
+died are never read. A later run continues where the ledger says the entries
+are, and repeating a step replaces its output.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..constants import ENTRY_KEYS
 from ..operators import ledger, quality
 from ..operators.lists import union_distinct
-from ..session import scratch_path
+from ..operators.ranking import cluster
+from ..session import cut_lineage
 from ..sinks.store import INGEST_ID, TableStore
 from ..sources.landing import HookRegistry
 from .specs import TableSpec
@@ -23,7 +27,9 @@ from .specs import TableSpec
 KEYS = list(ENTRY_KEYS)
 LEDGER = "orchestration/import_file"
 TEST_LOG = "orchestration/test_results"
+APPEND = "_append"
 BATCH = "_batch"
+ROW = "_row"
 
 # Rows of the given entries: entry keys plus the declared columns as text.
 ReadRows = Callable[[DataFrame], DataFrame]
@@ -34,6 +40,10 @@ def ingest_id() -> Column:
     return F.concat(F.lit("e"), ledger.entry_hash().cast("string"))
 
 
+def attempt(name: str) -> str:
+    return f"{name}-{uuid.uuid4().hex[:12]}"
+
+
 class Ledger:
     """The ledger table: appended transitions over a clustered base."""
 
@@ -45,29 +55,27 @@ class Ledger:
         if self.store.version(LEDGER):
             parts.append(self.store.read(LEDGER))
         if self.store.has_appended(LEDGER):
-            parts.append(self.store.read_appended(LEDGER, BATCH).drop(BATCH))
+            parts.append(self.store.read_appended(LEDGER, APPEND).drop(APPEND))
         if len(parts) == 2:
             # A compaction that died half-way leaves rows on both sides.
             return union_distinct(*parts)
         return parts[0] if parts else None
 
     def entries(self) -> DataFrame:
-        return ledger.latest_stage(self.transitions(), seq=None)
+        return ledger.latest_stage(self.transitions(), seq=None, carry=("rows_read", BATCH))
 
-    def append(self, rows: DataFrame, batch: str) -> None:
-        self.store.append(LEDGER, rows.select(*ledger.LOG_COLUMNS).withColumn(BATCH, F.lit(batch)), BATCH)
+    def append(self, rows: DataFrame, name: str) -> None:
+        marked = rows if BATCH in rows.columns else rows.withColumn(BATCH, F.lit(None).cast("string"))
+        self.store.append(
+            LEDGER, marked.select(*ledger.LOG_COLUMNS, BATCH, F.lit(attempt(name)).alias(APPEND)), APPEND, gather=False)
 
     def compact(self, target_files: int = 8) -> None:
         """Fold appended transitions into the base, clustered by source and table."""
-        from ..operators.ranking import cluster
-
         if not self.store.has_appended(LEDGER):
             return
-        folded = self.store.read_appended(LEDGER, BATCH).select(BATCH).distinct()
-        path = scratch_path(self.store.spark, "folded")
-        folded.write.parquet(path)
+        folded = cut_lineage(self.store.read_appended(LEDGER, APPEND).select(APPEND).distinct(), "folded")
         self.store.write(LEDGER, cluster(self.transitions(), ["source", "table_name"], target_files))
-        self.store.drop_ingest(LEDGER, self.store.spark.read.parquet(path), BATCH)
+        self.store.drop_ingest(LEDGER, folded, APPEND)
 
 
 class Ingestion:
@@ -80,8 +88,7 @@ class Ingestion:
         self.ledger = Ledger(store)
         self.tests = spec.build_tests(parents, scope=(INGEST_ID,))
         name = f"{spec.source}/{spec.table}"
-        self.staging, self.review, self.clean, self.main = (
-            f"{area}/{name}" for area in ("staging", "review", "clean", "source"))
+        self.staging, self.review, self.main = (f"{area}/{name}" for area in ("staging", "review", "source"))
 
     # -- one run ----------------------------------------------------------
 
@@ -94,112 +101,154 @@ class Ingestion:
         Returns the entries of the batch. `stop_after` ends the run after a
         stage, as a crash would.
         """
-        path = scratch_path(self.spark, "batch")
-        files.write.parquet(path)
-        batch = self.spark.read.parquet(path)
+        batch = cut_lineage(files, "batch")
+        self._register(batch, now, run_id)
+        state = self._current(batch)
+        # At most one name per stage.
+        present = {row.stage for row in state.select("stage").distinct().collect()}
         steps = {
-            "NEW": lambda: self._register(batch, now, run_id),
-            "ARCHIVED": lambda: self._archive(batch, now, run_id, archive, headers),
-            "STAGED": lambda: self._stage(batch, read_rows, now, run_id),
-            "CLEANED": lambda: self._clean(batch, now, run_id),
-            "INSERTED": lambda: self._insert(batch, now, run_id),
-            "COMPLETED": lambda: self._tidy(batch, now, run_id),
+            "NEW": ("ARCHIVED", lambda e: self._archive(e, batch, archive, headers)),
+            "ARCHIVED": ("STAGED", lambda e: self._stage(e, read_rows, run_id)),
+            "STAGED": ("CLEANED", lambda e: self._clean(e, now, run_id)),
+            "CLEANED": ("INSERTED", self._insert),
+            "INSERTED": ("COMPLETED", self._tidy),
         }
-        for stage, step in steps.items():
-            step()
-            if stage == stop_after:
+        for stage, (reached, step) in steps.items():
+            if stop_after == stage:
                 break
+            if stage not in present:
+                continue
+            moved = step(state.where(F.col("stage") == stage)).withColumn("stage", F.lit(reached))
+            self.ledger.append(
+                ledger.advance(moved, F.lit(reached), now, F.col("rows_read"), keep=(BATCH,)), f"{run_id}-{reached}")
+            state = state.where(F.col("stage") != stage).unionByName(moved)
+            present.add(reached)
         return self._batch_entries(batch)
 
-    # -- steps ------------------------------------------------------------
-
-    def _batch_entries(self, batch: DataFrame) -> DataFrame:
-        return self.ledger.entries().join(batch.select(*KEYS).distinct(), KEYS, "left_semi")
-
-    def _at(self, batch: DataFrame, stage: str) -> DataFrame:
-        return ledger.entries_at(self._batch_entries(batch), stage).withColumn(INGEST_ID, ingest_id())
-
-    def _log(self, entries: DataFrame, stage: str, now: Column, run_id: str,
-             rows_read: Column | None = None) -> None:
-        self.ledger.append(ledger.advance(entries, F.lit(stage), now, rows_read), f"{run_id}-{stage}")
-
     def _register(self, batch: DataFrame, now: Column, run_id: str) -> None:
         known = self.ledger.transitions()
         if known is None:
-            known = self.spark.createDataFrame(
-                [], "source string, table_name string, file_name string, increment int")
+            known = batch.select(*KEYS).limit(0)
         self.ledger.append(ledger.find_or_create(known, batch, now), f"{run_id}-NEW")
 
-    def _archive(self, batch, now, run_id, archive, headers) -> None:
+    def _batch_entries(self, batch: DataFrame) -> DataFrame:
+        return self.ledger.entries().join(batch.select(*KEYS).distinct(), KEYS, "left_semi")
+
+    def _current(self, batch: DataFrame) -> DataFrame:
+        """Entries of the batch as the ledger has them, as a written table.
+
+        Entries that were staged together move on together, so open ones that
+        share a staging attempt with the batch are part of it.
+        """
+        mine = cut_lineage(self._batch_entries(batch), "entries")
+        attempts = mine.where(F.col(BATCH).isNotNull() & (F.col("stage") != "COMPLETED")).select(
+            BATCH, "stage").distinct()
+        others = self.ledger.entries().join(attempts, [BATCH, "stage"], "left_semi").join(
+            mine.select(*KEYS), KEYS, "left_anti")
+        everyone = mine.unionByName(others).select(*KEYS, "stage", "rows_read", BATCH)
+        # Entries of review rows wait at STAGED, without an attempt, until `retry_review`.
+        everyone = everyone.where((F.col("stage") != "STAGED") | F.col(BATCH).isNotNull())
+        return cut_lineage(everyone.withColumn(INGEST_ID, ingest_id()), "state")
+
+    # -- steps: each gets the entries at its stage, returns those that moved on --
+
+    def _archive(self, entries, batch, archive, headers) -> DataFrame:
         """Files whose header does not fit stay at NEW until the declaration or the file changes."""
-        entries = self._at(batch, "NEW")
         if headers is not None:
             wrong = quality.compare_schema(
                 headers(batch), [(c, "string") for c, _ in self.spec.columns], "file_name")
-            entries = entries.join(wrong.select("file_name").distinct(), "file_name", "left_anti")
-        path = scratch_path(self.spark, "accepted")
-        entries.write.parquet(path)
-        accepted = self.spark.read.parquet(path)
+            entries = cut_lineage(
+                entries.join(wrong.select("file_name").distinct(), "file_name", "left_anti"), "accepted")
         if archive is not None:
-            archive(batch.join(accepted.select(*KEYS), KEYS, "left_semi"))
-        self._log(accepted, "ARCHIVED", now, run_id)
+            archive(batch.join(entries.select(*KEYS), KEYS, "left_semi"))
+        return entries
 
-    def _stage(self, batch, read_rows, now, run_id) -> None:
-        entries = self._at(batch, "ARCHIVED")
+    def _stage(self, entries, read_rows, run_id) -> DataFrame:
+        """Typed rows into one partition; `_row` numbers them for the steps that follow."""
+        name = attempt(run_id)
         rows = self.hooks.apply(read_rows(entries), self.spec.source, self.spec.table)
         rows = rows.withColumn(INGEST_ID, ingest_id()).join(entries.select(INGEST_ID), INGEST_ID, "left_semi")
-        self.store.append(self.staging, quality.cast_columns(rows, self.spec.columns, [INGEST_ID, *KEYS]))
-        counts = self._staged(self.staging).groupBy(INGEST_ID).agg(F.count("*").alias("_rows"))
-        self._log(entries.join(counts, INGEST_ID, "left"), "STAGED", now, run_id,
-                  F.coalesce("_rows", F.lit(0).cast("bigint")))
-
-    def _clean(self, batch, now, run_id) -> None:
-        """Failing rows go to review under an entry of their own; the rest continues."""
-        entries = self._at(batch, "STAGED")
-        staged = self._staged(self.staging).join(entries.select(INGEST_ID), INGEST_ID, "left_semi")
-        tested_at = scratch_path(self.spark, "tested")
-        quality.tag_failures(staged, self.tests).write.parquet(tested_at)
-        tested = self.spark.read.parquet(tested_at)
-        clean, review, _ = quality.quarantine(tested, KEYS)
-        log = quality.failure_counts(tested, [t.name for t in self.tests], [INGEST_ID])
-        self.store.append(TEST_LOG, log.withColumn("run_id", F.lit(run_id)))
-        self.store.append(self.clean, clean)
-        next_entry = review.withColumn("increment", F.col("increment") + 1).withColumn(INGEST_ID, ingest_id())
-        self.store.append(self.review, next_entry)
-        review_rows = next_entry.groupBy(*KEYS).agg(F.count("*").alias("_rows"))
-        self.ledger.append(
-            ledger.advance(review_rows, F.lit("STAGED"), now, F.col("_rows")), f"{run_id}-REVIEW")
-        self._log(entries, "CLEANED", now, run_id, F.col("rows_read"))
-
-    def _insert(self, batch, now, run_id) -> None:
-        entries = self._at(batch, "CLEANED")
-        rows = self._staged(self.clean).join(entries.select(INGEST_ID), INGEST_ID, "left_semi")
+        typed = quality.cast_columns(rows, self.spec.columns, [INGEST_ID, *KEYS])
+        # Numbered in the task that writes: no shuffle may follow the numbering.
+        self.store.append(self.staging, typed.withColumns(
+            {ROW: F.monotonically_increasing_id(), BATCH: F.lit(name)}), BATCH, gather=False)
+        staged = entries.withColumn(BATCH, F.lit(name))
+        counts = self._read(self.staging, self.spark.range(1).select(F.lit(name).alias(BATCH))).groupBy(
+            INGEST_ID).agg(F.count("*").alias("_rows"))
+        return cut_lineage(
+            staged.join(counts, INGEST_ID, "left")
+            .withColumn("rows_read", F.coalesce("_rows", F.lit(0).cast("bigint"))).drop("_rows"), "staged")
+
+    def _clean(self, entries, now, run_id) -> DataFrame:
+        """Failing rows go to review under an entry of their own; the rest continues.
+
+        Only failing rows are written: clean rows are the staged rows without them.
+        """
+        failing = quality.quarantine(quality.tag_failures(self._read(self.staging, entries), self.tests), KEYS)[1]
+        self.store.append(self.review, failing.withColumn("increment", F.col("increment") + 1), BATCH)
+        review = self._read(self.review, entries)
+        hits = review.select(INGEST_ID, F.explode(quality.FAILED).alias("test")).groupBy(INGEST_ID, "test").agg(
+            F.count("*").alias("_n"))
+        grid = entries.select(INGEST_ID, BATCH, F.explode(F.array(*[F.lit(t.name) for t in self.tests])).alias("test"))
+        self.store.append(TEST_LOG, grid.join(hits, [INGEST_ID, "test"], "left").select(
+            INGEST_ID, "test", F.coalesce("_n", F.lit(0)).alias("failing_rows"), BATCH), BATCH, gather=False)
+        # Entries of review rows; those of a repeated step are known already.
+        quarantined = review.groupBy(*KEYS).agg(F.count("*").alias("rows_read"))
+        self.ledger.append(ledger.advance(quarantined, F.lit("STAGED"), now, F.col("rows_read")), f"{run_id}-review")
+        return entries
+
+    def _insert(self, entries) -> DataFrame:
+        rows = self._clean_rows(entries)
         if self.spec.load == "merge":
             rest = [c for c in self.spec.names if c not in self.spec.keys]
+            # Of a key in several files the last file counts.
             self.store.merge(self.main, rows.select(*self.spec.names, "file_name", INGEST_ID),
                              self.spec.keys, ["file_name", *rest])
         else:
-            self.store.append(self.main, rows.select(*self.spec.names, INGEST_ID))
-        self._log(entries, "INSERTED", now, run_id, F.col("rows_read"))
+            self.store.append(self.main, rows.select(*self.spec.names, INGEST_ID, BATCH), BATCH)
+        return entries
 
-    def _tidy(self, batch, now, run_id) -> None:
-        entries = self._at(batch, "INSERTED")
-        for area in (self.staging, self.clean):
-            self.store.drop_ingest(area, entries)
-        self._log(entries, "COMPLETED", now, run_id, F.col("rows_read"))
+    def _tidy(self, entries) -> DataFrame:
+        self.store.drop_ingest(self.staging, entries, BATCH)
+        return entries
 
-    def _staged(self, area: str) -> DataFrame:
+    def _read(self, area: str, ids: DataFrame) -> DataFrame:
         if self.store.has_appended(area):
-            return self.store.read_appended(area)
+            return self.store.read_batches(area, ids, BATCH)
+        # Nothing was ever written: no staged rows, or no failing ones.
         columns = ", ".join(f"`{c}` {t}" for c, t in [
-            ("source", "string"), ("table_name", "string"), ("file_name", "string"), ("increment", "int"),
-            *self.spec.columns, (INGEST_ID, "string")])
+            (INGEST_ID, "string"), ("source", "string"), ("table_name", "string"), ("file_name", "string"),
+            ("increment", "int"), *self.spec.columns, (ROW, "bigint"), (quality.FAILED, "array<string>"),
+            (BATCH, "string")])
         return self.spark.createDataFrame([], columns)
 
+    def _clean_rows(self, entries: DataFrame) -> DataFrame:
+        failing = self._read(self.review, entries).select(BATCH, ROW)
+        return self._read(self.staging, entries).join(failing, [BATCH, ROW], "left_anti")
+
+    def retry_review(self, entries: DataFrame, fix: Callable[[DataFrame], DataFrame], now: Column,
+                     run_id: str) -> DataFrame:
+        """Stage the repaired review rows of `entries` (entry keys) again and take them to COMPLETED.
+
+        Rows that still fail go back to review under the next increment.
+        """
+        keys = cut_lineage(entries.select(*KEYS).distinct(), "review")
+        name = attempt(run_id)
+        rows = self.store.read_appended(self.review, BATCH).join(keys, KEYS, "left_semi")
+        fixed = fix(rows.drop(ROW, BATCH, quality.FAILED)).withColumn(INGEST_ID, ingest_id())
+        self.store.append(self.staging, fixed.select(INGEST_ID, *KEYS, *self.spec.names).withColumns(
+            {ROW: F.monotonically_increasing_id(), BATCH: F.lit(name)}), BATCH, gather=False)
+        counts = self._read(self.staging, self.spark.range(1).select(F.lit(name).alias(BATCH))).groupBy(*KEYS).agg(
+            F.count("*").alias("rows_read"))
+        self.ledger.append(ledger.advance(
+            counts.withColumn(BATCH, F.lit(name)), F.lit("STAGED"), now, F.col("rows_read"), keep=(BATCH,)),
+            f"{run_id}-STAGED")
+        return self.run(keys, lambda _: rows, now, run_id)
+
     # -- results ----------------------------------------------------------
 
     def main_table(self) -> DataFrame:
-        return self.store.read(self.main) if self.spec.load == "merge" else self.store.read_appended(self.main)
+        return self.store.read(self.main) if self.spec.load == "merge" else self.store.read_appended(self.main, BATCH)
 
     def summary(self, batch_entries: DataFrame) -> DataFrame:
         """(file_name, rows_read, rows_clean, rows_review, stage) per ingested file."""

@@ -39,7 +39,7 @@ class TableSpec:
             if test == "not_null":
                 built.append(quality.not_null(column))
             elif test == "unique":
-                built.append(quality.unique(*scope, column))
+                built.append(quality.unique(column, scope=scope))
             elif "accepted_values" in test:
                 built.append(quality.accepted_values(column, test["accepted_values"]))
             elif "expression" in test:

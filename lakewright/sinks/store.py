@@ -18,6 +18,7 @@ from ..operators.history import merge
 from ..operators.ranking import cluster
 
 INGEST_ID = "_ingest_id"
+MAX_NAMED = 1000
 PLAIN_ID = re.compile(r"[A-Za-z0-9_.-]+")
 
 
@@ -46,15 +47,15 @@ class TableStore:
 
     # -- append tables ----------------------------------------------------
 
-    def append(self, table: str, df: DataFrame, ingest_id: str = INGEST_ID) -> None:
+    def append(self, table: str, df: DataFrame, ingest_id: str = INGEST_ID, gather: bool = True) -> None:
         """Write the partitions named by `ingest_id`; a retry replaces them.
 
-        `rebalance` gathers each id into few files and splits an id that is too
-        large for one task.
+        `gather` collects each id into few files and splits an id that is too
+        large for one task. Rows that share one id need no such shuffle.
         """
+        rows = df.hint("rebalance", F.col(ingest_id)) if gather else df
         (
-            df.hint("rebalance", F.col(ingest_id))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy(ingest_id).parquet(f"{self.path(table)}/data")
         )
 
@@ -65,6 +66,14 @@ class TableStore:
         typed = StructType([StructField(f.name, StringType()) if f.name == ingest_id else f for f in found])
         return self.spark.read.schema(typed).parquet(folder)
 
+    def read_batches(self, table: str, ids: DataFrame, ingest_id: str = INGEST_ID) -> DataFrame:
+        """Partitions named in `ids`. Few ids prune the scan by name; many become a semi join."""
+        few = [row[0] for row in ids.select(ingest_id).distinct().limit(MAX_NAMED + 1).collect()]
+        rows = self.read_appended(table, ingest_id)
+        if len(few) <= MAX_NAMED:
+            return rows.where(F.col(ingest_id).isin(few))
+        return rows.join(ids.select(ingest_id).distinct(), ingest_id, "left_semi")
+
     def has_appended(self, table: str) -> bool:
         target, fs = self._hadoop(f"{self.path(table)}/data")
         return fs.exists(target) and any("=" in s.getPath().getName() for s in fs.listStatus(target))

@@ -74,7 +74,7 @@ def project_outputs(docs: DataFrame, doc: str = "doc", env: str = "env", on_miss
     )
     if on_missing == "report":
         return out
-    checked = F.when(F.col("problem").isNotNull(), F.raise_error("problem")).otherwise(F.col("org_id"))
+    checked = F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem"))).otherwise(F.col("org_id"))
     return out.withColumn("org_id", checked.cast("string")).drop("problem")
 
 

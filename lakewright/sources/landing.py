@@ -7,10 +7,15 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
+
 from ..constants import LANDING_PREFIX
 from ..functions.text import strip_slashes
 
-FILE_COLUMNS = "path string, modificationTime timestamp, length bigint"
+# The schema the binary file source insists on.
+FILE_COLUMNS = StructType([
+    StructField("path", StringType(), False), StructField("modificationTime", TimestampType(), False),
+    StructField("length", LongType(), False), StructField("content", BinaryType(), True)])
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
