@@ -216,7 +216,7 @@ def _(t):
     from versions window w as (partition by o_custkey order by o_orderdate, o_orderkey)""")
 def _(t):
     return scd2(t["orders"], ["o_custkey"], ["o_orderstatus"], ["o_orderdate", "o_orderkey"],
-                segment=F.date_trunc("year", F.col("o_orderdate")))
+                segment=F.date_trunc("day", F.col("o_orderdate")))
 
 
 @query("propagate", """

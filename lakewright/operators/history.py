@@ -1,17 +1,32 @@
 """Ordered history per key, safe for keys that hold most of the rows.
 
-A plain `lag` over a key sends all rows of that key to one task. Here a key is
-cut into segments (a month, a day). Inside a segment the window runs as usual;
-the value that crosses a segment border comes from a summary with one row per
-key and segment, added to the segment as a marker row before the window.
+A plain `lag` over a key sends all rows of that key to one task. Keys with more
+rows than a task should take are therefore found first, from counts that are
+aggregated before they are shuffled. Only those keys are cut into segments (a
+day, an hour). Inside a segment the window runs as usual; the value that
+crosses a segment border comes from a summary with one row per hot key and
+segment, added to the segment as a marker row before the window. The result is
+the same either way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
+# Rows of one key that one task may sort.
+TASK_ROWS = 5_000_000
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> DataFrame:
+    """Keys with more than `limit` rows; at most rows / `limit` of them."""
+    return cut_lineage(df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys), "hot-keys")
+
 
 def neighbour(
     df: DataFrame,
@@ -21,24 +36,34 @@ def neighbour(
     segment: Column,
     out: str,
     forward: bool = False,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add `value` of the previous (or, `forward`, the next) row of the key as `out`.
 
     `order` must be total within a key and `segment` must not decrease along it.
     NULL means there is no such row, so pass a struct when values may be NULL.
+    `hot` are the keys to cut, by default those `hot_keys` finds.
     """
     keys, order = list(keys), list(order)
-    rows = df.withColumn("_segment", segment).withColumn("_value", value)
+    shift = F.lead if forward else F.lag
+    hot = hot_keys(df, keys) if hot is None else hot
+    if hot.isEmpty():
+        return df.withColumn(out, shift(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    marks = hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot"))
+    is_hot = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
+    rows = (
+        df.withColumn("_value", value).withColumn("_cut", segment)
+        .join(marks, is_hot, "left")
+        .withColumn("_segment", F.when(F.col("_hot"), F.col("_cut")))
+        .select(*df.columns, "_value", "_segment", "_hot"))
     edge = F.min_by if forward else F.max_by
-    edges = rows.groupBy(*keys, "_segment").agg(edge("_value", F.struct(*order)).alias("_value"))
+    edges = rows.where("_hot").groupBy(*keys, "_segment").agg(edge("_value", F.struct(*order)).alias("_value"))
     along = Window.partitionBy(*keys).orderBy(
         F.col("_segment").desc() if forward else F.col("_segment").asc())
     markers = (
-        edges.withColumn("_value", F.lag("_value").over(along))
-        .withColumn("_side", F.lit(1 if forward else -1))
-    )
+        edges.withColumn("_value", F.lag("_value").over(along)).where(F.col("_value").isNotNull())
+        .withColumn("_side", F.lit(1 if forward else -1)))
     inside = Window.partitionBy(*keys, "_segment").orderBy("_side", *order)
-    shift = F.lead if forward else F.lag
     return (
         rows.withColumn("_side", F.lit(0))
         .unionByName(markers, allowMissingColumns=True)
@@ -54,17 +79,19 @@ def scd2(
     tracked: Sequence[str],
     order: Sequence[str],
     segment: Column,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Version history: a row per change of the tracked columns.
 
     `order[0]` is the effective time, the rest breaks ties.
     """
     state = F.struct(*tracked)
-    seen = neighbour(df, keys, order, state, segment, "_before")
+    hot = hot_keys(df, keys) if hot is None else hot
+    seen = neighbour(df, keys, order, state, segment, "_before", hot=hot)
     versions = seen.where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(state))
     dated = neighbour(
         versions.select(*dict.fromkeys([*keys, *tracked, *order])),
-        keys, order, F.struct(F.col(order[0]).alias("at")), segment, "_next", forward=True,
+        keys, order, F.struct(F.col(order[0]).alias("at")), segment, "_next", forward=True, hot=hot,
     )
     return dated.select(
         *dict.fromkeys([*keys, *tracked]),

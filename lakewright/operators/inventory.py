@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import days_before
+from .keys import absent
 
 
 def compare_inventories(left: DataFrame, right: DataFrame, on: str = "path") -> DataFrame:
@@ -43,7 +44,7 @@ def parents_of(path: Column, sep: str = "/") -> Column:
 def missing_dirs(source: DataFrame, existing: DataFrame) -> DataFrame:
     """Folders to create before uploading; create them in order of `depth`."""
     folders = source.select(F.explode(parents_of(F.col("path"))).alias("path")).distinct()
-    return folders.join(existing.select("path").distinct(), "path", "left_anti").withColumn(
+    return absent(folders, existing, ["path"]).withColumn(
         "depth", F.size(F.split("path", "/")))
 
 

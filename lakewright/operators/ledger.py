@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import ABANDONED, ENTRY_KEYS, STAGES
 from ..functions.text import row_hash
 from .history import neighbour
+from .keys import absent
 
 KEYS = list(ENTRY_KEYS)
 LOG_COLUMNS = [*KEYS, "ts", "stage", "rows_read"]
@@ -111,9 +112,7 @@ def stage_summary(entries: DataFrame, rollup: bool = False) -> DataFrame:
 
 def find_or_create(transitions: DataFrame, files: DataFrame, now: Column) -> DataFrame:
     """NEW transitions for files that have no entry yet."""
-    fresh = files.select(*KEYS).distinct()
-    known = transitions.select(*KEYS).distinct()
-    return fresh.join(known, KEYS, "left_anti").select(
+    return absent(files.select(*KEYS).distinct(), transitions, KEYS).select(
         *KEYS, now.alias("ts"), F.lit("NEW").alias("stage"), F.lit(None).cast("bigint").alias("rows_read"))
 
 
@@ -149,7 +148,7 @@ def abandon(entries: DataFrame, targets: DataFrame, now: Column) -> DataFrame:
 
 def illegal_transitions(transitions: DataFrame, seq: str = "event_id", segment: Column | None = None) -> DataFrame:
     """Transitions that do not move exactly one stage on from the one before."""
-    cut = segment if segment is not None else F.date_trunc("day", F.col("ts"))
+    cut = segment if segment is not None else F.date_trunc("hour", F.col("ts"))
     seen = neighbour(transitions, KEYS, ["ts", seq], F.struct("stage"), cut, "_before")
     before = F.coalesce(stage_ordinal(F.col("_before.stage")), F.lit(0))
     return (
@@ -181,7 +180,7 @@ def assert_completed(entries: DataFrame) -> None:
 def unknown_tables(entries: DataFrame, declared: DataFrame) -> DataFrame:
     """(source, table_name) pairs in the ledger that no declaration covers."""
     pairs = entries.groupBy("source", "table_name").agg(F.count("*").alias("entries"))
-    return pairs.join(declared.select("source", "table_name").distinct(), ["source", "table_name"], "left_anti").select(
+    return absent(pairs, declared, ["source", "table_name"]).select(
         "source", "table_name", "entries",
         F.concat(F.lit("table '"), F.col("table_name"), F.lit("' is not declared for source '"),
                  F.col("source"), F.lit("'")).alias("message"),

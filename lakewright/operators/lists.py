@@ -8,6 +8,8 @@ from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
+from .keys import absent
+
 MAX_ITEMS = 10_000
 
 
@@ -45,4 +47,4 @@ def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def difference(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Distinct rows of `a` whose `on` columns do not occur in `b`; NULL matches NULL."""
-    return a.select(*on).distinct().subtract(b.select(*on))
+    return absent(a.select(*on).distinct(), b, on, null_safe=True)

@@ -10,6 +10,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import DECLARED_TYPES
+from .keys import absent
 
 FAILED = "_failed_tests"
 
@@ -66,8 +67,8 @@ def _bad_keys(df: DataFrame, test: Test) -> DataFrame:
     present = df.dropna(subset=list(test.columns)).groupBy(*test.columns).agg(F.count("*").alias("_n"))
     if test.kind == "unique":
         return present.where(F.col("_n") > 1).select(*test.columns)
-    parents = test.parent.select(F.col(test.parent_column).alias(test.columns[0])).distinct()
-    return present.select(*test.columns).join(parents, list(test.columns), "left_anti")
+    parents = test.parent.select(F.col(test.parent_column).alias(test.columns[0]))
+    return absent(present.select(*test.columns), parents, test.columns)
 
 
 def failing_rows(df: DataFrame, test: Test) -> DataFrame:
@@ -80,8 +81,7 @@ def failing_rows(df: DataFrame, test: Test) -> DataFrame:
 def orphan_keys(df: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Child keys without a parent and the rows that carry them."""
     present = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("failing_rows"))
-    parents = parent.select(F.col(parent_column).alias(column)).distinct()
-    return present.join(parents, column, "left_anti")
+    return absent(present, parent.select(F.col(parent_column).alias(column)), [column])
 
 
 def tag_failures(staged: DataFrame, tests: Sequence[Test]) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import LISTING_ATTEMPTS, RECENT_DAYS, RETRY_SECONDS
+from ..operators.keys import absent
 from ..operators.lists import name_lists
 from ..sources.layout import Layout
 from ..sources.listing import folders, recent
@@ -15,10 +16,10 @@ from ..sources.listing import folders, recent
 
 def new_tables(storage: DataFrame, catalog: DataFrame) -> DataFrame:
     """Stored (schema, name) pairs missing from the catalogue (db, name); case does not matter."""
-    known = catalog.select(F.lower("db").alias("_db"), F.lower("name").alias("_name")).distinct()
-    stored = storage.select("schema", "name").distinct()
-    return stored.join(
-        known, (F.lower("schema") == F.col("_db")) & (F.lower("name") == F.col("_name")), "left_anti")
+    known = catalog.select(F.lower("db").alias("_db"), F.lower("name").alias("_name"))
+    stored = storage.select("schema", "name").distinct().withColumns(
+        {"_db": F.lower("schema"), "_name": F.lower("name")})
+    return absent(stored, known, ["_db", "_name"]).select("schema", "name")
 
 
 def alert_texts(missing: DataFrame) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.maps import json_get
-
 STEPS = "steps array<struct<op: string, urn: string>>"
 RESOURCES = (
     "deployment struct<resources: array<struct<urn: string, type: string, "
@@ -46,29 +44,27 @@ def parse_docs(df: DataFrame, column: str, schema: str) -> DataFrame:
         *[c for c in df.columns if c != column], "_doc.*")
 
 
-def _present(text: Column, path: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(text), path, "variant").isNotNull()
-
-
 def project_outputs(docs: DataFrame, doc: str = "doc", env: str = "env", on_missing: str = "raise") -> DataFrame:
-    """Nested outputs as one flat row per environment document, with a canonical payload.
+    """Nested outputs as one flat row per environment document.
 
     dev, test and prod share one set of fields, `shared` has another, any other
     name has none. `on_missing` is `raise` or `report` (column `problem`).
     """
-    text = F.col(doc)
+    def value(path: str, kind: str = "string") -> Column:
+        return F.try_variant_get("_parsed", path, kind)
+
     workspace = F.col(env).isin(*WORKSPACE_ENVIRONMENTS)
-    needs = [F.when(~_present(text, p), F.lit(p)) for p in ALWAYS_REQUIRED]
-    needs += [F.when(workspace & ~_present(text, p), F.lit(p)) for p in WORKSPACE_REQUIRED]
+    needs = [F.when(value(p, "variant").isNull(), F.lit(p)) for p in ALWAYS_REQUIRED]
+    needs += [F.when(workspace & value(p, "variant").isNull(), F.lit(p)) for p in WORKSPACE_REQUIRED]
     absent = F.array_compact(F.array(*needs))
     problem = F.when(F.size(absent) > 0, F.concat(F.lit("missing "), F.array_join(absent, ", ")))
-    fields = {n: F.when(workspace, json_get(text, p, "string")) for n, p in WORKSPACE_FIELDS}
-    fields.update({n: F.when(F.col(env) == "shared", json_get(text, p, "string")) for n, p in SHARED_FIELDS})
+    fields = {n: F.when(workspace, value(p)) for n, p in WORKSPACE_FIELDS}
+    fields.update({n: F.when(F.col(env) == "shared", value(p)) for n, p in SHARED_FIELDS})
     keep = [c for c in docs.columns if c != doc]
-    out = docs.select(
+    out = docs.withColumn("_parsed", F.try_parse_json(doc)).select(
         *keep,
-        json_get(text, "$.root.metadata.org_id", "string").alias("org_id"),
-        json_get(text, "$.root.metadata.project_id", "string").alias("project_id"),
+        value("$.root.metadata.org_id").alias("org_id"),
+        value("$.root.metadata.project_id").alias("project_id"),
         *[c.alias(n) for n, c in fields.items()],
         problem.alias("problem"),
     )

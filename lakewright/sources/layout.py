@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import ANALYTICS_READS, ANALYTICS_WRITES, CONTAINERS
 
@@ -24,25 +24,23 @@ def container_path(container: Column, schema: Column, table: Column) -> Column:
     return F.when(container.isin(*CONTAINERS), F.concat_ws("/", container, schema, table))
 
 
-def access_table(spark: SparkSession) -> DataFrame:
-    """(container, readers, writers); one row per container of the layout."""
-    def names(items):
-        return ",".join(items)
+def _workspaces(container: Column, analytics: tuple[str, ...]) -> Column:
+    return F.when(container.isin(*analytics), "analytics,engineering").when(
+        container.isin(*CONTAINERS), "engineering")
 
-    rows = []
-    for c in CONTAINERS:
-        analytics_reads = c in ANALYTICS_READS or c in ANALYTICS_WRITES
-        rows.append((
-            c,
-            names(["analytics"] * analytics_reads + ["engineering"]),
-            names(["analytics"] * (c in ANALYTICS_WRITES) + ["engineering"]),
-        ))
-    return spark.createDataFrame(rows, "container string, readers string, writers string")
+
+def readers(container: Column) -> Column:
+    """Workspaces that may read a container."""
+    return _workspaces(container, ANALYTICS_READS + ANALYTICS_WRITES)
+
+
+def writers(container: Column) -> Column:
+    """Workspaces that may write a container."""
+    return _workspaces(container, ANALYTICS_WRITES)
 
 
 def with_access(df: DataFrame, container: str, schema: str, table: str) -> DataFrame:
     """Add `table_path`, `readers` and `writers`; unknown containers get NULL."""
-    return (
-        df.withColumn("table_path", container_path(F.col(container), F.col(schema), F.col(table)))
-        .join(access_table(df.sparkSession).withColumnRenamed("container", container), container, "left")
-    )
+    c = F.col(container)
+    return df.withColumns({
+        "table_path": container_path(c, F.col(schema), F.col(table)), "readers": readers(c), "writers": writers(c)})
