@@ -179,18 +179,22 @@ def compare_schema(found: DataFrame, declared: Sequence[tuple[str, str]], by: st
     """Differences between columns found per file (`by`, column_name, column_type) and a declaration.
 
     An undeclared column stops ingestion until the declaration is updated. A
-    type may widen towards the declared one and must not narrow. Every file is
-    compared as a whole: it loses no column to a reader that skips what it
-    does not know.
+    type may widen towards the declared one and must not narrow. With a column
+    `position` (from 0) the order has to agree too. Every file is compared as a
+    whole: it loses no column to a reader that skips what it does not know.
     """
     wanted = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(t).alias("t")) for c, t in declared])
     names = F.array(*[F.lit(c) for c, _ in declared])
     declared_type = F.get(F.filter(wanted, lambda w: w["c"] == F.col("column_name")), F.lit(0))["t"]
-    typed = found.select(by, "column_name", "column_type", declared_type.alias("_want"))
+    declared_at = F.array_position(names, F.col("column_name")) - 1
+    moved = F.col("position") != declared_at if "position" in found.columns else F.lit(False)
+    typed = found.select(
+        by, "column_name", "column_type", declared_type.alias("_want"), moved.alias("_moved"))
     problem = (
         F.when(F.col("_want").isNull(), F.lit("not declared"))
         .when((F.col("column_type") != F.col("_want")) & ~widens(F.col("column_type"), F.col("_want")),
               F.concat(F.lit("type "), F.col("column_type"), F.lit(" does not fit "), F.col("_want")))
+        .when(F.col("_moved"), F.lit("out of order"))
     )
     present = typed.select(by, "column_name", problem.alias("problem")).where(F.col("problem").isNotNull())
     # Declared names seen per file: at most one flag per declared column, whatever the file holds.

@@ -50,17 +50,16 @@ def ingest_folder(job: Ingestion, root: str, now: Column, run_id: str, increment
             raise LostFiles(", ".join(r.src for r in lost))
 
     def headers(_: DataFrame) -> DataFrame:
-        found = landing.read_headers(spark, raw_dir)
-        return found.withColumn("file_name", F.url_decode(F.substring_index("file_path", "/", -1)))
+        found = landing.read_headers(landing.list_files(spark, raw_dir).where("size > 0"))
+        return found.withColumn("file_name", F.substring_index("path", "/", -1))
 
     def read_rows(entries: DataFrame) -> DataFrame:
         few = [r.file_name for r in entries.select("file_name").limit(MAX_NAMED + 1).collect()]
-        paths = [f"{archive_dir}/{name}" for name in few] if len(few) <= MAX_NAMED else archive_dir
+        paths = [landing.literal_path(f"{archive_dir}/{name}") for name in few] if len(few) <= MAX_NAMED else archive_dir
         rows = landing.read_raw_csv(spark, paths, spec.names)
         return rows.select(
             F.lit(spec.source).alias("source"), F.lit(spec.table).alias("table_name"),
-            F.url_decode(F.substring_index("file_path", "/", -1)).alias("file_name"),
-            F.lit(increment).alias("increment"), *spec.names)
+            "file_name", F.lit(increment).alias("increment"), *spec.names)
 
     return job.run(files, read_rows, now, run_id, archive, headers, stop_after)
 

@@ -218,8 +218,8 @@ class Ingestion:
         # Nothing was ever written: no staged rows, or no failing ones.
         columns = ", ".join(f"`{c}` {t}" for c, t in [
             (INGEST_ID, "string"), ("source", "string"), ("table_name", "string"), ("file_name", "string"),
-            ("increment", "int"), *self.spec.columns, (ROW, "bigint"), (quality.FAILED, "array<string>"),
-            (BATCH, "string")])
+            ("increment", "int"), *self.spec.columns, (ROW, "bigint"),
+            *([(quality.FAILED, "array<string>")] if area == self.review else []), (BATCH, "string")])
         return self.spark.createDataFrame([], columns)
 
     def _clean_rows(self, entries: DataFrame) -> DataFrame:

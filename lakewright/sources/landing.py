@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -19,13 +20,42 @@ FILE_COLUMNS = StructType([
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modified, size) of all files below `root`; content is never read."""
+    """(path, modified, size) of the files below `root`; content is never read.
+
+    Spark lists no empty files here; `list_tree` does.
+    """
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         .select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
     )
 
 
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path relative to `root`, size) of all files, empty ones too.
+
+    The driver sees the top folders only; tasks walk them.
+    """
+    from pyarrow import fs
+
+    from ._files import frame, open_uri
+
+    files, base = open_uri(root)
+    top = files.get_file_info(fs.FileSelector(base))
+    names = [(i.base_name, i.type == fs.FileType.Directory) for i in top]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = open_uri(root)
+        for batch in batches:
+            for name, is_dir in zip(batch["name"], batch["is_dir"]):
+                there = f"{base}/{name}"
+                found = files.get_file_info(fs.FileSelector(there, recursive=True) if is_dir else [there])
+                found = [i for i in found if i.type == fs.FileType.File]
+                yield frame(path=[i.path[len(base) + 1:] for i in found], size=[i.size for i in found])
+
+    folders = spark.createDataFrame(names, "name string, is_dir boolean").repartition(max(1, len(names)), "name")
+    return folders.mapInPandas(walk, "path string, size bigint")
+
+
 def nonempty_below(listing: DataFrame, prefix: str = LANDING_PREFIX) -> DataFrame:
     """Files worth ingesting: not empty, and below the landing prefix."""
     return listing.where((F.col("size") > 0) & F.col("path").startswith(prefix))
@@ -34,7 +64,7 @@ def nonempty_below(listing: DataFrame, prefix: str = LANDING_PREFIX) -> DataFram
 def landing_files(spark: SparkSession, root: str, prefix: str = LANDING_PREFIX) -> DataFrame:
     """Non-empty files below `root`/`prefix`, with paths relative to `root`."""
     base = root.rstrip("/") + "/"
-    relative = F.expr(f"substr(path, instr(path, '{base}') + {len(base)})")
+    relative = F.substr(F.col("path"), F.locate(base, F.col("path")) + len(base))
     return nonempty_below(list_files(spark, root).withColumn("path", relative), prefix)
 
 
@@ -89,7 +119,7 @@ class HookRegistry:
 # --- staging ------------------------------------------------------------------
 
 def read_raw_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """CSV files with a header as text columns plus `file_path`.
+    """CSV files with a header as text columns plus `file_name` and `file_path`.
 
     The header itself is checked by `read_headers` and `compare_schema`; the
     reader would silently skip a column it does not know.
@@ -98,33 +128,46 @@ def read_raw_csv(spark: SparkSession, paths: str | Sequence[str], columns: Seque
     return (
         spark.read.schema(schema).option("header", "true").option("recursiveFileLookup", "true")
         .option("enforceSchema", "false").csv(paths)
-        .select(*columns, F.col("_metadata.file_path").alias("file_path"))
+        .select(*columns, decoded(F.col("_metadata.file_name")).alias("file_name"),
+                F.col("_metadata.file_path").alias("file_path"))
     )
 
 
-def read_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(file_path, column_name, column_type) from the first line of each file.
+def decoded(name: Column) -> Column:
+    """File names in metadata columns are percent-encoded; a plus sign is itself."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
+def literal_path(path: str) -> str:
+    """A path the reader takes as it is, without wildcards."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def read_headers(files: DataFrame) -> DataFrame:
+    """(path, column_name, column_type, position) from the first line of each file in `path`.
 
-    Only split heads are read: a task looks at the split that starts at byte 0.
+    Tasks open the files and read up to the first line end; listing by size
+    has spread the files over the tasks already.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").text(paths)
-        .select("value", F.col("_metadata.file_path").alias("file_path"),
-                F.col("_metadata.file_block_start").alias("start"))
-    )
-    def first_line(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[str] = set()
+    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv
+
+        from ._files import frame, open_uri
+
+        def names(path: str) -> list[str]:
+            files, name = open_uri(path)
+            text = b""
+            with files.open_input_stream(name) as stream:
+                while b"\n" not in text and (block := stream.read(8192)):
+                    text += block
+            return next(csv.reader([text.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")]), [])
+
         for batch in batches:
-            heads = batch.drop_duplicates("file_path")
-            heads = heads[~heads["file_path"].isin(seen)]
-            seen.update(heads["file_path"])
-            yield heads[["file_path", "value"]]
+            yield frame(path=batch["path"], names=[names(p) for p in batch["path"]])
 
-    heads = lines.where(F.col("start") == 0).select("file_path", "value").mapInPandas(
-        first_line, "file_path string, value string")
-    return heads.select("file_path", F.explode(F.split("value", ",")).alias("column_name")).select(
-        "file_path", F.trim(F.regexp_replace("column_name", '^"|"$', "")).alias("column_name"),
-        F.lit("string").alias("column_type"))
+    heads = files.select("path").mapInPandas(first_lines, "path string, names array<string>")
+    return heads.select("path", F.posexplode("names").alias("position", "column_name")).select(
+        "path", "column_name", F.lit("string").alias("column_type"), "position")
 
 
 def rows_read(staged: DataFrame, by: str = "_ingest_id") -> DataFrame:
@@ -149,9 +192,11 @@ def move_files(plan: DataFrame) -> DataFrame:
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
+        from ._files import frame, open_uri
+
         def one(src: str, dst: str) -> str:
-            files, source = fs.FileSystem.from_uri(src)
-            _, target = fs.FileSystem.from_uri(dst)
+            files, source = open_uri(src)
+            _, target = open_uri(dst)
             there, gone = (files.get_file_info([target, source])[i].type for i in (0, 1))
             if gone == fs.FileType.NotFound:
                 return "moved" if there != fs.FileType.NotFound else "lost"
@@ -160,6 +205,7 @@ def move_files(plan: DataFrame) -> DataFrame:
             return "moved"
 
         for batch in batches:
-            yield batch.assign(status=[one(s, d) for s, d in zip(batch["src"], batch["dst"])])
+            yield frame(src=batch["src"], dst=batch["dst"],
+                        status=[one(s, d) for s, d in zip(batch["src"], batch["dst"])])
 
     return plan.select("src", "dst").mapInPandas(move, "src string, dst string, status string")

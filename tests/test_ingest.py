@@ -42,7 +42,7 @@ def light(spark):
 @pytest.fixture
 def root(tmp_path):
     for i, text in enumerate(GOOD):
-        land(tmp_path, f"file {i}.csv", text)
+        land(tmp_path, f"file +[{i}].csv", text)
     return tmp_path
 
 
@@ -56,10 +56,10 @@ EXPECTED = [("1", "10", "F", "5.50"), ("2", "10", "P", "7.25")]
 
 def check_finished(job, entries):
     assert {(r.file_name, r.stage, r.rows_read) for r in entries.collect()} == {
-        ("file 0.csv", "COMPLETED", 2), ("file 1.csv", "COMPLETED", 4)}
+        ("file +[0].csv", "COMPLETED", 2), ("file +[1].csv", "COMPLETED", 4)}
     assert main_rows(job) == EXPECTED
     summary = {r.file_name: (r.rows_clean, r.rows_review) for r in job.summary(entries).collect()}
-    assert summary == {"file 0.csv": (2, 0), "file 1.csv": (1, 3)}
+    assert summary == {"file +[0].csv": (2, 0), "file +[1].csv": (1, 3)}
     review = {(r.o_orderkey, tuple(r._failed_tests)) for r in job.store.read_appended(job.review, "_batch").collect()}
     assert review == {(3, ("not_null_o_totalprice",)), (4, ("unique_o_orderkey", "relationships_o_custkey")),
                       (4, ("unique_o_orderkey",))}
@@ -125,25 +125,34 @@ def test_ledger_compaction(spark, root, now):
 
 def test_header_mismatch_stops_the_file(spark, root, now):
     land(root, "wide.csv", HEADER + ",o_comment\n9,10,F,1.00,2020-01-01,LOW,hello\n")
-    land(root, "swapped.csv", "o_custkey,o_orderkey,o_orderstatus,o_totalprice,o_orderdate\n10,8,F,1.00,2020-01-01\n")
+    land(root, "narrow.csv", "o_custkey,o_orderkey,o_orderstatus,o_totalprice,o_orderdate\n10,8,F,1.00,2020-01-01\n")
+    land(root, "swapped.csv", HEADER.replace("o_orderkey,o_custkey", "o_custkey,o_orderkey") + "\n10,8,F,1.00,2020-01-01,LOW\n")
     job = make_job(spark, root)
     entries = {r.file_name: r.stage for r in ingest_folder(job, str(root), now(), "run").collect()}
-    assert entries == {"file 0.csv": "COMPLETED", "file 1.csv": "COMPLETED", "wide.csv": "NEW", "swapped.csv": "NEW"}
+    assert entries == {"file +[0].csv": "COMPLETED", "file +[1].csv": "COMPLETED", "wide.csv": "NEW", "narrow.csv": "NEW",
+                       "swapped.csv": "NEW"}
     assert (root / "raw/sales/orders/wide.csv").exists()
 
 
+def test_file_without_rows(spark, tmp_path, now):
+    land(tmp_path, "bare.csv", HEADER + "\n")
+    job = make_job(spark, tmp_path)
+    entries = ingest_folder(job, str(tmp_path), now(), "run")
+    assert [(r.stage, r.rows_read) for r in entries.collect()] == [("COMPLETED", 0)]
+
+
 def test_zero_byte_wrong_depth_and_other_tables_are_ignored(spark, root, now):
     land(root, "empty.csv", "")
     land(root, "x.csv", "a\n1\n", table="orders/deep")
     land(root, "y.csv", "a\n1\n", table="other")
     entries = ingest_folder(make_job(spark, root), str(root), now(), "run")
-    assert {r.file_name for r in entries.collect()} == {"file 0.csv", "file 1.csv"}
+    assert {r.file_name for r in entries.collect()} == {"file +[0].csv", "file +[1].csv"}
 
 
 def test_lost_file_is_an_error(spark, root, now):
     job = make_job(spark, root)
     ingest_folder(job, str(root), now(), "first", stop_after="NEW")
-    (root / "raw/sales/orders/file 0.csv").unlink()
+    (root / "raw/sales/orders/file +[0].csv").unlink()
     with pytest.raises(LostFiles):
         ingest_folder(job, str(root), now(), "second")
 

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewright.constants import ENTRY_KEYS
+from lakewright.operators.inventory import mirror_plan
 from lakewright.plans import sync
+from lakewright.sinks.mirror import apply_mirror
 from lakewright.sinks.publish import publish
 from lakewright.sources import documents, extract, landing, layout, listing
 
@@ -43,19 +45,18 @@ def test_folder_form_of_a_path(spark):
 
 
 def test_read_headers_takes_first_lines_only(spark, root):
-    found = landing.read_headers(spark, f"{root}/raw/a/t")
-    assert {(os.path.basename(r.file_path), r.column_name) for r in found.collect()} == {
-        ("1.csv", "x"), ("1.csv", "y"), ("2.csv", "x")}
+    found = landing.read_headers(landing.list_files(spark, f"{root}/raw/a/t").where("size > 0"))
+    assert {(os.path.basename(r.path), r.column_name, r.position) for r in found.collect()} == {
+        ("1.csv", "x", 0), ("1.csv", "y", 1), ("2.csv", "x", 0)}
 
 
-def test_headers_of_files_in_many_splits(spark, tmp_path):
-    (tmp_path / "big.csv").write_text("a,b\n" + "".join(f"{i},{i}\n" for i in range(3000)))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-    try:
-        assert [r.column_name for r in landing.read_headers(spark, str(tmp_path)).collect()] == ["a", "b"]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+def test_long_and_quoted_headers(spark, tmp_path):
+    names = [f"column {i}" for i in range(3000)]
+    (tmp_path / "wide.csv").write_bytes(("\ufeff" + ",".join(f'"{n}"' for n in names) + "\r\n1\r\n").encode())
+    (tmp_path / "bare.csv").write_text("only")
+    found = landing.read_headers(landing.list_files(spark, str(tmp_path))).collect()
+    assert [r.column_name for r in found if r.path.endswith("wide.csv")] == names
+    assert [r.column_name for r in found if r.path.endswith("bare.csv")] == ["only"]
 
 
 def test_move_files_twice(spark, root):
@@ -162,3 +163,19 @@ def test_landing_an_extraction_is_repeatable(spark, tmp_path):
         path = extract.land(spark.range(5), layout.Layout(str(tmp_path)), "erp", "part", "run1")
     assert spark.read.csv(path, header=True).count() == 5
     assert ENTRY_KEYS[0] == "source"
+
+
+def test_mirror_is_carried_out(spark, root, tmp_path):
+    share = tmp_path / "share"
+    (share / "old").mkdir(parents=True)
+    (share / "old" / "x").write_text("gone")
+    (share / "raw").mkdir()
+
+    plan = mirror_plan(landing.list_tree(spark, f"{root}/raw"), landing.list_tree(spark, str(share)))
+    plan = spark.createDataFrame(plan.collect())
+    for _ in range(2):
+        done = {r.path: r.status for r in apply_mirror(plan, f"{root}/raw", str(share)).collect()}
+    assert done == {"a/t/1.csv": "uploaded", "a/t/2.csv": "uploaded", "a/t/zero.csv": "uploaded",
+                    "a/deep/t/3.csv": "uploaded", "old/x": "deleted"}
+    assert (share / "a/t/1.csv").read_text() == "x,y\n1,2\n"
+    assert not (share / "old" / "x").exists()
