@@ -1,23 +1,30 @@
 """Lake tables on plain parquet.
 
 Append tables keep one partition directory per ingest id and overwrite it
-dynamically, so a repeated append replaces itself. Merge tables are written as
-a new version directory; a small numbered commit file, created only if absent,
-makes the version current. Readers always see one whole version.
+dynamically, so a repeated append replaces itself.
+
+Versioned tables are a list of directories; a small numbered commit file holds
+the list and makes a version current. Readers always see one whole version. A
+merge spreads rows over buckets of the key and rewrites only the buckets its
+updates fall into; the new version shares all other directories with the old
+one.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.history import merge
 from ..operators.ranking import cluster
 
 INGEST_ID = "_ingest_id"
+BUCKET = "_bucket"
 MAX_NAMED = 1000
 PLAIN_ID = re.compile(r"[A-Za-z0-9_.-]+")
 
@@ -27,9 +34,16 @@ class CommitConflict(RuntimeError):
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    """Tables below one folder. There is one writer per table, as there is one ingestion at a time.
+
+    `buckets` sizes merges: a table of T bytes rewrites T / `buckets` per bucket
+    that an update touches. It must not change while a table exists.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
     # -- paths ------------------------------------------------------------
 
@@ -93,38 +107,89 @@ class TableStore:
         target, fs = self._hadoop(f"{self.path(table)}/_commits")
         if not fs.exists(target):
             return 0
-        return max((int(s.getPath().getName()) for s in fs.listStatus(target)), default=0)
+        names = (s.getPath().getName() for s in fs.listStatus(target))
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def _parts(self, table: str, version: int) -> list[str]:
+        """Directories of a version; as many as buckets at most."""
+        target, fs = self._hadoop(f"{self.path(table)}/_commits/{version:08d}")
+        stream = fs.open(target)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _read_parts(self, table: str, parts: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path(table)}/{p}" for p in parts])
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path(table)}/v={self.version(table):08d}")
+        return self._read_parts(table, self._parts(table, self.version(table)))
 
     def write(self, table: str, df: DataFrame) -> int:
         """Replace the content; the previous version stays readable until it is vacuumed."""
         version = self.version(table) + 1
-        df.write.mode("overwrite").parquet(f"{self.path(table)}/v={version:08d}")
-        self._commit(table, version)
+        name = f"v={version:08d}"
+        df.write.mode("overwrite").parquet(f"{self.path(table)}/{name}")
+        self._commit(table, version, [name])
         return version
 
+    def _bucket_of(self, keys: Sequence[str]) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+
     def merge(self, table: str, updates: DataFrame, keys: Sequence[str], order: Sequence[str]) -> int:
-        """Upsert by key. Repeating a merge gives the same table."""
-        if self.version(table) == 0:
-            empty = updates.limit(0)
-            return self.write(table, merge(empty, updates, keys, order))
-        return self.write(table, merge(self.read(table), updates, keys, order))
+        """Upsert by key. Repeating a merge gives the same table.
+
+        The first merge into a table that has no buckets yet rewrites it.
+        """
+        old = self.version(table)
+        parts = self._parts(table, old) if old else []
+        bucketed = {int(p.rsplit("=", 1)[1]): p for p in parts if BUCKET in p}
+        plain = [p for p in parts if BUCKET not in p]
+        touched = {r[0] for r in updates.select(self._bucket_of(keys)).distinct().collect()}
+        rewritten = plain + [p for b, p in bucketed.items() if b in touched]
+        target = self._read_parts(table, rewritten) if rewritten else updates.limit(0)
+        version = old + 1
+        name = f"v={version:08d}"
+        folder = f"{self.path(table)}/{name}"
+        (
+            merge(target, updates, keys, order).withColumn(BUCKET, self._bucket_of(keys))
+            .hint("rebalance", F.col(BUCKET))
+            .write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
+        )
+        kept = [] if plain else [p for b, p in bucketed.items() if b not in touched]
+        self._commit(table, version, kept + [f"{name}/{d}" for d in self._folders(folder)])
+        return version
+
+    def _folders(self, path: str) -> list[str]:
+        target, fs = self._hadoop(path)
+        return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(target)) if n.startswith(f"{BUCKET}="))
 
     def optimize(self, table: str, columns: Sequence[str], target_files: int) -> int:
         """Rewrite the current version clustered by `columns`."""
         return self.write(table, cluster(self.read(table), columns, target_files))
 
     def vacuum(self, table: str, keep: int = 2) -> None:
-        """Drop versions older than the last `keep`; not while readers use them."""
+        """Drop what only versions before the last `keep` use; not while readers use them."""
         current = self.version(table)
-        for old in range(1, current - keep + 1):
-            target, fs = self._hadoop(f"{self.path(table)}/v={old:08d}")
-            fs.delete(target, True)
-
-    def _commit(self, table: str, version: int) -> None:
-        target, fs = self._hadoop(f"{self.path(table)}/_commits/{version:08d}")
-        if fs.exists(target) or not fs.createNewFile(target):
+        first = max(1, current - keep + 1)
+        needed = {p for v in range(first, current + 1) for p in self._parts(table, v)}
+        for old in range(1, first):
+            commit, fs = self._hadoop(f"{self.path(table)}/_commits/{old:08d}")
+            if not fs.exists(commit):
+                continue
+            for part in self._parts(table, old):
+                if part not in needed:
+                    target, fs = self._hadoop(f"{self.path(table)}/{part}")
+                    fs.delete(target, True)
+            fs.delete(commit, False)
+
+    def _commit(self, table: str, version: int, parts: list[str]) -> None:
+        folder = f"{self.path(table)}/_commits"
+        target, fs = self._hadoop(f"{folder}/{version:08d}")
+        draft, _ = self._hadoop(f"{folder}/_draft-{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
+        stream.write(bytearray(json.dumps(parts).encode()))
+        stream.close()
+        if fs.exists(target) or not fs.rename(draft, target):
+            fs.delete(draft, False)
             raise CommitConflict(f"version {version} of {table} exists already")
-

@@ -73,10 +73,24 @@ def test_unfinished_version_is_invisible(spark, store):
     store.write("t", spark.range(4))
     assert store.read("t").count() == 4
     with pytest.raises(CommitConflict):
-        store._commit("t", 2)
+        store._commit("t", 2, [])
 
 
 def test_optimize_keeps_rows(spark, store):
     store.write("t", spark.range(500).select("id", (F.col("id") % 7).alias("n")))
     store.optimize("t", ["n", "id"], 4)
     assert store.read("t").count() == 500
+
+
+def test_merge_rewrites_touched_buckets_only(spark, store):
+    store.merge("t", spark.range(1000).selectExpr("id", "'old' v"), ["id"], ["v"])
+    before = set(store._parts("t", 1))
+    store.merge("t", spark.createDataFrame([(5, "new"), (2000, "new")], "id bigint, v string"), ["id"], ["v"])
+    after = set(store._parts("t", 2))
+    assert len(before) == len(after) == 16 and len(after - before) <= 2
+    table = store.read("t")
+    assert table.columns == ["id", "v"]
+    assert table.count() == 1001 and table.where("v = 'new'").count() == 2
+    store.vacuum("t", keep=1)
+    assert store.read("t").count() == 1001
+    assert store.version("t") == 2
