@@ -36,7 +36,8 @@ def tagged_sql(unique_by: str) -> str:
 TAGGED = tagged_sql("s.o_orderkey")
 TEST_NAMES = ("not_null_o_orderkey", "unique_o_orderkey", "not_null_o_custkey", "relationships_o_custkey",
               "accepted_values_o_orderstatus", "not_null_o_totalprice", "expression_o_totalprice")
-ROW = ", ".join(STAGED)
+SHOWN = {"o_totalprice": "double", "o_orderdate": "string"}
+ROW = ", ".join(f"cast({c} as {SHOWN[c]}) as {c}" if c in SHOWN else c for c in STAGED)
 
 
 @query("staged_read", f"select {ROW} from <<staged_orders>>")
@@ -46,7 +47,7 @@ def _(t):
 
 @query("pre_process_hook", """
     select file_path, try_cast(o_orderkey as bigint) as o_orderkey,
-           try_cast(case when o_totalprice <> 'bad' then o_totalprice end as decimal(18,2)) as o_totalprice,
+           cast(try_cast(case when o_totalprice <> 'bad' then o_totalprice end as decimal(18,2)) as double) as o_totalprice,
            upper(o_orderpriority) as o_orderpriority
     from <<raw_orders>> where o_orderstatus <> 'X'""")
 def _(t):

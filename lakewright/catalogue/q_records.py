@@ -190,7 +190,8 @@ def _(t):
 
 
 @query("dedupe_on_key", """
-    select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_returnflag from (
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, cast(l_quantity as double) as l_quantity,
+           l_returnflag from (
         select *, row_number() over (partition by l_orderkey, l_linenumber
             order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_quantity desc, l_returnflag desc) as rn
         from <<repeated_updates>>) u where rn = 1""")
@@ -199,9 +200,13 @@ def _(t):
                   ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"])
 
 
-@query("merge_to_source", """
-    select * from <<target_orders>> where o_orderkey not in (select o_orderkey from <<order_updates>>)
-    union all select * from <<order_updates>>""")
+MERGED = """
+    select o_orderkey, o_custkey, o_orderstatus, cast(o_totalprice as double) as o_totalprice from (
+        select * from <<target_orders>> where o_orderkey not in (select o_orderkey from <<order_updates>>)
+        union all select * from <<order_updates>>) m"""
+
+
+@query("merge_to_source", MERGED)
 def _(t):
     return merge(t["target_orders"], t["order_updates"], ["o_orderkey"], ["o_totalprice"])
 

@@ -20,6 +20,7 @@ from ..streaming import landing as stream_landing
 from ..streaming import state
 from .q_ledger import entries
 from .q_quality import ROW, SPEC, STAGED, TEST_NAMES, staged, tagged_sql, tests
+from .q_records import MERGED
 from .registry import Tables, query
 
 PER_FILE = tagged_sql("s.file_path, s.o_orderkey")
@@ -68,7 +69,7 @@ def _(t):
 # --- stores -----------------------------------------------------------------------
 
 @query("append_to_source", """
-    select o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+    select o_orderkey, o_custkey, o_orderstatus, cast(o_totalprice as double) as o_totalprice,
            concat('f', cast(o_orderkey % 3 as string)) as _ingest_id from <<target_orders>>""")
 def _(t):
     store = new_store(t, "append")
@@ -79,9 +80,7 @@ def _(t):
     return store.read_appended("orders")
 
 
-@query("merge_versions", """
-    select * from <<target_orders>> where o_orderkey not in (select o_orderkey from <<order_updates>>)
-    union all select * from <<order_updates>>""")
+@query("merge_versions", MERGED)
 def _(t):
     store = new_store(t, "merge")
     store.write("orders", t["target_orders"])
@@ -127,7 +126,7 @@ def _(t):
 
 REVENUE = """
     select n_name, cast(year(o_orderdate) as int) as order_year,
-           cast(sum(cast(l_extendedprice as decimal(18,2))) as decimal(28,2)) as gross, count(*) as lines
+           cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as gross, count(*) as lines
     from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
          join nation on c_nationkey = n_nationkey
     group by n_name, year(o_orderdate)"""
@@ -171,7 +170,8 @@ def _(t):
 
 
 @query("external_extract", """
-    select p_partkey, p_name, p_brand, p_size, cast(p_retailprice as decimal(18,2)) as p_retailprice from part""")
+    select p_partkey, p_name, p_brand, p_size,
+           cast(cast(p_retailprice as decimal(18,2)) as double) as p_retailprice from part""")
 def _(t):
     schema = "p_partkey bigint, p_name string, p_brand string, p_size int, p_retailprice decimal(18,2)"
     remote = scratch_path(t.spark, "remote")

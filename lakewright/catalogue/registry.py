@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .fixtures import BASE_TABLES, VIEWS
 
@@ -44,11 +44,19 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
+def plain_types(df: DataFrame) -> DataFrame:
+    """Results in types every client shows alike: decimals as doubles, dates as text."""
+    shown = {"decimal": "double", "date": "string"}
+    return df.select(*[
+        F.col(c).cast(shown[kind.split("(")[0]]).alias(c) if kind.split("(")[0] in shown else F.col(c)
+        for c, kind in df.dtypes])
+
+
 def query(name: str, oracle: str | None = None):
     def add(run: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered already")
-        QUERIES[name] = Query(run, oracle)
+        QUERIES[name] = Query(lambda tables: plain_types(run(tables)), oracle)
         return run
     return add
 
