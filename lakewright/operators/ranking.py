@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 
-SAMPLE = 4096
-RANGES = 256
+# Distinct values one task ranks, and the most ranges the values are cut into.
+TASK_VALUES = 1_000_000
+MAX_RANGES = 4096
+SAMPLE = 4 * MAX_RANGES
 
 
 def _bounds(values: DataFrame, ranges: int) -> list:
@@ -24,15 +26,18 @@ def _bounds(values: DataFrame, ranges: int) -> list:
     return picked[step::step][: ranges - 1]
 
 
-def dense_ranks(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
+def dense_ranks(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
     """(`value`, `rank` from 0, `n` distinct values), one row per non-NULL value of `column`.
 
-    Distinct values are cut into value ranges; a rank is the position inside
-    the range plus the size of the ranges before it.
+    Distinct values are cut into value ranges (`ranges`, by default as their
+    number asks for); a rank is the position inside the range plus the size of
+    the ranges before it.
     """
     present = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
     values = cut_lineage(present.distinct(), "values")
-    cuts = _bounds(values, ranges)
+    if ranges is None:
+        ranges = min(MAX_RANGES, values.count() // TASK_VALUES + 1)
+    cuts = _bounds(values, ranges) if ranges > 1 else []
     part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value"))) if cuts else F.lit(0)
     placed = values.withColumn("_range", part)
     # One row per range, at most `ranges` rows.

@@ -140,7 +140,7 @@ class Ingestion:
         Entries that were staged together move on together, so open ones that
         share a staging attempt with the batch are part of it.
         """
-        mine = cut_lineage(self._batch_entries(batch), "entries")
+        mine = self._batch_entries(batch)
         attempts = mine.where(F.col(BATCH).isNotNull() & (F.col("stage") != "COMPLETED")).select(
             BATCH, "stage").distinct()
         others = self.ledger.entries().join(attempts, [BATCH, "stage"], "left_semi").join(
@@ -167,7 +167,8 @@ class Ingestion:
         """Typed rows into one partition; `_row` numbers them for the steps that follow."""
         name = attempt(run_id)
         rows = self.hooks.apply(read_rows(entries), self.spec.source, self.spec.table)
-        rows = rows.withColumn(INGEST_ID, ingest_id()).join(entries.select(INGEST_ID), INGEST_ID, "left_semi")
+        # Ids come with the entries: hashing is per file, not per row.
+        rows = rows.join(entries.select(*KEYS, INGEST_ID), KEYS)
         typed = quality.cast_columns(rows, self.spec.columns, [INGEST_ID, *KEYS])
         # Numbered in the task that writes: no shuffle may follow the numbering.
         self.store.append(self.staging, typed.withColumns(

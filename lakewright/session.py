@@ -48,7 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A new, never reused path below the shared folder."""
-    return f"{shared_dir(spark)}/lakewright/{purpose}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lakewright/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application wrote below the shared folder; its frames must not be used any more."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def cut_lineage(df: DataFrame, purpose: str = "step") -> DataFrame:

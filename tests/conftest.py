@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from lakewright.session import build_session  # noqa: E402
+from lakewright.session import build_session, drop_scratch  # noqa: E402
 
 SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()
 
 

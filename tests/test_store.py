@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lakewright.session import cut_lineage, scratch_path, shared_dir
 from lakewright.sinks.store import CommitConflict, TableStore
 
 
@@ -9,6 +10,14 @@ def store(spark, tmp_path):
     return TableStore(spark, str(tmp_path / "lake"))
 
 
+def test_scratch_lies_in_the_named_folder(spark):
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert shared_dir(spark) == named
+    assert scratch_path(spark, "x").startswith(f"{named}/lakewright/{spark.sparkContext.applicationId}/x-")
+    kept = cut_lineage(spark.range(3))
+    assert kept.count() == 3 and kept.inputFiles()[0].startswith(f"file://{named}")
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()))
 
