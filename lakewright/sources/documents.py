@@ -10,8 +10,8 @@ RESOURCES = (
     "dependencies: array<string>, property_dependencies: map<string, array<string>>>>>"
 )
 
-# Paths per environment kind: (field, path, required). A required parent that
-# is missing is an error; a missing leaf is NULL.
+# Fields per kind of environment, as (name, path). A missing required path is an
+# error; any other missing path is NULL.
 WORKSPACE_FIELDS = (
     ("credentials_store_name", "$.root.security.credentials_store.key_vault_name"),
     ("engineering_url", "$.root.analytics.workspaces.engineering.url"),
