@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from lakewright.session import scratch_path
+
+from . import backoff, bitplanes, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,3 +28,45 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.simhash_groups(table(spark, folder, "documents"))
+
+
+@query
+def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without windows of 13 words that an earlier one has."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substrings.without_repeats(docs, 13).select(
+        "doc_id", "n_words", "n_removed", substrings.digest("kept").alias("kept_sha256"))
+
+
+ORACLE_SQL["op7_substrings"] = r"""
+with words as (
+    select doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
+windows as (
+    select doc_id, i, array_to_string(w[i:i + 12], ' ') as s
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) as i from words)),
+firsts as (select s, min(doc_id) as first from windows group by s),
+gone as (
+    select distinct doc_id, p
+    from (select doc_id, unnest(range(i, i + 13)) as p from windows join firsts using (s) where doc_id > first)),
+positions as (select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as word from words),
+kept as (
+    select doc_id, count(*) as n, string_agg(word, ' ' order by p) as t
+    from positions anti join gone using (doc_id, p) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from words left join kept using (doc_id)
+"""
+
+
+@query
+def op9_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document under single words and under the automaton of word pairs."""
+    return backoff.lm_scores(table(spark, folder, "documents"))
+
+
+@query
+def op1_bitplanes(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, written as bit planes and read back."""
+    path = scratch_path(spark, "ids")
+    bitplanes.write_ids(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return bitplanes.id_checksums(spark, path)
