@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,19 @@ def build_session(app: str = "lakewright", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application: tasks import it wherever the driver was started."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    name = f"{package.name}-{context.applicationId}.zip"
+    if not any(name in str(path) for path in context._python_includes):
+        archive = Path(tempfile.mkdtemp(prefix=package.name), name)  # read by the driver's own file server only
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`.
 
