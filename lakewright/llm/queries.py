@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakewright.session import scratch_path
 
-from . import backoff, bitplanes, simhash, substrings
+from . import backoff, bitplanes, chunk_bpe, fingerprints, mixing, pivots, rules, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,3 +70,56 @@ def op1_bitplanes(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "ids")
     bitplanes.write_ids(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return bitplanes.id_checksums(spark, path)
+
+
+@query
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return fingerprints.neighbour_prints(table(spark, folder, "documents"))
+
+
+@query
+def op4_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document by shared chunks, and the text decoded from them, as digests."""
+    return chunk_bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
+@query
+def op3_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document."""
+    return rules.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op6_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 largest inner products of every fiftieth vector."""
+    return pivots.top_inner_products(table(spark, folder, "embeddings"))
+
+
+ORACLE_SQL["op6_pivots"] = """
+with usable as (
+    select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+queries as (select distinct on (vec_id) vec_id as query_id, v as q from usable where vec_id % 50 = 0),
+scored as (
+    select query_id, vec_id, cast(list_inner_product([cast(x as double) for x in q], [cast(x as double) for x in v]) as bigint) as score
+    from queries join usable on query_id <> vec_id and len(q) = len(v)),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from scored)
+select query_id, cast(n as integer) as rank, vec_id, score from ranked where n <= 5
+"""
+
+
+@query
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How often, in which epochs and where every document is used."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    counted = docs.select("doc_id", "source", mixing.n_tokens("text").alias("n_tokens"), "text")
+    return mixing.mixed(counted).drop("text")
