@@ -214,7 +214,7 @@ class Automaton:
         return total
 
 
-def lm_scores(docs: DataFrame, order: int = 2, strength: float = 10.0, key: str = "doc_id", text: str = "text",
+def lm_scores(docs: DataFrame, order: int = 2, strength: float = 300.0, key: str = "doc_id", text: str = "text",
               folds: int = 7, fold: int = 2) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens (long), base_score, score (double, log10).
 

@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import LAST_ID, longs, pack_longs, rows_by_size, shuffle_parts, texts, unpack_longs
 from .encoding import encoder
@@ -130,9 +130,18 @@ def read_chunk(payload: bytes, begin: int, ends: list[int], n: int, bits: bool =
     return from_planes(planes, n, bits)
 
 
-def read_ids(spark: SparkSession, path: str, bits: bool = True) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit) from the files."""
+def read_ids(spark: SparkSession, path: str, bits: bool = True, checksums: bool = False) -> DataFrame:
+    """From the files doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit).
+
+    checksums: ids_crc32 (long) in place of the ids.
+    """
     segments = spark.read.schema(_SEGMENTS).parquet(path)
+    # One number per part: as many as the files were dealt to.
+    sizes = {r.part: r.n for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    first, total = {}, 0
+    for part in sorted(sizes):
+        first[part], total = total, total + sizes[part]
+    result = pa.field("ids_crc32", pa.int64()) if checksums else pa.field("ids", pa.binary())
 
     def task(batches):
         for batch in batches:
@@ -141,23 +150,13 @@ def read_ids(spark: SparkSession, path: str, bits: bool = True) -> DataFrame:
                 for n, ends in zip(row["chunk_ids"], row["plane_ends"]):
                     ids.append(read_chunk(row["payload"], begin, ends, n, bits))
                     begin = ends[-1] if ends else begin
-                data = np.concatenate(ids).astype("<u4").tobytes() if ids else b""
-                sizes = unpack_longs(row["sizes"])
-                ends = np.cumsum(sizes)
-                yield pa.record_batch({
-                    "part": np.full(len(sizes), row["part"], np.int32), "doc": unpack_longs(row["docs"]),
-                    "own": row["start"] + ends - sizes, "n_tokens": sizes,
-                    "ids": pa.array([data[4 * (e - n):4 * e] for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())})
-
-    # One row per part: as many as the files were dealt to.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
-        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    found = segments.mapInArrow(task, "part int, doc long, own long, n_tokens long, ids binary")
-    return found.join(parts, "part").select(
-        F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), (F.col("first") + F.col("own")).alias("start"), "n_tokens", "ids")
-
-
-def id_checksums(spark: SparkSession, path: str, bits: bool = True) -> DataFrame:
-    """As `read_ids`, with `ids_crc32` in place of the ids."""
-    return read_ids(spark, path, bits).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+                data = memoryview(np.concatenate(ids).astype("<u4").tobytes() if ids else b"")
+                own = unpack_longs(row["sizes"])
+                ends = np.cumsum(own)
+                parts = [data[4 * (e - n):4 * e] for e, n in zip(ends.tolist(), own.tolist())]
+                values = [zlib.crc32(p) for p in parts] if checksums else [bytes(p) for p in parts]
+                yield pa.record_batch({"doc": unpack_longs(row["docs"]), "start": first[row["part"]] + row["start"] + ends - own,
+                                       "n_tokens": own, result.name: pa.array(values, result.type)})
+
+    found = segments.mapInArrow(task, f"doc long, start long, n_tokens long, {'ids_crc32 long' if checksums else 'ids binary'}")
+    return found.select(F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), "start", "n_tokens", result.name)

@@ -69,7 +69,7 @@ def op1_bitplanes(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document, written as bit planes and read back."""
     path = scratch_path(spark, "ids")
     bitplanes.write_ids(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return bitplanes.id_checksums(spark, path)
+    return bitplanes.read_ids(spark, path, checksums=True)
 
 
 @query
