@@ -19,12 +19,14 @@ BITS = 64
 PIECE = 16_384
 #: Words of 64 lanes compared at once.
 LANES = 1 << 16
+#: Bytes of a signature: bins of a one-permutation minimum hash.
+SIGNATURE = 64
 #: A count kept in a byte lane stays below 256.
 LANE_ROWS = 255
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """`doc`, `fp` (long): bit b is set where over half of the shingles' XXH64 have it.
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, signed: bool = False) -> DataFrame:
+    """`doc`, `fp` (long): bit b is set where over half of the shingles' XXH64 have it; signed: `sig` (binary) as well.
 
     Words are what lies between ASCII white space, A-Z in lower case; fewer
     words than a shingle make one shingle, none (null, empty) makes zero.
@@ -32,16 +34,17 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     """
     def task(batches):
         for batch in rows_by_size(batches, 1 << 20):
-            prints = [_fingerprint(x, words) for x in batch.column("body").to_pylist()]
-            yield pa.record_batch({"doc": batch.column("doc"), "fp": np.array(prints, np.uint64).view(np.int64)})
+            found = [_fingerprint(x, words, signed) for x in batch.column("body").to_pylist()]
+            columns = {"doc": batch.column("doc"), "fp": np.array([f for f, _ in found], np.uint64).view(np.int64)}
+            yield pa.record_batch(columns | ({"sig": pa.array([s for _, s in found], pa.binary())} if signed else {}))
 
-    return texts(docs, key, text).mapInArrow(task, "doc long, fp long")
+    return texts(docs, key, text).mapInArrow(task, "doc long, fp long" + ", sig binary" * signed)
 
 
-def _fingerprint(data: bytes, size: int) -> int:
+def _fingerprint(data: bytes, size: int, signed: bool = False) -> tuple[int, bytes]:
     found = data.lower().split()
     if not found:
-        return 0
+        return 0, bytes(SIGNATURE)
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
@@ -49,56 +52,71 @@ def _fingerprint(data: bytes, size: int) -> int:
     size = min(size, len(found))
     starts, ends = starts[: len(found) - size + 1].tolist(), ends[size - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(BITS, np.int64)
+    counts, least = np.zeros(BITS, np.int64), np.full(SIGNATURE, ~np.uint64(0))
     for at in range(0, len(starts), LANES):
         hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts[at:at + LANES], ends[at:at + LANES])], "<u8")
         # Eight byte lanes a word: sums of up to 255 rows stay inside their lanes.
         lanes = np.unpackbits(hashes.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
         sums = np.add.reduceat(lanes, np.arange(0, len(lanes), LANE_ROWS), axis=0)
         counts += sums.view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
+        if signed:
+            np.minimum.at(least, (hashes >> np.uint64(58)).astype(np.int64), hashes << np.uint64(6))
+    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0]), _signature(least) if signed else b""
 
 
-def block_masks(radius: int, kept: int = 3) -> list[int]:
-    """Masks of which any two fingerprints within `radius` bits agree on one at least.
+def _signature(least: np.ndarray) -> bytes:
+    """A byte of the least hash of each of 64 bins; an empty bin takes the byte of the next full one, changed by how far that is."""
+    full = np.flatnonzero(least != ~np.uint64(0))
+    if not len(full):
+        return bytes(SIGNATURE)
+    place = np.arange(SIGNATURE)
+    after = np.searchsorted(full, place) % len(full)
+    far = (full[after] - place) % SIGNATURE
+    return ((least[full[after]] >> np.uint64(6)).astype(np.uint8) + (far * 37).astype(np.uint8)).tobytes()
 
-    The bits fall into radius + kept blocks; at most `radius` of them hold a
-    difference, so some choice of `kept` blocks is equal on both sides.
+
+def block_masks(blocks: int, kept: int) -> list[int]:
+    """Every choice of `kept` out of `blocks` blocks of bits, as masks.
+
+    Two fingerprints within blocks - kept bits agree on one mask at least: no
+    more blocks than that hold a difference, so `kept` of them are equal on both sides.
     """
-    cuts = np.linspace(0, BITS, radius + kept + 1).round().astype(int).tolist()
+    cuts = np.linspace(0, BITS, blocks + 1).round().astype(int).tolist()
     blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
     return [sum(chosen) for chosen in combinations(blocks, kept)]
 
 
-def links(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """`a`, `b`: links within `radius` bits that span every component of distinct fingerprints `fp`.
+def links(prints: DataFrame, radius: int = 3, masks: list[int] | None = None, agree: float | None = None) -> DataFrame:
+    """`a`, `b`: links within `radius` bits that span every component of distinct `node`s with fingerprints `fp`.
 
-    Each bucket of equal masked bits gives a forest over its members, not
+    masks: None for those that lose no link. agree: links also need that share of equal bytes in
+    the nodes' signatures `sig`. Each bucket of equal masked bits gives a forest over its members, not
     all its pairs. A bucket of more than PIECE members is cut into pieces,
     and every pair of pieces is a task of its own.
     """
     def signed(mask: int) -> int:
         return mask - (1 << 64) if mask >> 63 else mask
 
-    keyed = prints.select("fp", F.posexplode(F.array(*[
-        F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in block_masks(radius)])).alias("t", "k"))
+    own_columns = ["fp", "node"] + ["sig"] * (agree is not None)
+    keyed = prints.select(*own_columns, F.posexplode(F.array(*[
+        F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks or block_masks(radius + 3, 3)])).alias("t", "k"))
     large = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > PIECE)
     pieces = F.ceil(F.coalesce("n", F.lit(1)) / PIECE).cast("int")
-    own, other = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"), F.col("other")
+    own, other = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"), F.col("other")
     dealt = (keyed.join(large, ["t", "k"], "left").withColumn("pieces", pieces).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-             .select("t", "k", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), "own", "fp"))
+             .select("t", "k", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), *own_columns))
     bucket = ["t", "k", "i", "j"]
 
     def task(batches):
         for group in _whole_groups(batches):
-            yield pa.record_batch(forest(*group, radius), names=["a", "b"])
+            yield pa.record_batch(forest(*group, radius, agree), names=["a", "b"])
 
-    return dealt.repartition(*bucket).sortWithinPartitions(*bucket, "own", "fp").mapInArrow(task, "a long, b long")
+    return dealt.repartition(*bucket).sortWithinPartitions(*bucket, "node").mapInArrow(task, "a long, b long")
 
 
 def _whole_groups(batches, rows: int = 1 << 17):
-    """Fingerprints and bucket numbers of many whole buckets at once."""
+    """Fingerprints, nodes, signatures (or None) and bucket numbers of many whole buckets at once."""
     kept: list[pa.RecordBatch] = []
 
     def cut(final: bool):
@@ -108,7 +126,9 @@ def _whole_groups(batches, rows: int = 1 << 17):
         end = len(new) if final else int(np.flatnonzero(new)[-1])
         group = None
         if end:
-            group = table.column("fp").to_numpy()[:end].view(np.uint64), np.cumsum(new[:end]) - 1
+            part = table.slice(0, end)
+            sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(end, -1) if "sig" in table.column_names else None
+            group = part.column("fp").to_numpy().view(np.uint64), part.column("node").to_numpy(), sigs, np.cumsum(new[:end]) - 1
         return group, table.slice(end).to_batches()
 
     held = 0
@@ -161,8 +181,9 @@ def near_lanes(planes: np.ndarray, words: np.ndarray, queries: np.ndarray, radiu
     return places[near != 0], near[near != 0]
 
 
-def forest(prints: np.ndarray, buckets: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Links (member, smallest-placed member of its component) inside every bucket."""
+def forest(prints: np.ndarray, nodes: np.ndarray, sigs: np.ndarray | None, buckets: np.ndarray, radius: int,
+           agree: float | None) -> list[np.ndarray]:
+    """Links (member, first member of its component) inside every bucket."""
     starts, ends = runs(buckets)
     many = ends - starts > 1
     starts, sizes = starts[many], (ends - starts)[many]
@@ -190,10 +211,16 @@ def forest(prints: np.ndarray, buckets: np.ndarray, radius: int) -> list[np.ndar
                     lanes[part:part + 4096].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64))
                 pair = at[part:part + 4096][pair]
                 a, b = member[query[pair]], used[word[pair] * 64 + lane]
-                join(roots, a[b >= 0], b[b >= 0])
+                a, b = a[b >= 0], b[b >= 0]
+                if agree is not None:
+                    apart = roots[a] != roots[b]
+                    a, b = a[apart], b[apart]
+                    same = (sigs[a] == sigs[b]).mean(axis=1) >= agree
+                    a, b = a[same], b[same]
+                join(roots, a, b)
             start = stop
     linked = np.flatnonzero(roots != np.arange(len(roots)))
-    return [prints[linked].view(np.int64), prints[roots[linked]].view(np.int64)]
+    return [nodes[linked], nodes[roots[linked]]]
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:
@@ -222,21 +249,39 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     null id is never a component's number unless all its documents have none.
     An empty table gives an empty result; other columns are not read.
     """
-    prints = cut_lineage(fingerprints(docs, key, text, words), "prints")
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc").alias("first")), "distinct")
-    roots = connected_components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = cut_lineage(fingerprints(docs, key, text, words).withColumn("node", F.col("fp")), "prints")
+    return _grouped(prints, lambda nodes: links(nodes, radius))
+
+
+def _grouped(prints: DataFrame, linked) -> DataFrame:
+    own = [c for c in prints.columns if c != "doc"]
+    distinct = cut_lineage(prints.groupBy(*own).agg(F.min("doc").alias("first")), "distinct")
+    roots = connected_components(linked(distinct))
+    rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(
+    return prints.join(rooted.join(least, "root").select("node", "component_id"), "node").select(
         F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """The documents with one of each group left, the one with the smallest id, all columns as they were.
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
+                   reach: int = 14, blocks: int = 10, kept: int = 2) -> DataFrame:
+    """As `simhash_groups`, for texts whose sets of shingles are similar (shared part of all) by `similarity` or more.
+
+    Fingerprints of texts so similar differ in about a sixth of their bits, which other pairs come
+    near too. So the comparison reaches further, and what it finds has to agree in a signature of 64 minimum hashes;
+    its share of equal bytes estimates the similarity to 0.05. Pairs within blocks - kept bits
+    always meet in a bucket, pairs of `reach` bits in three of four cases.
+    """
+    prints = fingerprints(docs, key, text, words, signed=True).withColumn("node", F.xxhash64("fp", "sig"))
+    return _grouped(cut_lineage(prints, "prints"), lambda nodes: links(nodes, reach, block_masks(blocks, kept), similarity))
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents with one of each group of `similar_groups` left, the one with the smallest id, all columns as they were.
 
     Of rows with one id one stays. Rows without an id cannot be told apart by it and stay.
     """
-    groups = simhash_groups(docs, key, text, words, radius)
+    groups = similar_groups(docs, key, text, words, similarity)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
     kept = docs.join(first, key, "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))
