@@ -116,9 +116,10 @@ VIEWS = {
     "target_orders": """
         select o_orderkey, o_custkey, o_orderstatus, cast(o_totalprice as decimal(18,2)) as o_totalprice
         from <<orders>> where o_orderkey % 3 <> 0""",
+    # With the targets, every order is on one side at least.
     "order_updates": """
         select o_orderkey, o_custkey, 'U' as o_orderstatus, cast(o_totalprice as decimal(18,2)) as o_totalprice
-        from <<orders>> where o_orderkey % 2 = 0""",
+        from <<orders>> where o_orderkey % 2 = 0 or o_orderkey % 3 = 0""",
     # Several updates per key.
     "repeated_updates": """
         select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
@@ -141,15 +142,22 @@ VIEWS = {
                cast(15 + c_nationkey as string) as default_minutes
         from <<customer>>""",
     "log_rows": """
-        select event_id, ts, event_type as category, concat('type', cast(user_id % 5 as string)) as resource_type
+        select event_id, ts, event_type as category, concat('type', cast(user_id % 5 as string)) as resource_type,
+               concat('r', cast(user_id as string)) as resource_id,
+               case when event_id % 3 = 0 then 'metric' else 'log' end as kind
         from <<events>>""",
-    # Routing flags; type4 has none.
-    "log_flags": """
-        select 'type0' as resource_type, true as enabled, cast(null as boolean) as logs_enabled,
-               cast(null as boolean) as metrics_enabled, cast(null as string) as categories
-        union all select 'type1', false, cast(null as boolean), cast(null as boolean), cast(null as string)
-        union all select 'type2', true, cast(null as boolean), cast(null as boolean), 'error;click'
-        union all select 'type3', false, true, cast(null as boolean), 'view'""",
+    # Switches of types; type4 has none.
+    "log_types": """
+        select 'type0' as resource_type, true as enabled union all select 'type1', false
+        union all select 'type2', true union all select 'type3', false""",
+    # Switches of resources: every pair of on, off and unset; every fourth resource has none.
+    "log_resources": """
+        select concat('r', cast(user_id as string)) as resource_id,
+               case user_id % 3 when 1 then true when 2 then false end as logs_enabled,
+               case cast(floor(user_id / 3) as bigint) % 3 when 1 then true when 2 then false end as metrics_enabled,
+               case when user_id % 5 = 0 then 'error;click' end as log_categories,
+               case when user_id % 7 = 0 then 'view' end as metric_categories
+        from (select distinct user_id from <<events>>) u where user_id % 4 <> 3""",
     # References by key, by literal id, by both, by neither.
     "references_made": """
         select o_orderkey, case when o_orderkey % 3 = 0 then null
@@ -169,29 +177,25 @@ VIEWS = {
             '","urn":"urn:stack::', event_type, '/index:', cast(user_id as string),
             '"},{"op":"create","urn":"urn:stack::', event_type, '/last:', cast(event_id % 7 as string), '"}]}') as doc
         from <<events>>""",
-    # State documents with nested resource records.
+    # State documents with nested records: folders and links of the lake, and a zone that only mentions them.
     "state_docs": """
         select event_id, concat(
-            '{"deployment":{"resources":[{"urn":"urn::lake:table/', event_type, ':', cast(user_id as string),
-            '","type":"lake:table/', case when event_id % 2 = 0 then 'secret:Secret' else 'oldMount:OldMount' end,
-            '","dependencies":["urn::lake:table/x', cast(event_id % 5 as string), '","urn::other/oldMount:OldMount"],',
-            '"property_dependencies":{"scope":["lake:table/s', cast(user_id % 3 as string), '"],"keep":["lake:table/k"]}},',
-            '{"urn":"urn::net/', cast(event_id as string), '","type":"net:lake:table/y",',
-            '"dependencies":["lake:table/z"],"property_dependencies":{"scope":["lake:table/t"]}}]}}') as doc
+            '{"deployment":{"resources":[{"urn":"urn::lake:catalog/', event_type, ':', cast(user_id as string),
+            case when event_id % 2 = 0 then '/folder:Folder","type":"lake:catalog/folder:Folder'
+                 else '/link:Link","type":"lake:catalog/link:Link' end,
+            '","dependencies":["urn::lake:catalog/x', cast(event_id % 5 as string), '","urn::other/link:Link"],',
+            '"property_dependencies":{"target":["lake:catalog/s', cast(user_id % 3 as string), '"],"keep":["lake:catalog/k"]}},',
+            '{"urn":"urn::zone/lake:catalog/link:Link/', cast(event_id as string), '","type":"zone:lake:catalog/link:Link",',
+            '"dependencies":["lake:catalog/z"],"property_dependencies":{"target":["lake:catalog/t"]}}]}}') as doc
         from <<events>>""",
-    # Output documents of several environments, optional parts missing here and there.
+    # Documents of shops in several regions, parts missing here and there.
     "output_docs": """
-        select event_id, case event_id % 5 when 0 then 'dev' when 1 then 'test' when 2 then 'prod'
-                                           when 3 then 'shared' else 'scratch' end as env,
-               concat('{"root":{"metadata":{"org_id":"o', cast(user_id % 5 as string), '","project_id":"p',
-                      cast(user_id as string), '"},"security":{"credentials_store":{',
-                      case when event_id % 50 = 0 then '' else concat('"key_vault_name":"kv', cast(user_id as string), '"') end,
-                      '}},"analytics":{"workspaces":{',
-                      case when event_id % 4 = 0 then '' else concat('"engineering":{"url":"https://e', cast(user_id as string), '"}') end,
-                      '},"factories":{"data":{"url":"https://f', event_type, '"}},"documentation":{}',
-                      case when event_id % 7 = 0 then ',"notebooks":{"url":"https://n"}' else '' end,
-                      '},"storage":{"datalake":{"containers_view_url":"https://d"}}',
-                      case when event_id % 3 = 0 then ',"devops":{"project":{"url":"https://v"}}' else '' end,
-                      '}}') as doc
+        select event_id, case event_id % 5 when 0 then 'north' when 1 then 'south' when 2 then 'east'
+                                           when 3 then 'hub' else 'spare' end as env,
+               concat('{"shop":{"owner":{"id":"o', cast(user_id % 5 as string), '"', 
+                      case when event_id % 4 = 0 then '' else concat(',"mail":"m', cast(user_id as string), '@example.com"') end,
+                      '}},"ledger":{', case when event_id % 50 = 0 then '' else concat('"region":{"code":"', event_type, '"}') end,
+                      '},"links":{"catalogue":"https://c', cast(user_id as string), '"',
+                      case when event_id % 3 = 0 then ',"exchange":"https://x"' else '' end, '}}') as doc
         from <<events>>""",
 }

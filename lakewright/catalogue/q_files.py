@@ -193,21 +193,37 @@ def _(t):
         "event_id", "z")
 
 
+#: Declared types of all given tables.
 DOCUMENT_COLUMNS = {
-    "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"),
-                 ("c_mktsegment", "string")],
-    "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
-               ("o_totalprice", "double"), ("o_orderpriority", "string")],
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
+DECLARED = {table: dict(c.split(" ") for c in columns.split(", ")) for table, columns in DOCUMENT_COLUMNS.items()}
+
+
+def _bound(f: str, column: str, kind: str) -> str:
+    return "cast(null as varchar)" if kind.startswith("array") else f"cast({f}({column}) as string)"
 
 
 @query("table_documentation", " union all ".join(
     f"select '{table}' as table_name, '{column}' as column_name, '{kind}' as type, count(*) as rows, "
     f"count(*) - count({column}) as nulls, count(distinct {column}) as distinct_values, "
-    f"cast(min({column}) as string) as min_value, cast(max({column}) as string) as max_value from {table}"
-    for table, columns in DOCUMENT_COLUMNS.items() for column, kind in columns))
+    f"{_bound('min', column, kind)} as min_value, {_bound('max', column, kind)} as max_value, '{kind}' as declared_type from {table}"
+    for table, columns in DECLARED.items() for column, kind in columns.items()))
 def _(t):
-    customer, orders = (
-        models.document_table(t[table], table, [c for c, _ in columns], exact=True)
-        for table, columns in DOCUMENT_COLUMNS.items())
-    return customer.unionByName(orders)
+    return models.document_tables(DECLARED, {table: t[table] for table in DECLARED}, exact=True)

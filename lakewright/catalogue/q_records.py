@@ -76,13 +76,16 @@ def _(t):
 
 
 @query("log_routing", """
-    select l.event_id, l.ts, l.category, l.resource_type
-    from <<log_rows>> l left join <<log_flags>> f on l.resource_type = f.resource_type
-    where (coalesce(f.enabled, true) or coalesce(f.logs_enabled, false) or coalesce(f.metrics_enabled, false))
-      and (coalesce(f.logs_enabled, true) or coalesce(f.metrics_enabled, true))
-      and (f.categories is null or list_contains(string_split(f.categories, ';'), l.category))""")
+    select l.event_id, l.ts, l.category, l.resource_type, l.resource_id, l.kind
+    from <<log_rows>> l left join <<log_types>> t on l.resource_type = t.resource_type
+         left join <<log_resources>> r on l.resource_id = r.resource_id
+    where (coalesce(t.enabled, true) or coalesce(r.logs_enabled, false) or coalesce(r.metrics_enabled, false))
+      and case when l.kind = 'log'
+          then coalesce(r.logs_enabled, true) and (r.log_categories is null or list_contains(string_split(r.log_categories, ';'), l.category))
+          else coalesce(r.metrics_enabled, true)
+               and (r.metric_categories is null or list_contains(string_split(r.metric_categories, ';'), l.category)) end""")
 def _(t):
-    return records.route_logs(t["log_rows"], t["log_flags"])
+    return records.route_logs(t["log_rows"], t["log_types"], t["log_resources"])
 
 
 RESOLVED = """
@@ -93,10 +96,8 @@ RESOLVED = """
     select o_orderkey, ref_key, literal_id, coalesce(c.c_custkey, literal_id) as resolved_id,
            case when coalesce(c.c_custkey, literal_id) is null then 'unresolved' else 'resolved' end as status {RESOLVED}""")
 def _(t):
-    good, bad = records.resolve_reference(
-        t["references_made"], t["customer"], "ref_key", "literal_id", "c_name", "c_custkey")
-    return good.withColumn("status", F.lit("resolved")).unionByName(
-        bad.withColumns({"resolved_id": F.lit(None).cast("bigint"), "status": F.lit("unresolved")}))
+    found = records.resolve_reference(t["references_made"], t["customer"], "ref_key", "literal_id", "c_name", "c_custkey")
+    return found.withColumn("status", F.when(F.col("resolved_id").isNull(), "unresolved").otherwise("resolved"))
 
 
 @query("distinct_accounts", """
@@ -134,59 +135,66 @@ def _(t):
     return documents.filter_steps(plans, "create", "::error")
 
 
-RULES = (("lake:table/", "lake:index/"), ("oldMount:OldMount", "mount:Mount"))
+RULES = (
+    records.Rename("lake:catalog/", "lake:store/"),
+    records.Rename("lake:catalog/", "lake:store/", "link:Link", ("target",)),
+    records.Rename("link:Link", "alias:Alias", "link:Link"),
+)
 
 
-def swapped(text: str) -> str:
-    for old, new in RULES:
-        text = f"replace({text}, '{old}', '{new}')"
-    return text
+def swapped(text: str, link: bool = True) -> str:
+    text = f"replace({text}, 'lake:catalog/', 'lake:store/')"
+    return f"replace({text}, 'link:Link', 'alias:Alias')" if link else text
 
 
-def joined(path: str, change: bool) -> str:
-    items = f"cast(json_extract(res, '{path}') as varchar[])"
-    return f"array_to_string({f'list_transform({items}, lambda x: ' + swapped('x') + ')' if change else items}, ',')"
+def joined(path: str) -> str:
+    return f"array_to_string(cast(json_extract(res, '{path}') as varchar[]), ',')"
 
 
 @query("rewrite_nested", f"""
     with r as (select event_id, unnest(cast(json_extract(doc, '$.deployment.resources') as json[])) as res
                from <<state_docs>>),
-         f as (select *, json_extract_string(res, '$.urn') as urn, json_extract_string(res, '$.type') as type from r)
+         f as (select *, json_extract_string(res, '$.urn') as urn, json_extract_string(res, '$.type') as type,
+                      {joined('$.property_dependencies.target')} as target from r)
     select event_id,
-           case when starts_with(type, 'lake') then {swapped('urn')} else urn end as urn,
-           case when starts_with(type, 'lake') then {swapped('type')} else type end as type,
-           {joined('$.dependencies', True)} as dependencies,
-           case when type = 'lake:table/secret:Secret' then {joined('$.property_dependencies.scope', True)}
-                else {joined('$.property_dependencies.scope', False)} end as scope,
-           {joined('$.property_dependencies.keep', False)} as kept
+           case when type = 'lake:catalog/link:Link' then {swapped('urn')}
+                when starts_with(type, 'lake') then {swapped('urn', False)} else urn end as urn,
+           case when type = 'lake:catalog/link:Link' then {swapped('type')}
+                when starts_with(type, 'lake') then {swapped('type', False)} else type end as type,
+           {swapped(joined('$.dependencies'))} as dependencies,
+           case when type = 'lake:catalog/link:Link' then {swapped('target', False)} else target end as target,
+           {joined('$.property_dependencies.keep')} as kept
     from f""")
 def _(t):
     state = documents.parse_docs(t["state_docs"], "doc", documents.RESOURCES)
-    resources = state.select("event_id", F.inline("deployment.resources"))
-    changed = records.rewrite_resources(resources, RULES, "lake", {"lake:table/secret:Secret": ["scope"]})
+    changed = records.rewrite_resources(state.select("event_id", F.inline("deployment.resources")), RULES, "lake")
 
     def named(name):
         return F.array_join(F.try_element_at("property_dependencies", F.lit(name)), ",")
 
     return changed.select("event_id", "urn", "type", F.array_join("dependencies", ",").alias("dependencies"),
-                          named("scope").alias("scope"), named("keep").alias("kept"))
+                          named("target").alias("target"), named("keep").alias("kept"))
 
 
-def _field(path: str, guard: str) -> str:
-    return f"case when {guard} then json_extract_string(doc, '{path}') end"
+REGIONS = ("north", "south", "east")
+OUTPUTS = (
+    documents.Field("owner_id", "$.shop.owner.id", required=True),
+    documents.Field("owner_mail", "$.shop.owner.mail", ("north", "south")),
+    documents.Field("region_code", "$.ledger.region.code", REGIONS, required=True),
+    documents.Field("catalogue_link", "$.links.catalogue", REGIONS),
+    documents.Field("exchange_link", "$.links.exchange", ("hub",)),
+)
 
 
 @query("project_outputs", f"""
-    with d as (select *, env in ('dev', 'test', 'prod') as ws from <<output_docs>>)
-    select event_id, env, json_extract_string(doc, '$.root.metadata.org_id') as org_id,
-           json_extract_string(doc, '$.root.metadata.project_id') as project_id,
-           {", ".join(f"{_field(p, 'ws')} as {n}" for n, p in documents.WORKSPACE_FIELDS)},
-           {", ".join(f"{_field(p, chr(101) + "nv = 'shared'")} as {n}" for n, p in documents.SHARED_FIELDS)},
-           case when ws and json_extract(doc, '$.root.security.credentials_store.key_vault_name') is null
-                then 'missing $.root.security.credentials_store.key_vault_name' end as problem
-    from d""")
+    select event_id, env, {", ".join(
+        f"case when {'true' if f.environments is None else 'env in ' + repr((*f.environments, ''))} "
+        f"then json_extract_string(doc, '{f.path}') end as {f.name}" for f in OUTPUTS)},
+           case when env in {REGIONS} and json_extract(doc, '$.ledger.region.code') is null
+                then 'missing $.ledger.region.code' end as problem
+    from <<output_docs>>""")
 def _(t):
-    return documents.project_outputs(t["output_docs"], on_missing="report")
+    return documents.project_outputs(t["output_docs"], OUTPUTS, on_missing="report")
 
 
 @query("dedupe_on_key", """
@@ -220,8 +228,7 @@ def _(t):
            lead(o_orderdate) over w as valid_to, lead(o_orderdate) over w is null as is_current
     from versions window w as (partition by o_custkey order by o_orderdate, o_orderkey)""")
 def _(t):
-    return scd2(t["orders"], ["o_custkey"], ["o_orderstatus"], ["o_orderdate", "o_orderkey"],
-                segment=F.date_trunc("day", F.col("o_orderdate")))
+    return scd2(t["orders"], ["o_custkey"], ["o_orderstatus"], ["o_orderdate", "o_orderkey"])
 
 
 @query("propagate", """

@@ -70,10 +70,11 @@ def _(t):
 
 @query("append_to_source", """
     select o_orderkey, o_custkey, o_orderstatus, cast(o_totalprice as double) as o_totalprice,
-           concat('f', cast(o_orderkey % 3 as string)) as _ingest_id from <<target_orders>>""")
+           concat('f', cast(o_orderkey % 3 as string)) as _ingest_id from orders""")
 def _(t):
     store = new_store(t, "append")
-    rows = t["target_orders"].withColumn("_ingest_id", F.concat(F.lit("f"), (F.col("o_orderkey") % 3).cast("string")))
+    rows = t["orders"].select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice")).withColumn("_ingest_id", F.concat(F.lit("f"), (F.col("o_orderkey") % 3).cast("string")))
     store.append("orders", rows)
     # The retry of one file replaces that file.
     store.append("orders", rows.where(F.col("_ingest_id") == "f1"))

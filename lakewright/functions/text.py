@@ -15,15 +15,15 @@ def format_timespan(minutes: Column) -> Column:
 
 
 def _framed(col: Column) -> Column:
-    text = F.coalesce(col.cast("string"), F.lit(""))
-    return F.concat(F.length(text).cast("string"), F.lit(":"), text)
+    text = col.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
 def hash_concat(*cols: Column, safe: bool = False) -> Column:
     """md5 of the arguments joined without a separator.
 
     `safe` frames every argument with its length, so that ("ab", "c") and
-    ("a", "bc") differ; ledger keys use that form.
+    ("a", "bc") differ, and marks NULL apart from ''; ledger keys use that form.
     """
     parts = [_framed(c) for c in cols] if safe else [c.cast("string") for c in cols]
     return F.md5(F.concat_ws("", *parts))

@@ -8,26 +8,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 
-MAX_DEPTH = 100
-
 
 class LineageCycle(ValueError):
     """The lineage does not end."""
 
 
-def downstream(edges: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def downstream(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node, depth) reachable from `start` (column `node`), which has depth 0.
 
     Depth is the longest path, so building in order of depth builds a node
     after everything it reads. One join per level; each frontier is cut from
-    its lineage, so plans stay small and a lost executor costs one level.
+    its lineage, so plans stay small and a lost executor costs one level. A path
+    of more edges than there are parents passes a node twice.
     """
-    links = edges.select(F.col("parent").alias("node"), "child").distinct()
+    links = cut_lineage(edges.select(F.col("parent").alias("node"), "child").distinct(), "links")
+    parents = links.select("node").distinct().count()
     frontier = cut_lineage(start.select("node").distinct())
     levels = []
     while not frontier.isEmpty():
-        if len(levels) > max_depth:
-            raise LineageCycle(f"lineage deeper than {max_depth} levels, or cyclic")
+        if len(levels) > parents:
+            raise LineageCycle("the lineage is cyclic")
         levels.append(frontier.withColumn("depth", F.lit(len(levels))))
         frontier = cut_lineage(
             links.join(frontier, "node").select(F.col("child").alias("node")).distinct())

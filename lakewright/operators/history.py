@@ -1,12 +1,10 @@
 """Ordered history per key, safe for keys that hold most of the rows.
 
-A plain `lag` over a key sends all rows of that key to one task. Keys with more
-rows than a task should take are therefore found first, from counts that are
-aggregated before they are shuffled. Only those keys are cut into segments (a
-day, an hour). Inside a segment the window runs as usual; the value that
-crosses a segment border comes from a summary with one row per hot key and
-segment, added to the segment as a marker row before the window. The result is
-the same either way.
+A plain `lag` over a key sends all rows of that key to one task. Here rows are
+dealt to ranges of key and order together, so a range is as large as any other
+whatever the keys are. Inside a range the window runs as usual; the one row
+before it comes from a summary with one row per range, added to the range as a
+marker row if it has the same key.
 """
 
 from __future__ import annotations
@@ -19,58 +17,36 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 
-# Rows of one key that one task may sort.
-TASK_ROWS = 5_000_000
+PART, AT = "_part", "_at"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> DataFrame:
-    """Keys with more than `limit` rows; at most rows / `limit` of them."""
-    return cut_lineage(df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys), "hot-keys")
-
-
-def neighbour(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: Column,
-    segment: Column,
-    out: str,
-    forward: bool = False,
-    hot: DataFrame | None = None,
-) -> DataFrame:
+def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
+              forward: bool = False) -> DataFrame:
     """Add `value` of the previous (or, `forward`, the next) row of the key as `out`.
 
-    `order` must be total within a key and `segment` must not decrease along it.
-    NULL means there is no such row, so pass a struct when values may be NULL.
-    `hot` are the keys to cut, by default those `hot_keys` finds.
+    `order` must be total within a key. NULL means there is no such row, so
+    pass a struct when values may be NULL.
     """
     keys, order = list(keys), list(order)
-    shift = F.lead if forward else F.lag
-    hot = hot_keys(df, keys) if hot is None else hot
-    if hot.isEmpty():
-        return df.withColumn(out, shift(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    marks = hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot"))
-    is_hot = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
-    rows = (
-        df.withColumn("_value", value).withColumn("_cut", segment)
-        .join(marks, is_hot, "left")
-        .withColumn("_segment", F.when(F.col("_hot"), F.col("_cut")))
-        .select(*df.columns, "_value", "_segment", "_hot"))
-    edge = F.min_by if forward else F.max_by
-    edges = rows.where("_hot").groupBy(*keys, "_segment").agg(edge("_value", F.struct(*order)).alias("_value"))
-    along = Window.partitionBy(*keys).orderBy(
-        F.col("_segment").desc() if forward else F.col("_segment").asc())
-    markers = (
-        edges.withColumn("_value", F.lag("_value").over(along)).where(F.col("_value").isNotNull())
-        .withColumn("_side", F.lit(1 if forward else -1)))
-    inside = Window.partitionBy(*keys, "_segment").orderBy("_side", *order)
+    shift, edge, along = (F.lead, F.min_by, F.col(PART).desc()) if forward else (F.lag, F.max_by, F.col(PART))
+    valued = df.withColumn("_value", value)
+    # Ranges of keys and order together: a key with most of the rows is cut wherever it has to be.
+    ranged = cut_lineage(valued.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id()), "ranges")
+    place = F.struct(*keys, *order)
+    # The row next to a range's edge, one per range.
+    ends = ranged.groupBy(PART).agg(edge(F.struct(*keys, "_value"), place).alias(AT))
+    across = ends.withColumn(AT, F.lag(AT).over(Window.orderBy(along)))
+    own = ranged.groupBy(PART).agg((F.max_by if forward else F.min_by)(F.struct(*keys), place).alias("_first"))
+    markers = across.join(own, PART).where(
+        reduce(and_, [F.col(f"{AT}.{k}").eqNullSafe(F.col(f"_first.{k}")) for k in keys])).select(
+        PART, *[F.col(f"{AT}.{k}").alias(k) for k in keys], F.col(f"{AT}._value").alias("_value"),
+        F.lit(1 if forward else -1).alias("_side"))
+    inside = Window.partitionBy(PART, *keys).orderBy("_side", *order)
     return (
-        rows.withColumn("_side", F.lit(0))
-        .unionByName(markers, allowMissingColumns=True)
+        ranged.withColumn("_side", F.lit(0)).unionByName(markers, allowMissingColumns=True)
         .withColumn(out, shift("_value").over(inside))
         .where(F.col("_side") == 0)
-        .select(*df.columns, out)
-    )
+        .select(*df.columns, out))
 
 
 def scd2(
@@ -78,21 +54,17 @@ def scd2(
     keys: Sequence[str],
     tracked: Sequence[str],
     order: Sequence[str],
-    segment: Column,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Version history: a row per change of the tracked columns.
 
     `order[0]` is the effective time, the rest breaks ties.
     """
     state = F.struct(*tracked)
-    hot = hot_keys(df, keys) if hot is None else hot
-    seen = neighbour(df, keys, order, state, segment, "_before", hot=hot)
+    seen = neighbour(df, keys, order, state, "_before")
     versions = seen.where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(state))
     dated = neighbour(
         versions.select(*dict.fromkeys([*keys, *tracked, *order])),
-        keys, order, F.struct(F.col(order[0]).alias("at")), segment, "_next", forward=True, hot=hot,
-    )
+        keys, order, F.struct(F.col(order[0]).alias("at")), "_next", forward=True)
     return dated.select(
         *dict.fromkeys([*keys, *tracked]),
         *[c for c in order[1:] if c not in keys],
@@ -110,8 +82,13 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def replace(target: DataFrame, latest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`target` with the rows of `latest` (one per key) in place of its own; NULL equals NULL in a key."""
+    marks = latest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return target.join(marks, same, "left_anti").unionByName(latest, allowMissingColumns=True)
+
+
 def merge(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Upsert: rows of `updates` replace rows of `target` with the same key."""
-    latest = dedupe(updates, keys, order)
-    kept = target.join(latest.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(latest.select(*target.columns))
+    """Upsert: rows of `updates` replace rows of `target` with the same key; columns that either side lacks are NULL there."""
+    return replace(target, dedupe(updates, keys, order), keys)

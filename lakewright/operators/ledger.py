@@ -111,8 +111,9 @@ def stage_summary(entries: DataFrame, rollup: bool = False) -> DataFrame:
 
 
 def find_or_create(transitions: DataFrame, files: DataFrame, now: Column) -> DataFrame:
-    """NEW transitions for files that have no entry yet."""
-    return absent(files.select(*KEYS).distinct(), transitions, KEYS).select(
+    """NEW transitions for files that have no entry yet. Of the ledger only what the files name is looked at."""
+    wanted = files.select(*KEYS).distinct()
+    return absent(wanted, transitions.join(wanted, KEYS, "left_semi"), KEYS).select(
         *KEYS, now.alias("ts"), F.lit("NEW").alias("stage"), F.lit(None).cast("bigint").alias("rows_read"))
 
 
@@ -146,10 +147,9 @@ def abandon(entries: DataFrame, targets: DataFrame, now: Column) -> DataFrame:
     return advance(hashed.join(wanted, ["row_hash", "increment"], "left_semi"), F.lit(ABANDONED), now)
 
 
-def illegal_transitions(transitions: DataFrame, seq: str = "event_id", segment: Column | None = None) -> DataFrame:
+def illegal_transitions(transitions: DataFrame, seq: str = "event_id") -> DataFrame:
     """Transitions that do not move exactly one stage on from the one before."""
-    cut = segment if segment is not None else F.date_trunc("hour", F.col("ts"))
-    seen = neighbour(transitions, KEYS, ["ts", seq], F.struct("stage"), cut, "_before")
+    seen = neighbour(transitions, KEYS, ["ts", seq], F.struct("stage"), "_before")
     before = F.coalesce(stage_ordinal(F.col("_before.stage")), F.lit(0))
     return (
         seen.withColumn("previous_stage", F.col("_before.stage"))

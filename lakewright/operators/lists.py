@@ -3,35 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
 from .keys import absent
+from .ranking import positions
 
-MAX_ITEMS = 10_000
+#: Names in one row.
+PART_NAMES = 10_000
 
 
-def name_lists(df: DataFrame, by: Sequence[str], name: str, out: str, max_items: int = MAX_ITEMS) -> DataFrame:
-    """One sorted array of distinct names per group.
+def name_lists(df: DataFrame, by: Sequence[str], name: str, out: str, part_names: int = PART_NAMES) -> DataFrame:
+    """Sorted arrays of the distinct names of each group, `part_names` in each row.
 
-    Repeats are removed before anything is collected. A group with more than
-    `max_items` distinct names comes back as several rows (column `part`), each
-    about `max_items` long, so no task ever holds a whole oversized group and
-    no name is lost.
+    Repeats are removed first. The rows of a group follow each other in column
+    `part`, from 0: all names of one come before those of the next.
     """
     by = list(by)
-    names = df.select(*by, name).distinct()
-    parts = names.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(
-        F.ceil(F.count("*") / max_items).cast("bigint").alias("_parts"))
-    same_group = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
-    return (
-        names.join(parts, same_group)
-        .withColumn("part", F.pmod(F.xxhash64(name), F.col("_parts")))
-        .groupBy(*by, "part")
-        .agg(F.array_sort(F.collect_list(name)).alias(out))
-    )
+    placed = positions(df.select(*by, name).distinct(), by, [name], "_at")
+    part = F.floor((F.col("_at") - 1) / part_names).cast("bigint")
+    return (placed.withColumn("part", part).groupBy(*by, "part")
+            .agg(F.array_sort(F.collect_list(name)).alias(out)))
 
 
 def sorted_names(df: DataFrame, by: Sequence[str], name: str, sep: str = ", ", out: str = "names") -> DataFrame:

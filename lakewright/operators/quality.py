@@ -205,16 +205,35 @@ def compare_schema(found: DataFrame, declared: Sequence[tuple[str, str]], by: st
     return present.unionByName(absent.select(by, "column_name", F.lit("missing").alias("problem")))
 
 
+class SchemaMismatch(ValueError):
+    """A declaration does not hold what its table has."""
+
+
+def table_problems(declared: Sequence[tuple[str, str]], existing: Sequence[tuple[str, str]]) -> list[str]:
+    """What keeps a declaration from being loaded into a table: a declared type that is not the table's and does not widen to it.
+
+    Columns that only one side has are no problem: the table takes new ones, and keeps old ones as NULL.
+    """
+    known = dict(existing)
+    return [f"column {name}: {kind} does not fit {known[name]}" for name, kind in declared
+            if name in known and kind != known[name] and known[name] not in WIDER.get(kind, ())]
+
+
+#: Column types of table declarations; settings declarations use the words of DECLARED_TYPES.
+COLUMN_TYPE = (r"(tinyint|smallint|int|bigint|float|double|boolean|string|binary|date|timestamp|timestamp_ntz"
+               r"|decimal\(\d+, ?\d+\)|(array|map|struct)<.+>)")
+
+
 def check_declarations(spec_rows: DataFrame) -> DataFrame:
     """All problems of declared columns (source, table_name, column_name, type, max_length, min_value, accepted)."""
     kind = F.col("type")
     nameless = F.col("column_name").isNull() | (F.col("column_name") == "")
     rules = [
         F.when(nameless, "no column name"),
-        F.when(kind.isNull() | ~kind.isin(*DECLARED_TYPES), "unknown type"),
+        F.when(kind.isNull() | ~(kind.isin(*DECLARED_TYPES) | kind.rlike(f"^{COLUMN_TYPE}$")), "unknown type"),
         F.when(F.col("max_length") < 0, "negative length"),
-        F.when(F.col("max_length").isNotNull() & (kind != "str"), "length on a type other than str"),
-        F.when(F.col("min_value").isNotNull() & ~kind.isin("int", "num"), "minimum on a type that is not a number"),
+        F.when(F.col("max_length").isNotNull() & ~kind.isin("str", "string"), "length on a type other than str"),
+        F.when(F.col("min_value").isNotNull() & ~kind.rlike(r"^(num|int|tinyint|smallint|bigint|float|double|decimal\(.*)$"), "minimum on a type that is not a number"),
         F.when((kind == "enum") & (F.coalesce(F.col("accepted"), F.lit("")) == ""), "enum without values"),
     ]
     by = ["source", "table_name", "column_name"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -60,33 +61,34 @@ def layer_winners(settings: DataFrame) -> DataFrame:
         F.max("layer").alias("layer"), F.max_by("value", "layer").alias("value"))
 
 
-def route_logs(logs: DataFrame, flags: DataFrame) -> DataFrame:
-    """Records whose resource type is switched on (a type without a flag is), by configured category.
+def route_logs(records: DataFrame, types: DataFrame, resources: DataFrame) -> DataFrame:
+    """Logs and metrics (`kind`: log or metric) that their resource's settings send on.
 
-    `flags`: resource_type, enabled, logs_enabled, metrics_enabled, categories
-    (`;`-separated, NULL for all), one row per type. A disabled type still
-    passes when logs or metrics are explicitly enabled for it; nothing passes
-    when both are explicitly disabled.
+    types: resource_type, enabled; one row per type, a type without one is on.
+    resources: resource_id, logs_enabled, metrics_enabled, log_categories,
+    metric_categories (`;`-separated, NULL for all); one row per resource, all may
+    be NULL. A resource of a disabled type sends nothing unless its logs or
+    metrics are explicitly on. Beyond that each kind is on unless switched off,
+    and sends its configured categories.
     """
-    joined = logs.join(flags, "resource_type", "left")
-    wanted = (
-        F.coalesce("enabled", F.lit(True))
-        | F.coalesce("logs_enabled", F.lit(False))
-        | F.coalesce("metrics_enabled", F.lit(False))
-    )
-    silenced = ~F.coalesce("logs_enabled", F.lit(True)) & ~F.coalesce("metrics_enabled", F.lit(True))
-    chosen = F.col("categories").isNull() | F.array_contains(F.split("categories", ";"), F.col("category"))
-    return joined.where(wanted & ~silenced & chosen).select(*logs.columns)
+    joined = records.join(types.select("resource_type", F.col("enabled").alias("_type")), "resource_type", "left").join(
+        resources, "resource_id", "left")
+    used = (F.coalesce("_type", F.lit(True)) | F.coalesce("logs_enabled", F.lit(False))
+            | F.coalesce("metrics_enabled", F.lit(False)))
+
+    def sends(kind: str, enabled: str, categories: str) -> Column:
+        chosen = F.col(categories).isNull() | F.array_contains(F.split(categories, ";"), F.col("category"))
+        return (F.col("kind") == kind) & F.coalesce(enabled, F.lit(True)) & chosen
+
+    passed = sends("log", "logs_enabled", "log_categories") | sends("metric", "metrics_enabled", "metric_categories")
+    return joined.where(used & passed).select(*records.columns)
 
 
 def resolve_reference(df: DataFrame, lookup: DataFrame, key: str, literal: str,
-                      lookup_key: str, lookup_id: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with `resolved_id`, rows that resolve to nothing). A known key wins over a literal id."""
+                      lookup_key: str, lookup_id: str) -> DataFrame:
+    """Rows with `resolved_id`, NULL where nothing resolves. A known key wins over a literal id."""
     table = lookup.select(F.col(lookup_key).alias(key), F.col(lookup_id).alias("_found"))
-    both = df.join(table, key, "left").withColumn("resolved_id", F.coalesce("_found", literal))
-    columns = [*df.columns, "resolved_id"]
-    return (both.where(F.col("resolved_id").isNotNull()).select(*columns),
-            both.where(F.col("resolved_id").isNull()).select(*df.columns))
+    return df.join(table, key, "left").select(*df.columns, F.coalesce("_found", literal).alias("resolved_id"))
 
 
 def distinct_where(df: DataFrame, column: str, predicate: Column) -> DataFrame:
@@ -101,28 +103,39 @@ def any_enabled(df: DataFrame, by: Sequence[str], flag: Column, extra: Column |
     return df.groupBy(*by).agg(*found)
 
 
-def rewrite_resources(resources: DataFrame, rules: Sequence[tuple[str, str]], kind_prefix: str,
-                      nested: Mapping[str, Sequence[str]]) -> DataFrame:
+@dataclass(frozen=True)
+class Rename:
+    """`old` becomes `new`: in urn and type of records of `kind` (of any of the prefix, if None), in the
+    property dependencies `properties` of those records, and in the dependencies of every record."""
+    old: str
+    new: str
+    kind: str | None = None
+    properties: tuple[str, ...] = ()
+
+
+def rewrite_resources(resources: DataFrame, rules: Sequence[Rename], kind_prefix: str) -> DataFrame:
     """Rewrite type names inside nested resource records (urn, type, dependencies, property_dependencies).
 
-    Every record's `dependencies` are rewritten. Records whose type starts with
-    `kind_prefix` also get their urn and type rewritten, and of their property
-    dependencies those that `nested` lists for the type.
+    All rules apply to every record's `dependencies`. Only records whose
+    type starts with `kind_prefix` are rewritten themselves, each rule where the record's
+    type, before any change, ends with its `kind`; `properties` are left alone by rules that do not name them.
     """
-    def rewrite(text: Column) -> Column:
-        return reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), rules, text)
+    def meant(rule: Rename) -> Column:
+        mine = F.col("type").startswith(kind_prefix)
+        return mine if rule.kind is None else mine & F.col("type").endswith(rule.kind)
+
+    def swap(text: Column, rule: Rename) -> Column:
+        return F.replace(text, F.lit(rule.old), F.lit(rule.new))
+
+    def own(column: str) -> Column:
+        return reduce(lambda text, r: F.when(meant(r), swap(text, r)).otherwise(text), rules, F.col(column))
 
-    def rewrite_under(names: Sequence[str]) -> Column:
-        return F.transform_values(
-            "property_dependencies", lambda k, v: F.when(k.isin(*names), F.transform(v, rewrite)).otherwise(v))
+    def under(properties: Column, rule: Rename) -> Column:
+        changed = F.transform_values(properties, lambda k, v: F.when(
+            k.isin(*rule.properties), F.transform(v, lambda x: swap(x, rule))).otherwise(v))
+        return F.when(meant(rule), changed).otherwise(properties)
 
-    mine = F.col("type").startswith(kind_prefix)
-    cases = F.col("property_dependencies")
-    for kind, names in nested.items():
-        cases = F.when(mine & (F.col("type") == kind), rewrite_under(names)).otherwise(cases)
+    properties = reduce(under, [r for r in rules if r.properties], F.col("property_dependencies"))
     return resources.withColumns({
-        "dependencies": F.transform("dependencies", rewrite),
-        "property_dependencies": cases,
-        "urn": F.when(mine, rewrite(F.col("urn"))).otherwise(F.col("urn")),
-        "type": F.when(mine, rewrite(F.col("type"))).otherwise(F.col("type")),
-    })
+        "dependencies": F.transform("dependencies", lambda x: reduce(swap, rules, x)),
+        "property_dependencies": properties, "urn": own("urn"), "type": own("type")})

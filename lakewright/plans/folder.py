@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ledger
 from ..session import cut_lineage
-from ..sinks.store import MAX_NAMED
 from ..sources import landing
 from ..sources.layout import Layout
 from ..streaming.landing import file_stream, ingest_stream
@@ -22,7 +21,7 @@ class LostFiles(RuntimeError):
 
 def landed(spark: SparkSession, root: str, source: str, table: str, increment: int = 0) -> DataFrame:
     """Entry keys and path of the landed files of one table."""
-    files = landing.parse_landing_path(landing.landing_files(spark, root))
+    files = landing.parse_landing_path(landing.landing_files(spark, root, f"raw/{source}/{table}/"))
     return files.where(F.col("path_ok") & (F.col("source") == source) & (F.col("table_name") == table)).select(
         "source", "table_name", "file_name", F.lit(increment).alias("increment"), "path")
 
@@ -33,9 +32,7 @@ def ingest_folder(job: Ingestion, root: str, now: Column, run_id: str, increment
     spark, spec, layout = job.spark, job.spec, Layout(root)
     files = landed(spark, root, spec.source, spec.table, increment)
     if job.ledger.transitions() is not None:
-        open_entries = ledger.requeue(job.ledger.entries()).where(
-            (F.col("source") == spec.source) & (F.col("table_name") == spec.table)
-            & (F.col("increment") == increment))
+        open_entries = ledger.requeue(job.ledger.entries(spec.source, spec.table)).where(F.col("increment") == increment)
         waiting = open_entries.select(*KEYS).join(files.select(*KEYS), KEYS, "left_anti")
         files = files.unionByName(waiting.withColumn(
             "path", F.concat(F.lit(f"raw/{spec.source}/{spec.table}/"), F.col("file_name"))))
@@ -54,9 +51,9 @@ def ingest_folder(job: Ingestion, root: str, now: Column, run_id: str, increment
         return found.withColumn("file_name", F.substring_index("path", "/", -1))
 
     def read_rows(entries: DataFrame) -> DataFrame:
-        few = [r.file_name for r in entries.select("file_name").limit(MAX_NAMED + 1).collect()]
-        paths = [landing.literal_path(f"{archive_dir}/{name}") for name in few] if len(few) <= MAX_NAMED else archive_dir
-        rows = landing.read_raw_csv(spark, paths, spec.names)
+        # Exactly the pending files. The reader lists its files on the driver, whoever names them.
+        names = [r.file_name for r in entries.select("file_name").distinct().collect()]
+        rows = landing.read_raw_csv(spark, [landing.literal_path(f"{archive_dir}/{name}") for name in names], spec.names)
         return rows.select(
             F.lit(spec.source).alias("source"), F.lit(spec.table).alias("table_name"),
             "file_name", F.lit(increment).alias("increment"), *spec.names)

@@ -22,6 +22,7 @@ from ..operators.ranking import cluster
 from ..session import cut_lineage
 from ..sinks.store import INGEST_ID, TableStore
 from ..sources.landing import HookRegistry
+from .models import ModelRegistry
 from .specs import TableSpec
 
 KEYS = list(ENTRY_KEYS)
@@ -50,19 +51,22 @@ class Ledger:
     def __init__(self, store: TableStore) -> None:
         self.store = store
 
-    def transitions(self) -> DataFrame | None:
+    def transitions(self, source: str | None = None, table: str | None = None) -> DataFrame | None:
+        """All transitions, or those of one table: the filter reaches the files, which are clustered by it."""
         parts = []
         if self.store.version(LEDGER):
             parts.append(self.store.read(LEDGER))
         if self.store.has_appended(LEDGER):
             parts.append(self.store.read_appended(LEDGER, APPEND).drop(APPEND))
+        if source is not None:
+            parts = [p.where((F.col("source") == source) & (F.col("table_name") == table)) for p in parts]
         if len(parts) == 2:
             # A compaction that died half-way leaves rows on both sides.
             return union_distinct(*parts)
         return parts[0] if parts else None
 
-    def entries(self) -> DataFrame:
-        return ledger.latest_stage(self.transitions(), seq=None, carry=("rows_read", BATCH))
+    def entries(self, source: str | None = None, table: str | None = None) -> DataFrame:
+        return ledger.latest_stage(self.transitions(source, table), seq=None, carry=("rows_read", BATCH))
 
     def append(self, rows: DataFrame, name: str) -> None:
         marked = rows if BATCH in rows.columns else rows.withColumn(BATCH, F.lit(None).cast("string"))
@@ -82,8 +86,9 @@ class Ingestion:
     """Ingestion of one declared table."""
 
     def __init__(self, spark: SparkSession, store: TableStore, spec: TableSpec,
-                 parents: Mapping[str, DataFrame] | None = None, hooks: HookRegistry | None = None) -> None:
-        self.spark, self.store, self.spec = spark, store, spec
+                 parents: Mapping[str, DataFrame] | None = None, hooks: HookRegistry | None = None,
+                 models: ModelRegistry | None = None) -> None:
+        self.spark, self.store, self.spec, self.models = spark, store, spec, models
         self.hooks = hooks or HookRegistry()
         self.ledger = Ledger(store)
         self.tests = spec.build_tests(parents, scope=(INGEST_ID,))
@@ -98,9 +103,14 @@ class Ingestion:
             stop_after: str | None = None) -> DataFrame:
         """Take `files` (entry keys, plus whatever `archive` and `headers` need) to COMPLETED.
 
+        A run that ends folds the ledger, raises if an entry stopped on its way, and
+        rebuilds the models downstream of the table. A declaration that does
+        not hold what the table has already is refused before any work.
+
         Returns the entries of the batch. `stop_after` ends the run after a
         stage, as a crash would.
         """
+        self._check_table()
         batch = cut_lineage(files, "batch")
         self._register(batch, now, run_id)
         state = self._current(batch)
@@ -123,16 +133,35 @@ class Ingestion:
                 ledger.advance(moved, F.lit(reached), now, F.col("rows_read"), keep=(BATCH,)), f"{run_id}-{reached}")
             state = state.where(F.col("stage") != stage).unionByName(moved)
             present.add(reached)
-        return self._batch_entries(batch)
+        entries = cut_lineage(self._batch_entries(batch), "entries")
+        if stop_after is None:
+            self._finish(entries)
+        return entries
+
+    def _check_table(self) -> None:
+        if self.store.version(self.main) if self.spec.load == "merge" else self.store.has_appended(self.main):
+            problems = quality.table_problems(self.spec.columns, self.main_table().dtypes)
+            if problems:
+                raise quality.SchemaMismatch(f"{self.spec.source}.{self.spec.table}: " + "; ".join(problems))
+
+    def _finish(self, entries: DataFrame) -> None:
+        self.ledger.compact()
+        # Files whose header does not fit wait at NEW; review rows wait for `retry_review`.
+        ledger.assert_completed(entries.where((F.col("stage") != "NEW") & F.col(BATCH).isNotNull()))
+        if self.models is not None:
+            self.models.propagate(self.spark, self.store, self.spec.source, self.spec.table)
 
     def _register(self, batch: DataFrame, now: Column, run_id: str) -> None:
-        known = self.ledger.transitions()
+        known = self.ledger.transitions(self.spec.source, self.spec.table)
         if known is None:
             known = batch.select(*KEYS).limit(0)
         self.ledger.append(ledger.find_or_create(known, batch, now), f"{run_id}-NEW")
 
     def _batch_entries(self, batch: DataFrame) -> DataFrame:
-        return self.ledger.entries().join(batch.select(*KEYS).distinct(), KEYS, "left_semi")
+        return self._entries().join(batch.select(*KEYS).distinct(), KEYS, "left_semi")
+
+    def _entries(self) -> DataFrame:
+        return self.ledger.entries(self.spec.source, self.spec.table)
 
     def _current(self, batch: DataFrame) -> DataFrame:
         """Entries of the batch as the ledger has them, as a written table.
@@ -140,10 +169,11 @@ class Ingestion:
         Entries that were staged together move on together, so open ones that
         share a staging attempt with the batch are part of it.
         """
-        mine = self._batch_entries(batch)
+        known = cut_lineage(self._entries(), "entries")
+        mine = known.join(batch.select(*KEYS).distinct(), KEYS, "left_semi")
         attempts = mine.where(F.col(BATCH).isNotNull() & (F.col("stage") != "COMPLETED")).select(
             BATCH, "stage").distinct()
-        others = self.ledger.entries().join(attempts, [BATCH, "stage"], "left_semi").join(
+        others = known.join(attempts, [BATCH, "stage"], "left_semi").join(
             mine.select(*KEYS), KEYS, "left_anti")
         everyone = mine.unionByName(others).select(*KEYS, "stage", "rows_read", BATCH)
         # Entries of review rows wait at STAGED, without an attempt, until `retry_review`.
@@ -253,7 +283,7 @@ class Ingestion:
 
     def summary(self, batch_entries: DataFrame) -> DataFrame:
         """(file_name, rows_read, rows_clean, rows_review, stage) per ingested file."""
-        review = self.ledger.entries().select(
+        review = self._entries().select(
             "source", "table_name", "file_name",
             (F.col("increment") - 1).alias("increment"), F.col("rows_read").alias("_review"))
         lost = F.coalesce("_review", F.lit(0).cast("bigint"))

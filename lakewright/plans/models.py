@@ -62,7 +62,7 @@ class ModelRegistry:
 
 def document_table(df: DataFrame, table: str, columns: Sequence[str] | None = None,
                    exact: bool = False) -> DataFrame:
-    """(table_name, column_name, type, rows, nulls, distinct_values, min_value, max_value) per column.
+    """(table_name, column_name, type, rows, nulls, distinct_values, min_value, max_value) per column; lists have no bounds.
 
     One pass over the table with approximate distinct counts; `exact` counts
     the distinct values in a second aggregation over (column, value).
@@ -73,7 +73,8 @@ def document_table(df: DataFrame, table: str, columns: Sequence[str] | None = No
     for i, c in enumerate(names):
         picks += [
             F.count(c).alias(f"_n{i}"),
-            F.min(c).cast("string").alias(f"_a{i}"), F.max(c).cast("string").alias(f"_z{i}")]
+            *[(f(c).cast("string") if not types[c].startswith(("array", "map")) else F.lit(None).cast("string")).alias(f"_{at}{i}")
+              for f, at in ((F.min, "a"), (F.max, "z"))]]
         if not exact:
             picks.append(F.approx_count_distinct(c).alias(f"_d{i}"))
     profile = df.agg(F.count("*").alias("_rows"), *picks)
@@ -96,13 +97,13 @@ def document_table(df: DataFrame, table: str, columns: Sequence[str] | None = No
         F.coalesce("distinct_values", F.lit(0).cast("bigint")).alias("distinct_values"), "min_value", "max_value")
 
 
-def document_tables(specs: Mapping[str, Mapping[str, str]], tables: Mapping[str, DataFrame]) -> DataFrame:
+def document_tables(specs: Mapping[str, Mapping[str, str]], tables: Mapping[str, DataFrame], exact: bool = False) -> DataFrame:
     """Profiles of all tables with the declared type beside the actual one."""
     out = None
     for name, df in tables.items():
         declared = specs.get(name, {})
         pairs = [x for c, t in declared.items() for x in (F.lit(c), F.lit(t))]
         wanted = F.try_element_at(F.create_map(*pairs), F.col("column_name")) if pairs else F.lit(None).cast("string")
-        doc = document_table(df, name).withColumn("declared_type", wanted)
+        doc = document_table(df, name, exact=exact).withColumn("declared_type", wanted)
         out = doc if out is None else out.unionByName(doc)
     return out

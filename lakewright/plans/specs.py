@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -52,12 +53,39 @@ class TableSpec:
         return built
 
 
+#: What a table and a column may declare; the first of each must be there.
+TABLE_WORDS = ("columns", "keys", "load")
+COLUMN_WORDS = ("name", "type", "tests", "description")
+
+
+def declaration_problems(declared: Mapping) -> list[str]:
+    """Everything that is wrong with a source's declaration, before any of it is used."""
+    problems = [f"no {word}" for word in ("source", "tables") if not declared.get(word)]
+    for table, body in (declared.get("tables") or {}).items():
+        columns = body.get("columns") or []
+        names = [c.get("name") for c in columns]
+        problems += [f"{table}: unknown word {w}" for w in body if w not in TABLE_WORDS]
+        problems += [f"{table}: no columns"] * (not columns)
+        problems += [f"{table}: load is neither append nor merge"] * (body.get("load", "append") not in ("append", "merge"))
+        problems += [f"{table}: load by merge needs keys"] * (body.get("load") == "merge" and not body.get("keys"))
+        problems += [f"{table}: column {n} is declared more than once" for n in sorted({str(n) for n in names if names.count(n) > 1})]
+        problems += [f"{table}: key {k} is not a column" for k in body.get("keys", ()) if k not in names]
+        for column in columns:
+            name = column.get("name") or "?"
+            problems += [f"{table}.{name}: unknown word {w}" for w in column if w not in COLUMN_WORDS]
+            problems += [f"{table}.{name}: no name"] * (name == "?")
+            if not re.fullmatch(quality.COLUMN_TYPE, str(column.get("type", ""))):
+                problems.append(f"{table}.{name}: unknown type {column.get('type')}")
+    return problems
+
+
 def from_dict(declared: Mapping) -> dict[tuple[str, str], TableSpec]:
     """Specs of one source: {"source": ..., "tables": {name: {columns, keys, load}}}."""
+    problems = declaration_problems(declared)
+    if problems:
+        raise ValueError("; ".join(problems))
     specs = {}
     for table, body in declared["tables"].items():
-        if body.get("load", "append") == "merge" and not body.get("keys"):
-            raise ValueError(f"{declared['source']}.{table}: load by merge needs keys")
         specs[(declared["source"], table)] = TableSpec(
             source=declared["source"],
             table=table,

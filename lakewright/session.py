@@ -48,13 +48,16 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`.
 
-    Only where the cluster names none (tests, local runs) is one made here.
+    Only a local run that names none gets one made here; on a cluster each
+    executor would write to its own disk.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if folder is None:
         folder = context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lakewright-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -1,13 +1,15 @@
 """Lake tables on plain parquet.
 
 Append tables keep one partition directory per ingest id and overwrite it
-dynamically, so a repeated append replaces itself.
+dynamically, so a repeated append replaces itself. Their schema lies beside
+them and grows with the columns that appends bring.
 
 Versioned tables are a list of directories; a small numbered commit file holds
-the list and makes a version current. Readers always see one whole version. A
-merge spreads rows over buckets of the key and rewrites only the buckets its
-updates fall into; the new version shares all other directories with the old
-one.
+the list, the schema and the number of buckets, and makes a version current.
+Readers always see one whole version. A merge spreads rows over buckets of the
+key and rewrites only the buckets its updates fall into; the new version shares
+all other directories with the old one. Folders of a version have names of
+their own, so a second writer never touches what a first one wrote.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import (
+    ByteType, DataType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField,
+    StructType)
 
-from ..operators.history import merge
+from ..operators.history import dedupe, replace
 from ..operators.ranking import cluster
+from ..session import cut_lineage
 
 INGEST_ID = "_ingest_id"
 BUCKET = "_bucket"
-MAX_NAMED = 1000
 PLAIN_ID = re.compile(r"[A-Za-z0-9_.-]+")
 
 
@@ -33,11 +37,45 @@ class CommitConflict(RuntimeError):
     """Another writer committed the same version first."""
 
 
+class SchemaConflict(ValueError):
+    """A column comes with a type that the table's type does not hold."""
+
+
+_WIDTHS = ((ByteType, ShortType, IntegerType, LongType), (FloatType, DoubleType))
+
+
+def _holds(kept: DataType, new: DataType) -> bool:
+    """Whether every value of `new` is one of `kept`."""
+    if isinstance(kept, DecimalType) and isinstance(new, DecimalType):
+        return kept.scale >= new.scale and kept.precision - kept.scale >= new.precision - new.scale
+    return kept == new or any(
+        type(kept) in kinds and type(new) in kinds and kinds.index(type(new)) <= kinds.index(type(kept)) for kinds in _WIDTHS)
+
+
+def grown(kept: StructType | None, new: StructType) -> StructType:
+    """The table's columns, then those that only `new` has; narrower types are widened, wider ones refused."""
+    if kept is None:
+        return StructType([StructField(f.name, f.dataType) for f in new])
+    known = {f.name: f.dataType for f in kept}
+    for field in new:
+        if field.name in known and not _holds(known[field.name], field.dataType):
+            raise SchemaConflict(
+                f"column {field.name}: {field.dataType.simpleString()} does not fit {known[field.name].simpleString()}")
+    return StructType([*kept, *(StructField(f.name, f.dataType) for f in new if f.name not in known)])
+
+
+def fitted(df: DataFrame, schema: StructType) -> DataFrame:
+    """`df` with exactly the columns of `schema`; missing ones are NULL."""
+    return df.select(*[
+        (F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
 class TableStore:
     """Tables below one folder. There is one writer per table, as there is one ingestion at a time.
 
     `buckets` sizes merges: a table of T bytes rewrites T / `buckets` per bucket
-    that an update touches. It must not change while a table exists.
+    that an update touches. It counts for tables that have no buckets yet; a
+    table keeps the number that it was first merged with.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16) -> None:
@@ -67,26 +105,33 @@ class TableStore:
         `gather` collects each id into few files and splits an id that is too
         large for one task. Rows that share one id need no such shuffle.
         """
-        rows = df.hint("rebalance", F.col(ingest_id)) if gather else df
+        kept = self._append_schema(table)
+        schema = grown(kept, StructType([f for f in df.schema if f.name != ingest_id]))
+        whole = StructType([*schema, StructField(ingest_id, StringType())])
+        rows = fitted(df, whole)
+        rows = rows.hint("rebalance", F.col(ingest_id)) if gather else rows
+        if kept != schema:
+            self._note(f"{self.path(table)}/_schema", self._newest(f"{self.path(table)}/_schema") + 1, schema.jsonValue())
         (
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy(ingest_id).parquet(f"{self.path(table)}/data")
         )
 
+    def _append_schema(self, table: str) -> StructType | None:
+        folder = f"{self.path(table)}/_schema"
+        newest = self._newest(folder)
+        return StructType.fromJson(self._noted(folder, newest)) if newest else None
+
     def read_appended(self, table: str, ingest_id: str = INGEST_ID) -> DataFrame:
-        """All partitions. Ids are text even where they look like numbers or dates."""
-        folder = f"{self.path(table)}/data"
-        found = self.spark.read.parquet(folder).schema
-        typed = StructType([StructField(f.name, StringType()) if f.name == ingest_id else f for f in found])
-        return self.spark.read.schema(typed).parquet(folder)
+        """All partitions; columns that an append lacks are NULL. Ids are text even where they look like numbers or dates."""
+        schema = self._append_schema(table)
+        return self.spark.read.schema(StructType([*schema, StructField(ingest_id, StringType())])).parquet(
+            f"{self.path(table)}/data")
 
     def read_batches(self, table: str, ids: DataFrame, ingest_id: str = INGEST_ID) -> DataFrame:
-        """Partitions named in `ids`. Few ids prune the scan by name; many become a semi join."""
-        few = [row[0] for row in ids.select(ingest_id).distinct().limit(MAX_NAMED + 1).collect()]
-        rows = self.read_appended(table, ingest_id)
-        if len(few) <= MAX_NAMED:
-            return rows.where(F.col(ingest_id).isin(few))
-        return rows.join(ids.select(ingest_id).distinct(), ingest_id, "left_semi")
+        """Partitions named in `ids`, and no others. Their names pass through the driver, which lists all partitions anyway."""
+        named = [row[0] for row in ids.select(ingest_id).distinct().collect()]
+        return self.read_appended(table, ingest_id).where(F.col(ingest_id).isin(named))
 
     def has_appended(self, table: str) -> bool:
         target, fs = self._hadoop(f"{self.path(table)}/data")
@@ -104,62 +149,70 @@ class TableStore:
 
     def version(self, table: str) -> int:
         """Current version, 0 before the first commit."""
-        target, fs = self._hadoop(f"{self.path(table)}/_commits")
-        if not fs.exists(target):
-            return 0
-        names = (s.getPath().getName() for s in fs.listStatus(target))
-        return max((int(n) for n in names if n.isdigit()), default=0)
+        return self._newest(f"{self.path(table)}/_commits")
+
+    def _commit_of(self, table: str, version: int) -> dict:
+        """`parts` (directories, as many as buckets at most), `schema`, `buckets` (None before a merge)."""
+        return self._noted(f"{self.path(table)}/_commits", version)
 
     def _parts(self, table: str, version: int) -> list[str]:
-        """Directories of a version; as many as buckets at most."""
-        target, fs = self._hadoop(f"{self.path(table)}/_commits/{version:08d}")
-        stream = fs.open(target)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self._commit_of(table, version)["parts"]
 
-    def _read_parts(self, table: str, parts: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path(table)}/{p}" for p in parts])
+    def _read_parts(self, table: str, parts: list[str], schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path(table)}/{p}" for p in parts])
 
     def read(self, table: str) -> DataFrame:
-        return self._read_parts(table, self._parts(table, self.version(table)))
+        commit = self._commit_of(table, self.version(table))
+        return self._read_parts(table, commit["parts"], StructType.fromJson(commit["schema"]))
 
     def write(self, table: str, df: DataFrame) -> int:
         """Replace the content; the previous version stays readable until it is vacuumed."""
         version = self.version(table) + 1
-        name = f"v={version:08d}"
-        df.write.mode("overwrite").parquet(f"{self.path(table)}/{name}")
-        self._commit(table, version, [name])
+        name = _folder_name(version)
+        df.write.parquet(f"{self.path(table)}/{name}")
+        self._commit(table, version, [name], grown(None, df.schema), None)
         return version
 
-    def _bucket_of(self, keys: Sequence[str]) -> Column:
-        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+    def _bucket_of(self, keys: Sequence[str], buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge(self, table: str, updates: DataFrame, keys: Sequence[str], order: Sequence[str]) -> int:
-        """Upsert by key. Repeating a merge gives the same table.
+        """Upsert by key; NULL equals NULL in a key. Repeating a merge gives the same table.
 
-        The first merge into a table that has no buckets yet rewrites it.
+        Columns that only the updates have are added, and are NULL in other
+        rows; columns that the updates lack become NULL in the rows they
+        replace. The first merge into a table that has no buckets yet rewrites it.
         """
         old = self.version(table)
-        parts = self._parts(table, old) if old else []
-        bucketed = {int(p.rsplit("=", 1)[1]): p for p in parts if BUCKET in p}
-        plain = [p for p in parts if BUCKET not in p]
-        touched = {r[0] for r in updates.select(self._bucket_of(keys)).distinct().collect()}
+        commit = self._commit_of(table, old) if old else {"parts": [], "schema": None, "buckets": None}
+        schema = grown(StructType.fromJson(commit["schema"]) if old else None, updates.schema)
+        buckets = commit["buckets"] or self.buckets
+        bucketed = {int(p.rsplit("=", 1)[1]): p for p in commit["parts"]} if commit["buckets"] else {}
+        plain = [] if commit["buckets"] else commit["parts"]
+        # Typed like the table, so that equal keys hash alike, and written once for the passes over it.
+        latest = cut_lineage(fitted(dedupe(updates, keys, order), schema).withColumn(BUCKET, self._bucket_of(keys, buckets)), "updates")
+        touched = {r[0] for r in latest.select(BUCKET).distinct().collect()}
         rewritten = plain + [p for b, p in bucketed.items() if b in touched]
-        target = self._read_parts(table, rewritten) if rewritten else updates.limit(0)
+        merged = latest
+        if rewritten:
+            kept = replace(self._read_parts(table, rewritten, schema), latest.drop(BUCKET), keys)
+            merged = kept.withColumn(BUCKET, self._bucket_of(keys, buckets))
         version = old + 1
-        name = f"v={version:08d}"
+        name = _folder_name(version)
         folder = f"{self.path(table)}/{name}"
-        (
-            merge(target, updates, keys, order).withColumn(BUCKET, self._bucket_of(keys))
-            .hint("rebalance", F.col(BUCKET))
-            .write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
-        )
-        kept = [] if plain else [p for b, p in bucketed.items() if b not in touched]
-        self._commit(table, version, kept + [f"{name}/{d}" for d in self._folders(folder)])
+        merged.hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(folder)
+        untouched = [p for b, p in bucketed.items() if b not in touched]
+        self._commit(table, version, untouched + [f"{name}/{d}" for d in self._folders(folder)], schema, buckets)
         return version
 
+    def show_as(self, table: str, view: str) -> None:
+        """Make the catalogue's `view` show exactly the current version; repeat it after a commit."""
+        commit = self._commit_of(table, self.version(table))
+        paths = ",".join(commit["parts"])
+        self.spark.sql(f"DROP TABLE IF EXISTS {view}")  # an external table: its files stay
+        self.spark.catalog.createTable(view, path=f"{self.path(table)}/{{{paths}}}", source="parquet",
+                                       schema=StructType.fromJson(commit["schema"]))
+
     def _folders(self, path: str) -> list[str]:
         target, fs = self._hadoop(path)
         return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(target)) if n.startswith(f"{BUCKET}="))
@@ -183,13 +236,37 @@ class TableStore:
                     fs.delete(target, True)
             fs.delete(commit, False)
 
-    def _commit(self, table: str, version: int, parts: list[str]) -> None:
-        folder = f"{self.path(table)}/_commits"
-        target, fs = self._hadoop(f"{folder}/{version:08d}")
+    def _commit(self, table: str, version: int, parts: list[str], schema: StructType, buckets: int | None) -> None:
+        self._note(f"{self.path(table)}/_commits", version,
+                   {"parts": parts, "schema": schema.jsonValue(), "buckets": buckets})
+
+    # -- small numbered files ------------------------------------------------
+
+    def _newest(self, folder: str) -> int:
+        target, fs = self._hadoop(folder)
+        if not fs.exists(target):
+            return 0
+        names = (s.getPath().getName() for s in fs.listStatus(target))
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def _noted(self, folder: str, number: int):
+        target, fs = self._hadoop(f"{folder}/{number:08d}")
+        stream = fs.open(target)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _note(self, folder: str, number: int, content) -> None:
+        target, fs = self._hadoop(f"{folder}/{number:08d}")
         draft, _ = self._hadoop(f"{folder}/_draft-{uuid.uuid4().hex}")
         stream = fs.create(draft, False)
-        stream.write(bytearray(json.dumps(parts).encode()))
+        stream.write(bytearray(json.dumps(content).encode()))
         stream.close()
         if fs.exists(target) or not fs.rename(draft, target):
             fs.delete(draft, False)
-            raise CommitConflict(f"version {version} of {table} exists already")
+            raise CommitConflict(f"{target} exists already")
+
+
+def _folder_name(version: int) -> str:
+    return f"v={version:08d}-{uuid.uuid4().hex[:12]}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 STEPS = "steps array<struct<op: string, urn: string>>"
@@ -10,27 +13,14 @@ RESOURCES = (
     "dependencies: array<string>, property_dependencies: map<string, array<string>>>>>"
 )
 
-# Fields per kind of environment, as (name, path). A missing required path is an
-# error; any other missing path is NULL.
-WORKSPACE_FIELDS = (
-    ("credentials_store_name", "$.root.security.credentials_store.key_vault_name"),
-    ("engineering_url", "$.root.analytics.workspaces.engineering.url"),
-    ("analytics_url", "$.root.analytics.workspaces.analytics.url"),
-    ("data_studio_url", "$.root.analytics.factories.data.url"),
-    ("datalake_view_url", "$.root.storage.datalake.containers_view_url"),
-    ("documentation_url", "$.root.analytics.documentation.url"),
-    ("notebooks_url", "$.root.analytics.notebooks.url"),
-)
-SHARED_FIELDS = (("devops_project_url", "$.root.devops.project.url"),)
-ALWAYS_REQUIRED = ("$.root.metadata.org_id", "$.root.metadata.project_id")
-WORKSPACE_REQUIRED = (
-    "$.root.security.credentials_store.key_vault_name",
-    "$.root.analytics.workspaces",
-    "$.root.analytics.factories",
-    "$.root.analytics.documentation",
-    "$.root.storage.datalake",
-)
-WORKSPACE_ENVIRONMENTS = ("dev", "test", "prod")
+
+@dataclass(frozen=True)
+class Field:
+    """An output: where it lies, for which environments, and whether a document without it is wrong."""
+    name: str
+    path: str
+    environments: tuple[str, ...] | None = None
+    required: bool = False
 
 
 def read_json_docs(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -44,34 +34,40 @@ def parse_docs(df: DataFrame, column: str, schema: str) -> DataFrame:
         *[c for c in df.columns if c != column], "_doc.*")
 
 
-def project_outputs(docs: DataFrame, doc: str = "doc", env: str = "env", on_missing: str = "raise") -> DataFrame:
-    """Nested outputs as one flat row per environment document.
+def project_outputs(docs: DataFrame, fields: Sequence[Field], doc: str = "doc", env: str = "env",
+                    on_missing: str = "raise") -> DataFrame:
+    """Nested outputs as one flat row per environment document, by fields that the caller declares.
 
-    dev, test and prod share one set of fields, `shared` has another, any other
-    name has none. `on_missing` is `raise` or `report` (column `problem`).
+    A field of other environments is NULL, as is one that is not there. `on_missing` is
+    `raise` or `report` (column `problem`) for missing required ones. Paths that share a
+    first step are looked up in that subtree, which is taken out once.
     """
-    def value(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get("_parsed", path, kind)
+    roots = list(dict.fromkeys(_steps(f.path)[0] for f in fields))
+    keep = [c for c in docs.columns if c != doc]
+    opened = docs.withColumn("_parsed", F.try_parse_json(doc)).select(
+        *keep, *[F.try_variant_get("_parsed", f"$.{r}", "variant").alias(f"_r{i}") for i, r in enumerate(roots)])
+
+    def value(field: Field, kind: str) -> Column:
+        first, rest = _steps(field.path)
+        return F.try_variant_get(f"_r{roots.index(first)}", "$" + rest, kind)
 
-    workspace = F.col(env).isin(*WORKSPACE_ENVIRONMENTS)
-    needs = [F.when(value(p, "variant").isNull(), F.lit(p)) for p in ALWAYS_REQUIRED]
-    needs += [F.when(workspace & value(p, "variant").isNull(), F.lit(p)) for p in WORKSPACE_REQUIRED]
-    absent = F.array_compact(F.array(*needs))
+    def meant(field: Field) -> Column:
+        return F.lit(True) if field.environments is None else F.col(env).isin(*field.environments)
+
+    absent = F.array_compact(F.array(*[
+        F.when(meant(f) & value(f, "variant").isNull(), F.lit(f.path)) for f in fields if f.required]).cast("array<string>"))
     problem = F.when(F.size(absent) > 0, F.concat(F.lit("missing "), F.array_join(absent, ", ")))
-    fields = {n: F.when(workspace, value(p)) for n, p in WORKSPACE_FIELDS}
-    fields.update({n: F.when(F.col(env) == "shared", value(p)) for n, p in SHARED_FIELDS})
-    keep = [c for c in docs.columns if c != doc]
-    out = docs.withColumn("_parsed", F.try_parse_json(doc)).select(
-        *keep,
-        value("$.root.metadata.org_id").alias("org_id"),
-        value("$.root.metadata.project_id").alias("project_id"),
-        *[c.alias(n) for n, c in fields.items()],
-        problem.alias("problem"),
-    )
+    out = opened.select(*keep, *[F.when(meant(f), value(f, "string")).alias(f.name) for f in fields], problem.alias("problem"))
     if on_missing == "report":
         return out
-    checked = F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem"))).otherwise(F.col("org_id"))
-    return out.withColumn("org_id", checked.cast("string")).drop("problem")
+    checked = F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem"))).otherwise(F.col(fields[0].name))
+    return out.withColumn(fields[0].name, checked.cast("string")).drop("problem")
+
+
+def _steps(path: str) -> tuple[str, str]:
+    """The first step of `$.a.b.c`, and the rest with its dots."""
+    first, dot, rest = path.removeprefix("$.").partition(".")
+    return first, dot + rest
 
 
 def filter_steps(docs: DataFrame, op: str, kind: str, steps: str = "steps") -> DataFrame:

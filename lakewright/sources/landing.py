@@ -13,6 +13,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from ..constants import LANDING_PREFIX
 from ..functions.text import strip_slashes
 
+HEADER_BYTES = 1 << 20
+
 # The schema the binary file source insists on.
 FILE_COLUMNS = StructType([
     StructField("path", StringType(), False), StructField("modificationTime", TimestampType(), False),
@@ -20,10 +22,13 @@ FILE_COLUMNS = StructType([
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modified, size) of the files below `root`; content is never read.
+    """(path, modified, size) of the files below `root`, none where there is no such folder; content is never read.
 
     Spark lists no empty files here; `list_tree` does.
     """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], "path string, modified timestamp, size bigint")
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         .select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
@@ -62,10 +67,10 @@ def nonempty_below(listing: DataFrame, prefix: str = LANDING_PREFIX) -> DataFram
 
 
 def landing_files(spark: SparkSession, root: str, prefix: str = LANDING_PREFIX) -> DataFrame:
-    """Non-empty files below `root`/`prefix`, with paths relative to `root`."""
+    """Non-empty files below `root`/`prefix`, with paths relative to `root`. Nothing outside the prefix is listed."""
     base = root.rstrip("/") + "/"
     relative = F.substr(F.col("path"), F.locate(base, F.col("path")) + len(base))
-    return nonempty_below(list_files(spark, root).withColumn("path", relative), prefix)
+    return nonempty_below(list_files(spark, base + prefix).withColumn("path", relative), prefix)
 
 
 def parse_landing_path(df: DataFrame, column: str = "path", has_file: bool = True) -> DataFrame:
@@ -146,6 +151,9 @@ def literal_path(path: str) -> str:
 def read_headers(files: DataFrame) -> DataFrame:
     """(path, column_name, column_type, position) from the first line of each file in `path`.
 
+    Text in another encoding gives names that no declaration has, and so does a
+    first line of more than HEADER_BYTES; neither keeps other files from being read.
+
     Tasks open the files and read up to the first line end; listing by size
     has spread the files over the tasks already.
     """
@@ -158,9 +166,9 @@ def read_headers(files: DataFrame) -> DataFrame:
             files, name = open_uri(path)
             text = b""
             with files.open_input_stream(name) as stream:
-                while b"\n" not in text and (block := stream.read(8192)):
+                while b"\n" not in text and len(text) < HEADER_BYTES and (block := stream.read(8192)):
                     text += block
-            return next(csv.reader([text.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")]), [])
+            return next(csv.reader([text.split(b"\n", 1)[0].decode("utf-8-sig", "replace").rstrip("\r")]), [])
 
         for batch in batches:
             yield frame(path=batch["path"], names=[names(p) for p in batch["path"]])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import RECENT_DAYS
 from ..functions.text import days_before, path_segment
-from ..operators.lists import MAX_ITEMS, name_lists
+from ..operators.lists import PART_NAMES, name_lists
 
 
 def recent(listing: DataFrame, now: Column, days: int = RECENT_DAYS) -> DataFrame:
@@ -17,7 +17,7 @@ def folders(listing: DataFrame) -> DataFrame:
     return listing.where(F.col("type") == "Folder")
 
 
-def pack_listing(items: DataFrame, container: str, max_items: int = MAX_ITEMS) -> DataFrame:
+def pack_listing(items: DataFrame, container: str, max_items: int = PART_NAMES) -> DataFrame:
     """(schema, packed) of folders given as (schema, name, type).
 
     A schema without folders yields nothing; a very large one yields several

@@ -1,5 +1,6 @@
 """Run registered queries beside their SQL in DuckDB: `python tests/compare.py [folder] [keys...]`."""
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -55,7 +56,7 @@ def compare(tables: Tables, con, name: str) -> str | None:
 
 
 def main(folder: str, names: list[str]) -> int:
-    spark = build_session(master="local[8]", **{
+    spark = build_session(master=os.environ.get("TEST_MASTER", "local[8]"), **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     tables, con, bad = Tables(spark, folder), duck(folder), 0

@@ -13,7 +13,7 @@ SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", "local[8]", **{
+    session = build_session("tests", os.environ.get("TEST_MASTER", "local[8]"), **{
         "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})

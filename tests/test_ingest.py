@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +207,38 @@ def test_specs():
         get_spec(SPECS, "sales", "beta")
     with pytest.raises(ValueError, match="needs keys"):
         from_dict({"source": "s", "tables": {"t": {"load": "merge", "columns": []}}})
+
+
+def test_one_call_leaves_a_folded_ledger_and_rebuilt_models(spark, root, now):
+    from lakewright.plans.models import ModelRegistry
+    registry = ModelRegistry()
+    registry.model("gold/statuses", ["sales/orders"])(lambda t: t["sales/orders"].groupBy("o_orderstatus").count())
+    job = make_job(spark, root)
+    job.models = registry
+    check_finished(job, ingest_folder(job, str(root), now(), "run"))
+    assert not job.store.has_appended(LEDGER) and job.store.version(LEDGER) == 1
+    assert {r.o_orderstatus for r in registry.read(job.store, "gold/statuses").collect()} == {"F", "P"}
+
+
+def test_a_declaration_that_the_table_outgrew_is_refused(spark, root, now):
+    from lakewright.operators.quality import SchemaMismatch
+    ingest_folder(make_job(spark, root), str(root), now(), "run")
+    columns = tuple((c, "string" if c == "o_custkey" else k) for c, k in SPEC.columns)
+    with pytest.raises(SchemaMismatch, match="o_custkey: string does not fit bigint"):
+        ingest_folder(make_job(spark, root, spec=replace(SPEC, columns=columns)), str(root), now(), "again")
+
+
+def test_a_file_in_another_encoding_does_not_stop_the_others(spark, root, now):
+    (root / "raw/sales/orders/odd.csv").write_bytes("o_orderkeyé,x\n1,2\n".encode("latin-1"))
+    entries = {r.file_name: r.stage for r in ingest_folder(make_job(spark, root), str(root), now(), "run").collect()}
+    assert entries == {"file +[0].csv": "COMPLETED", "file +[1].csv": "COMPLETED", "odd.csv": "NEW"}
+
+
+def test_declarations_are_checked_whole():
+    from lakewright.plans.specs import declaration_problems
+    assert declaration_problems(ORDERS) == []
+    wrong = {"source": "s", "tables": {"t": {"columns": [{"name": "a", "type": "blob"}, {"name": "a", "type": "int", "size": 3}],
+                                             "keys": ["b"], "load": "swap"}, "u": {}}}
+    assert declaration_problems(wrong) == [
+        "t: load is neither append nor merge", "t: column a is declared more than once", "t: key b is not a column",
+        "t.a: unknown type blob", "t.a: unknown word size", "u: no columns"]

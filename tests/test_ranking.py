@@ -1,23 +1,29 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from lakewright.operators.lists import name_lists
-from lakewright.operators.ranking import cluster, dense_ranks, interleave, z_values
+from lakewright.operators.ranking import cluster, dense_ranks, interleave, positions, z_values
 
 
-@pytest.mark.parametrize("ranges", [2, 7, 256])
-def test_dense_ranks_are_exact(spark, ranges):
-    rng = random.Random(ranges)
+def test_dense_ranks_are_exact(spark):
+    rng = random.Random(5)
     words = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 6))) for _ in range(600)] + ["aaa"] * 300
     df = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string")
     expected = {w: i for i, w in enumerate(sorted(set(words)))}
-    found = dense_ranks(df, "w", ranges).collect()
+    found = dense_ranks(df, "w").collect()
     assert {r.value: r["rank"] for r in found} == expected
     assert {r.n for r in found} == {len(expected)}
 
 
+def test_positions_in_a_hot_group(spark):
+    df = spark.createDataFrame([("hot" if i % 3 else None, i) for i in range(900)], "g string, n int")
+    found = positions(df, ["g"], ["n"], "p").collect()
+    for group in ("hot", None):
+        assert [r.p for r in sorted((r for r in found if r.g == group), key=lambda r: r.n)] == list(
+            range(1, 1 + sum(1 for r in found if r.g == group)))
+
+
 def test_interleave(spark):
     df = spark.createDataFrame([(5, 3)], "a bigint, b bigint")
     z = df.select(interleave([F.col("a"), F.col("b")], 3).alias("z")).first().z
@@ -45,10 +51,10 @@ def test_null_values_keep_their_rows(spark):
     assert z_values(df, ["s", "n"], 2).count() == 3
 
 
-def test_large_group_comes_in_parts(spark):
-    df = spark.createDataFrame([("g", f"n{i % 500}") for i in range(2000)] + [(None, "x")], "g string, n string")
-    rows = name_lists(df, ["g"], "n", "names", max_items=50).collect()
-    assert sorted(n for r in rows if r.g == "g" for n in r.names) == sorted({f"n{i}" for i in range(500)})
-    assert len([r for r in rows if r.g == "g"]) > 1
-    assert max(len(r.names) for r in rows) < 150
-    assert [r.names for r in rows if r.g is None] == [["x"]]
+def test_large_group_comes_in_parts_in_order(spark):
+    df = spark.createDataFrame([("g", f"n{i % 500:03d}") for i in range(2000)] + [(None, "x")], "g string, n string")
+    rows = name_lists(df, ["g"], "n", "names", part_names=50).collect()
+    parts = sorted((r for r in rows if r.g == "g"), key=lambda r: r.part)
+    assert [r.part for r in parts] == list(range(10)) and {len(r.names) for r in parts} == {50}
+    assert [n for r in parts for n in r.names] == [f"n{i:03d}" for i in range(500)]
+    assert [(r.part, r.names) for r in rows if r.g is None] == [(0, ["x"])]

@@ -112,7 +112,13 @@ def test_lineage_depth_is_the_longest_path(spark):
     assert {r.node: r.depth for r in downstream(edges, start).collect()} == {"s": 0, "a": 1, "b": 2, "c": 3}
     loop = edges.union(spark.createDataFrame([("c", "a")], edges.schema))
     with pytest.raises(LineageCycle):
-        downstream(loop, start, max_depth=5)
+        downstream(loop, start)
+
+
+def test_long_lineage_is_no_cycle(spark):
+    chain = spark.range(12).selectExpr("cast(id as string) parent", "cast(id + 1 as string) child")
+    start = spark.createDataFrame([("0",)], "node string")
+    assert {r.node: r.depth for r in downstream(chain, start).collect()} == {str(i): i for i in range(13)}
 
 
 def test_propagate_builds_parents_first(spark, tmp_path):
@@ -168,3 +174,39 @@ def test_zero_failures_do_not_alert(spark):
     assert failure_alert(runs, F.col("bad")).count() == 1
     assert failure_alert(runs, F.col("bad"), op=">=").count() == 2
     assert failure_alert(runs, F.col("bad"), op=">=", spine=True).count() == 5
+
+
+def test_one_odd_time_does_not_fill_the_spine_of_a_task(spark):
+    runs = spark.createDataFrame([(False, "2024-01-01 00:00:00"), (True, "2044-01-01 00:10:00")], "bad boolean, t string").select(
+        "bad", F.col("t").cast("timestamp_ntz").alias("ts"))
+    found = failure_alert(runs, F.col("bad"), op=">=", spine=True)
+    assert found.count() == 20 * 365 * 96 + 5 * 96 + 1 and found.where("failed = 1").count() == 1
+
+
+@pytest.mark.parametrize("logs", [True, False, None])
+@pytest.mark.parametrize("metrics", [True, False, None])
+@pytest.mark.parametrize("type_on", [True, False])
+def test_logs_and_metrics_are_routed_apart(spark, logs, metrics, type_on):
+    rows = spark.createDataFrame([("t", "r", "log", "a"), ("t", "r", "metric", "a"), ("t", "r", "log", "b")],
+                                 "resource_type string, resource_id string, kind string, category string")
+    types = spark.createDataFrame([("t", type_on)], "resource_type string, enabled boolean")
+    resources = spark.createDataFrame(
+        [("r", logs, metrics, "a", None)],
+        "resource_id string, logs_enabled boolean, metrics_enabled boolean, log_categories string, metric_categories string")
+    found = {(r.kind, r.category) for r in records.route_logs(rows, types, resources).collect()}
+    used = type_on or bool(logs) or bool(metrics)
+    assert found == ({("log", "a")} if used and logs is not False else set()) | (
+        {("metric", "a")} if used and metrics is not False else set())
+
+
+def test_rules_leave_records_of_another_kind_alone(spark):
+    schema = "urn string, type string, dependencies array<string>, property_dependencies map<string, array<string>>"
+    df = spark.createDataFrame([
+        ("u:a/x:link", "a/x:link", ["a/1", "x:link"], {"to": ["a/2"], "by": ["a/3"]}),
+        ("u:a/x:link", "a/y:folder", ["a/1"], {"to": ["a/2"]}), ("u:a/x:link", "z:a/x:link", ["a/1"], {"to": ["a/2"]})], schema)
+    rules = [records.Rename("a/", "b/"), records.Rename("a/", "b/", "x:link", ("to",)), records.Rename("x:link", "x:alias", "x:link")]
+    first, second, third = sorted(records.rewrite_resources(df, rules, "a/").collect(), key=lambda r: r.type)
+    assert (first.type, first.urn, first.property_dependencies) == ("b/x:alias", "u:b/x:alias", {"to": ["b/2"], "by": ["a/3"]})
+    assert (second.type, second.urn, second.property_dependencies) == ("b/y:folder", "u:b/x:link", {"to": ["a/2"]})
+    assert (third.type, third.urn, third.property_dependencies) == ("z:a/x:link", "u:a/x:link", {"to": ["a/2"]})
+    assert [r.dependencies for r in (first, second, third)] == [["b/1", "x:alias"], ["b/1"], ["b/1"]]

@@ -105,12 +105,13 @@ def test_documents(spark, tmp_path):
 
 
 def test_required_outputs_raise(spark):
-    docs = spark.createDataFrame([('{"root":{"metadata":{"org_id":"o"}}}', "shared")], "doc string, env string")
-    assert "project_id" in documents.project_outputs(docs, on_missing="report").first().problem
-    with pytest.raises(Exception, match="project_id"):
-        documents.project_outputs(docs).collect()
-    fine = spark.createDataFrame([('{"root":{"metadata":{"org_id":"o","project_id":"p"}}}', "scratch")], docs.schema)
-    assert documents.project_outputs(fine).first().org_id == "o"
+    fields = [documents.Field("id", "$.a.id", required=True), documents.Field("place", "$.b.c", ("x",), required=True)]
+    docs = spark.createDataFrame([('{"a":{"id":"1"}}', "x")], "doc string, env string")
+    assert documents.project_outputs(docs, fields, on_missing="report").first().problem == "missing $.b.c"
+    with pytest.raises(Exception, match="b.c"):
+        documents.project_outputs(docs, fields).collect()
+    fine = spark.createDataFrame([('{"a":{"id":"1"}}', "y"), ('{"a":{"id":"2"},"b":{"c":"3"}}', "x")], docs.schema)
+    assert [tuple(r) for r in documents.project_outputs(fine, fields).orderBy("id").collect()] == [("y", "1", None), ("x", "2", "3")]
 
 
 def test_catalog_sync_is_repeatable(spark, tmp_path):

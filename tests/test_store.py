@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewright.session import cut_lineage, scratch_path, shared_dir
-from lakewright.sinks.store import CommitConflict, TableStore
+from lakewright.sinks.store import CommitConflict, SchemaConflict, TableStore
 
 
 @pytest.fixture
@@ -82,7 +82,7 @@ def test_unfinished_version_is_invisible(spark, store):
     store.write("t", spark.range(4))
     assert store.read("t").count() == 4
     with pytest.raises(CommitConflict):
-        store._commit("t", 2, [])
+        store._commit("t", 2, [], spark.range(1).schema, None)
 
 
 def test_optimize_keeps_rows(spark, store):
@@ -103,3 +103,57 @@ def test_merge_rewrites_touched_buckets_only(spark, store):
     store.vacuum("t", keep=1)
     assert store.read("t").count() == 1001
     assert store.version("t") == 2
+
+
+def test_bucket_count_stays_with_the_table(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    new = spark.range(200).selectExpr("id k", "'new' v")
+    TableStore(spark, root, 4).merge("t", spark.range(200).selectExpr("id k", "'old' v"), ["k"], ["v"])
+    other = TableStore(spark, root, 7)
+    for part in (0, 1):
+        other.merge("t", new.where(f"k % 2 = {part}"), ["k"], ["v"])
+    assert rows(other.read("t")) == [(i, "new") for i in range(200)]
+    assert other._commit_of("t", 3)["buckets"] == 4
+
+
+def test_merge_adds_columns_and_refuses_wider_types(spark, store):
+    store.merge("t", spark.createDataFrame([(i, "a") for i in range(40)], "k bigint, v string"), ["k"], ["v"])
+    store.merge("t", spark.createDataFrame([(3, "b", 1.5)], "k int, v string, w double"), ["k"], ["v"])
+    table = store.read("t")
+    assert table.dtypes == [("k", "bigint"), ("v", "string"), ("w", "double")] and table.count() == 40
+    assert rows(table.where("w is not null")) == [(3, "b", 1.5)]
+    with pytest.raises(SchemaConflict):
+        store.merge("t", spark.createDataFrame([("3", "b")], "k string, v string"), ["k"], ["v"])
+
+
+def test_append_adds_columns(spark, store):
+    store.append("t", spark.createDataFrame([(1, "a")], "v int, _ingest_id string"))
+    store.append("t", spark.createDataFrame([(2, "x", "b")], "v int, w string, _ingest_id string"))
+    store.append("t", spark.createDataFrame([(3, "c")], "v int, _ingest_id string"))
+    assert sorted(map(tuple, store.read_appended("t").select("v", "w").collect()), key=str) == [(1, None), (2, "x"), (3, None)]
+    with pytest.raises(SchemaConflict):
+        store.append("t", spark.createDataFrame([(1.5, "d")], "v double, _ingest_id string"))
+
+
+def test_null_in_a_key_merges_once(spark, store):
+    updates = spark.createDataFrame([(1, None, "x"), (1, 2, "y")], "a int, b int, v string")
+    for _ in range(3):
+        store.merge("t", updates, ["a", "b"], ["v"])
+    assert store.read("t").count() == 2
+
+
+def test_catalogue_shows_the_current_version_only(spark, store):
+    spark.sql("create database if not exists shown")
+    try:
+        for n in (10, 4):
+            store.write("t", spark.range(n))
+            store.show_as("t", "shown.t")
+        assert spark.table("shown.t").count() == 4
+        for v in ("a", "b"):
+            store.merge("m", spark.createDataFrame([(i, v) for i in range(10)], "k int, v string"), ["k"], ["v"])
+            store.show_as("m", "shown.m")
+        table = spark.table("shown.m")
+        assert table.columns == ["k", "v"] and rows(table) == [(i, "b") for i in range(10)]
+    finally:
+        spark.sql("drop database shown cascade")
+    assert store.read("m").count() == 10
