@@ -62,7 +62,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
             number += 1
 
     def packed(number, own):
-        data = np.array([v for _, v in own], np.float64).reshape(len(own), -1)
+        data = np.array([v for _, v in own], np.float64).reshape(len(own), len(own[0][1]))
         return pa.record_batch({
             "block": pa.array([number], pa.int64()), "width": pa.array([data.shape[1]], pa.int32()),
             "ids": pa.array([np.array([i for i, _ in own], np.int64).tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
@@ -113,7 +113,8 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
     longest = rows.agg(F.max(square)).first()[0] or 0.0
     sample = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).collect()]
     widths = {len(v) for v in sample}
-    pivots = {n: choose_pivots(np.array([v for v in sample if len(v) == n]).reshape(-1, n), PIVOTS) for n in widths}
+    by_width = {n: [v for v in sample if len(v) == n] for n in widths}
+    pivots = {n: choose_pivots(np.array(own, np.float64).reshape(len(own), n), PIVOTS) for n, own in by_width.items()}
 
     candidates = cut_lineage(_blocks(rows, CANDIDATES), "candidates")
     queries = cut_lineage(_blocks(rows.where(F.col("id") % every == 0).dropDuplicates(["id"]), QUERIES), "queries")
@@ -124,7 +125,8 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
     def task(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, data = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"]).reshape(-1, row["width"])
+                ids = np.frombuffer(row["ids"], np.int64)
+                data = np.frombuffer(row["data"], np.float64).reshape(len(ids), row["width"])
                 own = pivots.get(row["width"], np.zeros((0, row["width"])))
                 if row["q"] == -1:
                     block_ids, block = ids, data
