@@ -21,7 +21,7 @@ from .common import (LAST_ID, Words, body, held_out, longs, odd_numbers, pack_lo
 #: Hashes that stand for the start of a text, a context only, and for its end, a token.
 START, END = np.uint64(1), np.uint64(2)
 #: Tokens in a block; a longer text is a block of its own.
-BLOCK = 1_000_000
+BLOCK = 600_000
 
 _BLOCKS = "block long, kind int, bucket int, docs binary, sizes binary, held binary, words binary, tokens binary, counts binary"
 _SENT = "bucket int, kind int, block long, keys binary, counts binary"
