@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from ..constants import LANDING_PREFIX
 from ..functions.text import strip_slashes
+from ..session import cut_lineage
 
 HEADER_BYTES = 1 << 20
 
@@ -38,27 +40,28 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path relative to `root`, size) of all files, empty ones too.
 
-    The driver sees the top folders only; tasks walk them.
+    Level by level: tasks list the folders of a level, each its own children
+    only, and the next level is what they found. So no task walks a whole tree.
     """
-    from pyarrow import fs
-
-    from ._files import frame, open_uri
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
-    files, base = open_uri(root)
-    top = files.get_file_info(fs.FileSelector(base))
-    names = [(i.base_name, i.type == fs.FileType.Directory) for i in top]
+        from ._files import frame, open_uri
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, base = open_uri(root)
         for batch in batches:
-            for name, is_dir in zip(batch["name"], batch["is_dir"]):
-                there = f"{base}/{name}"
-                found = files.get_file_info(fs.FileSelector(there, recursive=True) if is_dir else [there])
-                found = [i for i in found if i.type == fs.FileType.File]
-                yield frame(path=[i.path[len(base) + 1:] for i in found], size=[i.size for i in found])
-
-    folders = spark.createDataFrame(names, "name string, is_dir boolean").repartition(max(1, len(names)), "name")
-    return folders.mapInPandas(walk, "path string, size bigint")
+            for folder in batch["path"]:
+                found = files.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base))
+                yield frame(path=[i.path[len(base) + 1:] for i in found], size=[i.size or 0 for i in found],
+                            is_dir=[i.type == fs.FileType.Directory for i in found])
+
+    levels, folders = [], spark.createDataFrame([("",)], "path string")
+    while True:
+        level = cut_lineage(folders.mapInPandas(children, "path string, size bigint, is_dir boolean"), "tree")
+        levels.append(level.where(~F.col("is_dir")).select("path", "size"))
+        folders = level.where("is_dir").select("path").repartition(F.col("path"))
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
 
 
 def nonempty_below(listing: DataFrame, prefix: str = LANDING_PREFIX) -> DataFrame:

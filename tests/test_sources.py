@@ -8,6 +8,7 @@ from lakewright.operators.inventory import mirror_plan
 from lakewright.plans import sync
 from lakewright.sinks.mirror import apply_mirror
 from lakewright.sinks.publish import publish
+from lakewright.sinks.store import TableStore
 from lakewright.sources import documents, extract, landing, layout, listing
 
 
@@ -124,6 +125,31 @@ def test_catalog_sync_is_repeatable(spark, tmp_path):
     assert spark.table("gold.sales").count() == 3
 
 
+def test_catalog_sync_follows_versions(spark, tmp_path):
+    lake = layout.Layout(str(tmp_path))
+    store = TableStore(spark, lake.path("source"))
+    stored = spark.createDataFrame([("Shop", "Carts")], "schema string, name string")
+    for n, created in ((10, 1), (4, 0)):
+        store.write("Shop/Carts", spark.range(n))
+        assert sync.sync_catalog(spark, stored, "source", lake) == created
+        assert spark.table("shop.carts").count() == n
+
+
+def test_scheduled_chain_retries_its_listing(spark):
+    calls = []
+
+    def listing():
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("no answer")
+        return spark.sql("select 'nowhere' schema, 'b' name, 'Folder' type, timestamp_ntz'2024-01-02 00:00:00' modified union all "
+                         "select 'nowhere', 'a', 'Folder', timestamp_ntz'2024-01-02 00:00:00'")
+
+    now = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+    found = sync.scheduled_sync(spark, listing, now, seconds=0).collect()
+    assert [(r.schema, r.tables) for r in found] == [("nowhere", "a, b")] and len(calls) == 2
+
+
 def test_retries():
     calls = []
 
