@@ -20,7 +20,7 @@ PIVOTS = 32
 #: Rows from which pivots are chosen, the first by a hash of their ids. Only how much is eliminated depends on them.
 PIVOT_SAMPLE = 2_000
 #: Candidates evaluated between two looks at the bounds.
-STEP = 128
+STEP = 1024
 
 
 def usable(vector: Column) -> Column:
@@ -130,7 +130,7 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
                 own = pivots.get(row["width"], np.zeros((0, row["width"])))
                 if row["q"] == -1:
                     block_ids, block = ids, data
-                    near = lifted_distances(block, own, longest, query=False)
+                    near = np.ascontiguousarray(lifted_distances(block, own, longest, query=False).T)  # a row for each pivot
                     continue
                 theirs = lifted_distances(data, own, longest, query=True)
                 found = [_of_query(q, i, d, near, block_ids, block) for q, i, d in zip(data, ids, theirs)]
@@ -142,7 +142,7 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
     def _of_query(query, query_id, distances, near, ids, block):
         apart = np.zeros(len(block))
         for p in range(len(distances)):
-            np.maximum(apart, np.abs(near[:, p] - distances[p]), out=apart)
+            np.maximum(apart, np.abs(near[p] - distances[p]), out=apart)
         # Rounding in the distances must not cut off a candidate; scores are whole numbers.
         apart = np.maximum(apart - 1e-6 * (1 + apart), 0)
         upper = np.floor(((query ** 2).sum() + longest - apart ** 2) / 2 + 1e-3 * (1 + longest * 1e-9))
