@@ -10,14 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lakewright.session import cut_lineage
-
 from .common import (LAST_ID, Words, longs, odd_numbers, pack_longs, pack_sorted, rows_by_size, runs, share_of,
                      shuffle_parts, texts, unpack_longs, unpack_sorted, unzstd, zstd)
 from .sketch import PARTIAL, cells_for, merged, partial_sketch
 
 #: Windows that a task holds before it passes them on.
 HELD = 1 << 21
+#: And before it passes on their sketch, of which a fuller one takes less room for each.
+SKETCHED = 1 << 22
+PRIME = 1_000_003
 #: Text bytes hashed at once; a longer text is hashed alone.
 BYTES = 1 << 20
 
@@ -49,10 +50,15 @@ class Windows:
         return row[inside], first[inside], second[inside]
 
 
-def repeated_windows(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc`, `hashes` (binary, 64 bits each): windows of a document that also start in one with a smaller id.
+def share(doc, shares: int):
+    """The share of the documents that an id belongs to; for columns and arrays alike."""
+    return doc % PRIME % shares if isinstance(doc, np.ndarray) else F.pmod(F.pmod(doc, F.lit(PRIME)), F.lit(shares)).cast("int")
+
+
+def repeated_windows(docs: DataFrame, size: int, shares: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`share`, `docs`, `hashes` (packed, of equal length): windows of documents that also start in one with a smaller id.
 
-    A document may have several rows. A null id counts as larger than all.
+    A share of documents has several rows. A null id counts as larger than all.
     """
     spark = docs.sparkSession
     bodies = texts(docs, key, text)
@@ -65,7 +71,7 @@ def repeated_windows(docs: DataFrame, size: int, key: str = "doc_id", text: str
         for batch in rows_by_size(batches, BYTES):
             held.append(made.of_batch(batch.column("body").to_pylist())[1])
             n += len(held[-1])
-            if n >= HELD:
+            if n >= SKETCHED:
                 yield partial_sketch(np.concatenate(held), width)
                 held, n = [], 0
         if n:
@@ -92,14 +98,14 @@ def repeated_windows(docs: DataFrame, size: int, key: str = "doc_id", text: str
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] != last:
-                    yield from _later(held)
+                    yield from _later(held, shares)
                     last, held = row["bucket"], []
                 held.append((unpack_sorted(row["first"]), unzstd(row["second"], np.uint32), unpack_longs(row["docs"])))
-        yield from _later(held)
+        yield from _later(held, shares)
 
     picked = bodies.mapInArrow(pick_task, "bucket int, first binary, second binary, docs binary")
     return (picked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(group_task, "doc long, hashes binary"))
+            .mapInArrow(group_task, "share int, docs binary, hashes binary"))
 
 
 def _packed(held, buckets: int) -> pa.RecordBatch:
@@ -115,8 +121,8 @@ def _packed(held, buckets: int) -> pa.RecordBatch:
                            names=["bucket", "first", "second", "docs"])
 
 
-def _later(held):
-    """Of one bucket: the windows of every document that an earlier one has as well."""
+def _later(held, shares: int):
+    """Of one bucket: the windows of every document that an earlier one has as well, a row for each share of documents."""
     if not held:
         return
     first, second, doc = (np.concatenate(x) for x in zip(*held))
@@ -125,13 +131,13 @@ def _later(held):
     new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
     least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     first, doc = first[doc > least], doc[doc > least]
-    order = np.argsort(doc, kind="stable")
-    first, doc = first[order], doc[order]
-    starts, ends = runs(doc)
-    for at in range(0, len(starts), 10_000):
-        part = list(zip(starts[at:at + 10_000], ends[at:at + 10_000]))
-        yield pa.record_batch({"doc": doc[[s for s, _ in part]],
-                               "hashes": pa.array([first[s:e].tobytes() for s, e in part], pa.binary())})
+    own = share(doc, shares)
+    order = np.lexsort((doc, own))
+    first, doc, own = first[order], doc[order], own[order]
+    rows = [(int(own[s]), pack_longs(doc[s:e]), zstd(first[s:e])) for s, e in zip(*runs(own))]
+    for at in range(0, len(rows), 1000):
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 1000]), (pa.int32(), pa.binary(), pa.binary()))],
+                              names=["share", "docs", "hashes"])
 
 
 def without_repeats(docs: DataFrame, size: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,38 +150,70 @@ def without_repeats(docs: DataFrame, size: int = 13, key: str = "doc_id", text:
     words; a null id counts as larger than all; rows with one id are one
     document and do not remove each other's words.
     """
-    later = cut_lineage(repeated_windows(docs, size, key, text), "windows")
-    later = later.groupBy("doc").agg(F.collect_list("hashes").alias("_hashes"))
-    keyed = docs.withColumn("_doc", F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)))
-    joined = keyed.join(later.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
-    own = [c for c in joined.columns if c not in ("_hashes", text)]
-    fields = docs.select(*own, text).schema
+    spark = docs.sparkSession
+    shares = shuffle_parts(spark)
+    own = list(docs.columns)
+    fields = docs.schema
+    doc = F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID))
+    rows = docs.select(*own, share(doc, shares).alias("_share"), F.lit(1).alias("_kind"), doc.alias("_doc"))
+    later = repeated_windows(docs, size, shares, key, text).select(
+        F.col("share").alias("_share"), F.lit(0).alias("_kind"), F.col("docs").alias("_docs"), F.col("hashes").alias("_hashes"))
+    # A share's windows come before its documents.
+    both = rows.unionByName(later, allowMissingColumns=True).repartitionById(shares, F.col("_share")).sortWithinPartitions("_share", "_kind", "_doc")
     out = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields),
                      "n_words long", "n_removed long", "kept string"])
 
     def task(batches):
-        made = Windows(size)
-        for batch in rows_by_size(batches, BYTES, "_body"):
-            counts, removed, kept = [], [], []
-            for data, hashes in zip(batch.column("_body").to_pylist(), batch.column("_hashes").to_pylist()):
-                words = data.split()
-                gone = _covered(made, words, hashes)
-                counts.append(len(words))
-                removed.append(int(gone.sum()))
-                left = [w for w, g in zip(words, gone.tolist()) if not g] if removed[-1] else words
-                kept.append(b" ".join(left).decode("utf-8", "replace"))
-            columns = [batch.column(c) for c in (*own, text)]
-            yield pa.record_batch([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
-                                   pa.array(kept, pa.string())], names=[*own, text, "n_words", "n_removed", "kept"])
-
-    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    return joined.select(*own, text, "_hashes", body.alias("_body")).mapInArrow(task, out)
-
-
-def _covered(made: Windows, words: list[bytes], hashes: list[bytes] | None) -> np.ndarray:
+        made, part, gone = Windows(size), None, Gone()
+        for batch in rows_by_size(batches, BYTES, text):
+            shares_, kinds = batch.column("_share").to_numpy(), batch.column("_kind").to_numpy()
+            for s, e in zip(*runs(shares_.astype(np.int64) * 2 + kinds)):
+                if shares_[s] != part:
+                    part, gone = shares_[s], Gone()
+                rows = batch.slice(s, e - s)
+                if kinds[s] == 0:
+                    gone.add(rows)
+                else:
+                    yield _cut(rows, made, gone, own, text)
+
+    return both.mapInArrow(task, out)
+
+
+class Gone:
+    """The repeated windows of a share of documents, by document."""
+
+    def __init__(self) -> None:
+        self.held, self.docs, self.hashes = [], np.empty(0, np.int64), np.empty(0, np.uint64)
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.held += [(unpack_longs(d), unzstd(h, np.uint64)) for d, h in zip(
+            rows.column("_docs").to_pylist(), rows.column("_hashes").to_pylist())]
+
+    def of(self, doc: int) -> np.ndarray:
+        if self.held:
+            docs, hashes = (np.concatenate(x) for x in zip(*self.held))
+            order = np.argsort(docs, kind="stable")
+            self.docs, self.hashes, self.held = docs[order], hashes[order], []
+        return self.hashes[np.searchsorted(self.docs, doc, "left"):np.searchsorted(self.docs, doc, "right")]
+
+
+def _cut(rows: pa.RecordBatch, made: Windows, gone: Gone, own: list[str], text: str) -> pa.RecordBatch:
+    counts, removed, kept = [], [], []
+    for doc, data in zip(rows.column("_doc").to_pylist(), rows.column(text).cast(pa.binary()).to_pylist()):
+        words = (data or b"").split()
+        marks = _covered(made, words, gone.of(doc))
+        counts.append(len(words))
+        removed.append(int(marks.sum()))
+        left = [w for w, m in zip(words, marks.tolist()) if not m] if removed[-1] else words
+        kept.append(b" ".join(left).decode("utf-8", "replace"))
+    return pa.record_batch([*(rows.column(c) for c in own), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
+                            pa.array(kept, pa.string())], names=[*own, "n_words", "n_removed", "kept"])
+
+
+def _covered(made: Windows, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
     gone = np.zeros(len(words) + 1, np.int64)
-    if hashes and len(words) >= made.size:
-        at = np.flatnonzero(np.isin(made.of(words)[0], np.frombuffer(b"".join(hashes), np.uint64)))
+    if len(hashes) and len(words) >= made.size:
+        at = np.flatnonzero(np.isin(made.of(words)[0], hashes))
         np.add.at(gone, at, 1)
         np.add.at(gone, at + made.size, -1)
     return np.cumsum(gone)[:-1] > 0
