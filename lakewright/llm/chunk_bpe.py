@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, functions as F
 from lakewright.session import cut_lineage
 
 from .chunking import Sizes, chunk_ends
-from .common import longs, rows_by_size, texts
+from .common import pack_ids, rows_by_size, texts, unpack_ids
 from .encoding import PieceIds, encoder, tokenizer
 from .sketch import PARTIAL, cells_for, merged, partial_sketch
 
 SIZES = Sizes(128, 512, 4096)
 #: Chunk digests a task holds before it passes its sketch on.
 HELD = 1 << 21
+#: Digests that a task remembers as sent; beyond that it may send a chunk again.
+SENT = 1 << 20
 #: A visible ASCII character before a space, tab or line end: pre-tokens, and so tokens, end between them in any text.
 _SURE = re.compile(rb"[\x21-\x7e](?=[ \t\n\r])")
 
@@ -150,7 +152,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
 
     def split_task(batches):
         from pyspark import TaskContext
-        known, row = encoder(path, False), TaskContext.get().partitionId() << 32
+        known, row, sent = encoder(path, False), TaskContext.get().partitionId() << 32, set()
         for batch in rows_by_size(batches, 1 << 20):
             bodies, ends = chunks_of(batch)
             spans = [list(zip([0, *e], e)) for e in ends]
@@ -168,17 +170,21 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
                         if open_from < s:
                             parts.append((row, doc, seq, None, body[open_from:s]))
                         digest = xxhash.xxh3_128_digest(body[s:e])
-                        chunks.setdefault(digest, body[s:e])
+                        if digest not in sent:
+                            sent.add(digest)
+                            chunks[digest] = body[s:e]
                         parts.append((row, doc, seq + 1, digest, None))
                         open_from, seq = e, seq + 2
                 if open_from < len(body):
                     parts.append((row, doc, seq, None, body[open_from:]))
+            if len(sent) > SENT:
+                sent.clear()
             own_parts = [p for p in parts if p[3] is None]
             ids, lengths = known.encode([b for _, b in whole] + [p[4] for p in own_parts])
             ids = np.split(ids, np.cumsum(lengths)[:-1]) if len(lengths) else []
             n, finished = len(whole), _results([d for d, _ in whole], ids[:len(whole)], path, keep_ids)
             found = ([(WHOLE, None, d, None, None, None, None) for d, _ in whole]
-                     + [(OWN, r, d, q, None, i.astype("<u4").tobytes(), None) for (r, d, q, _, _), i in zip(own_parts, ids[n:])]
+                     + [(OWN, r, d, q, None, pack_ids(i), None) for (r, d, q, _, _), i in zip(own_parts, ids[n:])]
                      + [(SHARED, r, d, q, g, None, None) for r, d, q, g, _ in parts if g is not None]
                      + [(CHUNK, None, None, None, g, None, b) for g, b in chunks.items()])
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -190,8 +196,8 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
         known = encoder(path, False)
         for batch in rows_by_size(batches, 1 << 20):
             ids, lengths = known.encode(batch.column("body").to_pylist())
-            parts = np.split(ids.astype("<u4"), np.cumsum(lengths)[:-1])
-            yield pa.record_batch({"digest": batch.column("digest"), "own_ids": pa.array([p.tobytes() for p in parts], pa.binary())})
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            yield pa.record_batch({"digest": batch.column("digest"), "own_ids": pa.array(map(pack_ids, parts), pa.binary())})
 
     def join_task(batches):
         known, last, held, made = encoder(path, False), None, [], []
@@ -201,7 +207,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
                     if held:
                         made.append((last_doc, repaired(held, known)))
                     last, last_doc, held = row, doc, []
-                held.append(np.frombuffer(ids, "<u4"))
+                held.append(unpack_ids(ids))
             if len(made) > 500:
                 yield pa.record_batch(_results(*zip(*made), path, keep_ids))
                 made = []

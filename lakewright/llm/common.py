@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,7 +52,7 @@ def rows_by_size(batches, limit: int, size: str = "body"):
 class Words(dict):
     """Word (bytes) -> place in `hashes`, two 64-bit hashes of each word met so far. Starts anew beyond `limit` words."""
 
-    def __init__(self, limit: int = 1_000_000) -> None:
+    def __init__(self, limit: int = 300_000) -> None:
         super().__init__()
         self.limit, self.fresh, self.hashes = limit, [], np.empty((0, 2), np.uint64)
 
@@ -76,12 +78,38 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def zstd(data, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(data).tobytes())
+@lru_cache
+def _press() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@lru_cache
+def _unpress() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
+def zstd(data) -> bytes:
+    return _press().compress(np.ascontiguousarray(data).tobytes())
 
 
 def unzstd(data: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
+    return np.frombuffer(_unpress().decompress(data), dtype)
+
+
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Unsigned 32-bit ids: as many byte planes as they need."""
+    raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
+    used = -(-int(ids.max()).bit_length() // 8) if len(ids) else 0
+    return used.to_bytes(1, "little") + zstd(raw[:, :used].T) if used else len(ids).to_bytes(9, "big")
+
+
+def unpack_ids(data: bytes) -> np.ndarray:
+    if not data[0]:
+        return np.zeros(int.from_bytes(data, "big"), np.uint32)
+    planes = unzstd(data[1:], np.uint8).reshape(data[0], -1)
+    raw = np.zeros((planes.shape[1], 4), np.uint8)
+    raw[:, :data[0]] = planes.T
+    return raw.view("<u4").ravel()
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
