@@ -80,7 +80,7 @@ class PieceIds(dict):
         sizes = self.sizes[numbers]
         ends = np.cumsum(np.concatenate([[0], sizes]))
         ids = self.ids[np.repeat(self.starts[numbers] - ends[:-1], sizes) + np.arange(ends[-1])]
-        lasts = np.cumsum(counts)
+        lasts = np.cumsum(np.array(counts, np.int64))
         stops = ends[lasts]
         lengths = np.diff(stops, prepend=0)
         if end is not None:
