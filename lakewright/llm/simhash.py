@@ -13,6 +13,7 @@ from lakewright.session import cut_lineage
 
 from .common import rows_by_size, runs, texts
 from .components import connected_components
+from .jaccard import similar_sets
 
 BITS = 64
 #: Fingerprints of one bucket that are compared in one piece; larger buckets are cut into pairs of pieces.
@@ -263,17 +264,14 @@ def _grouped(prints: DataFrame, linked) -> DataFrame:
         F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
-                   reach: int = 14, blocks: int = 10, kept: int = 2) -> DataFrame:
-    """As `simhash_groups`, for texts whose sets of shingles are similar (shared part of all) by `similarity` or more.
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of `docs`: doc_id, component_id, for texts whose sets of shingles are similar (shared part of all) by `similarity` or more.
 
-    Fingerprints of texts so similar differ in about a sixth of their bits, which other pairs come
-    near too. So the comparison reaches further, and what it finds has to agree in a signature of 64 minimum hashes;
-    its share of equal bytes estimates the similarity to 0.05. Pairs within blocks - kept bits
-    always meet in a bucket, pairs of `reach` bits in three of four cases.
+    Every such pair is a link, and no other. Texts so similar differ in about a sixth of the bits
+    of their fingerprints, which other pairs come near too; so the sets themselves
+    are compared. Ids are treated as in `simhash_groups`; texts without words are equal.
     """
-    prints = fingerprints(docs, key, text, words, signed=True).withColumn("node", F.xxhash64("fp", "sig"))
-    return _grouped(cut_lineage(prints, "prints"), lambda nodes: links(nodes, reach, block_masks(blocks, kept), similarity))
+    return similar_sets(docs, key, text, words, similarity).select(F.col("doc").alias("doc_id"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

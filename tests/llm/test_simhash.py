@@ -108,3 +108,59 @@ def test_similar_texts_are_found_and_others_stay(spark):
     found = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, rows)).collect()}
     assert sum(found[i + 1] == i for i in near) >= 0.9 * len(near)
     assert all(found[i + 1] == i + 1 for i in far) and all(found[i] == i for i in near + far)
+
+
+def edited_pairs(pairs: int, seed: int = 5):
+    """Texts of 40, 300 and 1,000 words, each with an edited one whose shingles are similar by 0.7 to 0.95; and the similarities."""
+    rng = random.Random(seed)
+    rows, similarity = [], {}
+    for i in range(pairs):
+        n = (40, 300, 1000)[i % 3]
+        own = [f"w{rng.randrange(30_000)}" for _ in range(n)]
+        wanted = 0.7 + 0.25 * i / pairs
+        changed, likeness, places = list(own), 1.0, iter(rng.sample(range(n), n))
+        a = {tuple(own[j:j + 5]) for j in range(n - 4)}
+        while likeness > wanted:
+            # A word at the end is in fewer shingles.
+            at = next(places) if n > 40 else len([w for w in changed if w.startswith("e")])
+            changed[at] = f"e{rng.randrange(10**9)}"
+            b = {tuple(changed[j:j + 5]) for j in range(n - 4)}
+            before, likeness = likeness, len(a & b) / len(a | b)
+        rows += [(2 * i, " ".join(own), None, None, None, None), (2 * i + 1, " ".join(changed), None, None, None, None)]
+        similarity[2 * i] = len(a & b), len(a | b)
+    return rows, similarity
+
+
+def test_every_pair_is_decided_by_its_shingles(spark):
+    rows, similarity = edited_pairs(240)
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, rows)).collect()}
+    wrong = [i for i, (shared, all_) in similarity.items() if (found[i + 1] == i) != (10 * shared >= 8 * all_)]
+    assert not wrong and sum(0.75 <= s / a <= 0.9 for s, a in similarity.values()) > 100
+
+
+def test_groups_equal_brute_force(spark):
+    """Copies of copies, short, empty and equal texts, texts of shared passages, and a group without a middle."""
+    rng = random.Random(8)
+    texts = [None, "", " ", "one two", "One  two", "one two three", "a b c d e", "A b c d e", *(r[1] for r in odd_documents())]
+    passages = [[f"p{rng.randrange(900)}" for _ in range(rng.randint(5, 30))] for _ in range(12)]
+    texts += [" ".join(w for p in rng.sample(passages, rng.randint(1, 5)) for w in p) for _ in range(120)]
+    for _ in range(4):
+        own = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        for _ in range(25):
+            own = list(own)
+            for at in rng.sample(range(150), rng.randint(1, 4)):
+                own[at] = f"w{rng.randrange(3000)}"
+            texts.append(" ".join(own))
+    sets = []
+    for t in texts:
+        w = words(t, lower=True)
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    number = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if number[i] != number[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                old, new = max(number[i], number[j]), min(number[i], number[j])
+                number = [new if n == old else n for n in number]
+    rows = [(i, t, None, None, None, None) for i, t in enumerate(texts)]
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, rows)).collect()}
+    assert found == dict(enumerate(number))
