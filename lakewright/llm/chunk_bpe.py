@@ -109,20 +109,30 @@ _KINDS = "kind int, row long, doc long, seq int, digest binary, ids binary, body
 WHOLE, OWN, SHARED, CHUNK = range(4)
 
 
-def _results(docs: list, ids: list[np.ndarray], path: str, keep_ids: bool) -> dict:
+def _results(docs: list, ids: list[np.ndarray], path: str, wanted: list[str]) -> dict:
+    """doc_id and the wanted columns."""
     raw = [i.astype("<u4").tobytes() for i in ids]
-    if keep_ids:
-        return {"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(raw, pa.binary())}
-    return {"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(map(len, ids), pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
-            "decoded_sha256": pa.array([hashlib.sha256(decode(i, path).encode()).hexdigest() for i in ids], pa.string())}
+    found = {"doc_id": pa.array(docs, pa.int64())}
+    if "ids" in wanted:
+        found["ids"] = pa.array(raw, pa.binary())
+    if "n_tokens" in wanted:
+        found["n_tokens"] = pa.array(map(len, ids), pa.int64())
+        found["ids_sha256"] = pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string())
+    if "decoded_sha256" in wanted or "decoded" in wanted:
+        texts_ = [decode(i, path) for i in ids]
+        if "decoded_sha256" in wanted:
+            found["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts_], pa.string())
+        if "decoded" in wanted:
+            found["decoded"] = pa.array(texts_, pa.string())
+    return found
 
 
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str = "doc_id", text: str = "text",
-                     sizes: Sizes = SIZES) -> DataFrame:
+                     sizes: Sizes = SIZES, digests: bool | None = None, decoded: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id and ids (binary, little-endian unsigned 32-bit), as the byte-level tokenizer at `path` gives.
 
-    keep_ids=False: n_tokens, ids_sha256 and decoded_sha256 (of the text decoded from the ids) in their place.
+    digests: n_tokens, ids_sha256 and decoded_sha256 (of the text decoded from the ids) as well; None for
+    only where there are no ids, keep_ids=False. decoded: that text itself as well, in `decoded`.
     A null text counts as empty, and gives no ids; a null id stays null; repeated rows
     give repeated rows. Other columns are not read. Special tokens in a text
     count as such. A text that is no valid UTF-8 is encoded with replacement characters.
@@ -147,8 +157,12 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
             yield partial_sketch(np.array(held, np.uint64), width)
 
     repeated = spark.sparkContext.broadcast(merged(rows.mapInArrow(sketch_task, PARTIAL), width))
-    out = "doc_id long, " + ("ids binary" if keep_ids else "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    digests = not keep_ids if digests is None else digests
+    out = ("doc_id long" + ", ids binary" * keep_ids + ", n_tokens long, ids_sha256 string, decoded_sha256 string" * digests
+           + ", decoded string" * decoded)
     names = [x.split()[0] for x in out.split(", ")][1:]
+    # Ids travel packed and are opened at the end; digests are smaller than they and are made at once.
+    late = keep_ids or decoded
 
     def split_task(batches):
         from pyspark import TaskContext
@@ -182,15 +196,16 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
             own_parts = [p for p in parts if p[3] is None]
             ids, lengths = known.encode([b for _, b in whole] + [p[4] for p in own_parts])
             ids = np.split(ids, np.cumsum(lengths)[:-1]) if len(lengths) else []
-            n, finished = len(whole), _results([d for d, _ in whole], ids[:len(whole)], path, keep_ids)
-            found = ([(WHOLE, None, d, None, None, None, None) for d, _ in whole]
+            n, finished = len(whole), {} if late else _results([d for d, _ in whole], ids[:len(whole)], path, names)
+            found = ([(WHOLE, None, d, None, None, pack_ids(i) if late else None, None) for (d, _), i in zip(whole, ids)]
                      + [(OWN, r, d, q, None, pack_ids(i), None) for (r, d, q, _, _), i in zip(own_parts, ids[n:])]
                      + [(SHARED, r, d, q, g, None, None) for r, d, q, g, _ in parts if g is not None]
                      + [(CHUNK, None, None, None, g, None, b) for g, b in chunks.items()])
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             columns = [pa.array(c, t) for c, t in zip(zip(*found), kinds)]
-            done = [pa.concat_arrays([finished[c], pa.nulls(len(found) - n, finished[c].type)]) for c in names]
-            yield pa.record_batch(columns + done, names=["kind", "row", "doc", "seq", "digest", "own_ids", "body", *names])
+            early = [c for c in names if c in finished]
+            done = [pa.concat_arrays([finished[c], pa.nulls(len(found) - n, finished[c].type)]) for c in early]
+            yield pa.record_batch(columns + done, names=["kind", "row", "doc", "seq", "digest", "own_ids", "body", *early])
 
     def encode_task(batches):
         known = encoder(path, False)
@@ -209,18 +224,25 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
                     last, last_doc, held = row, doc, []
                 held.append(unpack_ids(ids))
             if len(made) > 500:
-                yield pa.record_batch(_results(*zip(*made), path, keep_ids))
+                yield pa.record_batch(_results(*zip(*made), path, names))
                 made = []
         if held:
             made.append((last_doc, repaired(held, known)))
         if made:
-            yield pa.record_batch(_results(*zip(*made), path, keep_ids))
+            yield pa.record_batch(_results(*zip(*made), path, names))
+
+    def open_task(batches):
+        for batch in rows_by_size(batches, 1 << 20, "own_ids"):
+            yield pa.record_batch(_results(batch.column("doc").to_pylist(), [unpack_ids(i) for i in batch.column("own_ids").to_pylist()], path, names))
 
-    split = cut_lineage(rows.mapInArrow(split_task, _KINDS.replace("ids", "own_ids") + "," + out.partition(",")[2]), "chunks")
+    kinds = _KINDS.replace("ids", "own_ids") + ("" if late else "," + out.partition(",")[2])
+    split = cut_lineage(rows.mapInArrow(split_task, kinds), "chunks")
     shared = (split.where(F.col("kind") == CHUNK).groupBy("digest").agg(F.first("body").alias("body"))
               .mapInArrow(encode_task, "digest binary, own_ids binary"))
     refs = split.where(F.col("kind") == SHARED).select("row", "doc", "seq", "digest").join(shared, "digest")
     parts = refs.select("row", "doc", "seq", "own_ids").unionByName(
         split.where(F.col("kind") == OWN).select("row", "doc", "seq", "own_ids"))
     joined = parts.repartition("row").sortWithinPartitions("row", "seq").mapInArrow(join_task, out)
-    return joined.unionByName(split.where(F.col("kind") == WHOLE).select(F.col("doc").alias("doc_id"), *names))
+    whole = split.where(F.col("kind") == WHOLE)
+    return joined.unionByName(whole.select("doc", "own_ids").mapInArrow(open_task, out) if late
+                              else whole.select(F.col("doc").alias("doc_id"), *names))

@@ -89,3 +89,14 @@ def test_chunks_move_with_the_text():
     assert len(chunks[0] & chunks[1]) > 0.95 * len(chunks[0])
     assert plain[-1] == len(text) and max(np.diff([0, *plain])) <= 256 and min(np.diff([0, *plain])[:-1]) >= 32
     assert chunk_ends([text[:5000], text], sizes)[0] == chunk_ends([text[:5000]], sizes)[0]
+
+
+def test_ids_digests_and_text_come_together(spark):
+    rows = odd_documents()
+    found = chunk_bpe.encode_documents(documents(spark, rows), BYTE, digests=True, decoded=True)
+    assert found.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"]
+    found = found.collect()
+    for r in found:
+        assert r.n_tokens * 4 == len(r.ids) and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
+    assert sorted((repr(r.doc_id), r.decoded) for r in found) == sorted((repr(r[0]), r[1] or "") for r in rows)
