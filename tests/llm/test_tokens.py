@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from lakewright.llm import bitplanes, chunk_bpe
 from lakewright.llm.chunking import Sizes, chunk_ends
-from lakewright.llm.encoding import pieces
+from lakewright.llm.encoding import PieceIds, pieces
 
 from .samples import documents, lines, odd_documents
 
@@ -100,3 +100,19 @@ def test_ids_digests_and_text_come_together(spark):
         assert r.n_tokens * 4 == len(r.ids) and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
     assert sorted((repr(r.doc_id), r.decoded) for r in found) == sorted((repr(r[0]), r[1] or "") for r in rows)
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_without_their_marks_give_the_same_ids(path):
+    """Also where pieces are forgotten again, and where case or composition change their length."""
+    odd = ["don't,", "x',", "é,.", "é,.", "İ,", "ﬁ!", "<|endoftext|>", "a<|endoftext|>.", "<|endoftext|", "a\xa0b,", "　x,",
+           "A'S.", "we'll,", "1,000.", "日本,", "x\x85", "ÿ!", "ß?", "ǅ,", "Å,", "Å,", "(hi)", "--", "a…,", "O'Brien's,", " ", "\n", ""]
+    rng = np.random.default_rng(3)
+    texts = [sep.join(rng.choice(odd, rng.integers(0, 9))) for sep in (" ", "", "  ", "\n") for _ in range(300)]
+    known, library = PieceIds(path, path == WORD, limit=60), Tokenizer.from_file(path)
+    for i in range(0, len(texts), 50):
+        bodies = [t.encode() for t in texts[i:i + 50]]
+        expected = [library.encode(t, add_special_tokens=False).ids for t in texts[i:i + 50]]
+        ids, lengths = known.encode(bodies)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == expected
+        assert known.counts(bodies).tolist() == lengths.tolist()
