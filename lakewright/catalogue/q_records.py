@@ -41,7 +41,7 @@ def _(t):
     with old as (select c_mktsegment as partition_key, cast(c_custkey as string) as row_key, c_name as name,
                         cast(c_nationkey as string) as nation, c_custkey from customer where c_custkey % 3 <> 0),
          fresh as (select c_mktsegment as partition_key, cast(c_custkey as string) as row_key,
-                          cast(c_nationkey + 100 as string) as nation, c_custkey from customer where c_custkey % 2 = 0)
+                          cast(c_nationkey + 100 as string) as nation, c_custkey from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0)
     select coalesce(o.partition_key, n.partition_key) as partition_key, coalesce(o.row_key, n.row_key) as row_key,
            concat_ws(';', case when o.name is not null then concat('name=', o.name) end,
                      concat('nation=', coalesce(n.nation, o.nation)),
@@ -52,7 +52,7 @@ def _(t):
         t["customer"].where("c_custkey % 3 <> 0"), F.col("c_mktsegment"), F.col("c_custkey"),
         {"name": F.col("c_name"), "nation": F.col("c_nationkey")})
     fresh = records.entities(
-        t["customer"].where("c_custkey % 2 = 0"), F.col("c_mktsegment"), F.col("c_custkey"),
+        t["customer"].where("c_custkey % 2 = 0 or c_custkey % 3 = 0"), F.col("c_mktsegment"), F.col("c_custkey"),
         {"nation": F.col("c_nationkey") + 100, "touched": F.lit("yes")})
     return shown(records.entity_upsert(old, fresh, ["partition_key", "row_key"], "entity"))
 

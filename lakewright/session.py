@@ -22,6 +22,9 @@ SQL_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+#: Spark removes a query's shuffles when it ends, not when the driver collects its garbage.
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "lakewright", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -64,27 +67,63 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Scratch paths handed out and not removed yet, in order, by application.
+_handed_out: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A new, never reused path below the shared folder."""
-    return f"{_scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{_scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def _scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lakewright/{spark.sparkContext.applicationId}"
 
 
+def scratch_mark(spark: SparkSession) -> int:
+    """To be given to `release_scratch` later on."""
+    return len(_handed_out.get(spark.sparkContext.applicationId, []))
+
+
+def release_scratch(spark: SparkSession, mark: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove the scratch tables written since `mark`, but those that `keep` reads; other frames on them must not be used any more."""
+    paths = _handed_out.get(spark.sparkContext.applicationId, [])
+    read = [] if keep is None else keep.inputFiles()
+    left = []
+    for path in paths[mark:]:
+        name = path.rpartition("/")[2]
+        if any(f"/{name}/" in file for file in read):
+            left.append(path)
+        else:
+            _remove(spark, path)
+    paths[mark:] = left
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove what this application wrote below the shared folder; its frames must not be used any more."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    _remove(spark, _scratch_root(spark))
+    _handed_out.pop(spark.sparkContext.applicationId, None)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut_lineage(df: DataFrame, purpose: str = "step") -> DataFrame:
     """The rows as a written table in the shared folder.
 
     Later plans start from its files, whose sizes are known, and a lost
-    executor costs nothing that was computed before.
+    executor costs nothing that was computed before. The shuffles that led here go at once.
     """
-    path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, purpose)
+    before = spark.conf.get(FREES_SHUFFLES, "false")
+    spark.conf.set(FREES_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREES_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
