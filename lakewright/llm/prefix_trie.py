@@ -25,7 +25,9 @@ from lakewright.session import cut_lineage
 from .mixing import n_tokens
 
 #: Turns in a fragment: at least this, or this share of all; so at most SHARES nodes of one depth lie above the fragments.
-FRAGMENT, SHARES = 1 << 16, 1 << 14
+FRAGMENT, SHARES = 1 << 10, 1 << 14
+#: Turns that are peeled at once, in as many fragments as they make.
+AT_ONCE = 1 << 17
 #: Ids in a block of the ids that are hashed.
 IDS = 4096
 NO_ENDS = hashlib.sha256(b"").hexdigest()
@@ -228,7 +230,7 @@ def _peel_fragments(most: int):
             if batch.num_rows:
                 held.append(batch)
                 n += batch.num_rows
-            if n >= 2 * most:
+            if n >= max(2 * most, AT_ONCE):
                 table = pa.Table.from_batches(held).combine_chunks()
                 ku, kv = (table.column(c).to_numpy() for c in ("ku", "kv"))
                 same = (ku == ku[-1]) & (kv == kv[-1])
