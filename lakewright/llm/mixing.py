@@ -86,12 +86,14 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
     A null source is a source. Documents without an id are dealt by their
     text; equal rows fall into one block. An empty table gives an empty
-    result. The new names may not match columns of `docs`.
+    result. Columns of `docs` with a new name stay beside it; `in_order` takes any names.
     """
     spark = docs.sparkSession
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.when(F.col(key).isNull(), F.col(text))), F.lit(BLOCKS)).cast("int")
-    sizes = cut_lineage(docs.select(F.col(source).alias("s"), block.alias("block"), n_tokens(text).alias("n"))
-                        .groupBy("s", "block").agg(F.sum("n").alias("n")), "blocks").persist()
+    own = F.xxhash64(F.lit(seed), F.col(key), F.when(F.col(key).isNull(), F.col(text)))
+    # The caller's row is one column, so that its names meet none in here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("s"),
+                       F.pmod(own, F.lit(BLOCKS)).cast("int").alias("block"), n_tokens(text).alias("n"))
+    sizes = cut_lineage(rows.groupBy("s", "block").agg(F.sum("n").alias("n")), "blocks")
     # One number per source.
     tokens = {r.s: r.n or 0 for r in sizes.groupBy("s").agg(F.sum("n").alias("n")).collect()}
     mix = solve(tokens, entropy_share, most_passes, budget)
@@ -103,9 +105,20 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     planned = (epochs.withColumn("rank", F.row_number().over(turn)).withColumn("blocks", F.count("*").over(each))
                .withColumn("before", F.sum("n").over(turn) - F.col("n") / 2).withColumn("all", F.sum("n").over(each))
                .where((F.col("epoch") + 1 <= F.col("passes")) | (F.col("before") <= (F.col("passes") - F.col("epoch")) * F.col("all")))
-               .select(F.col("s").alias("_s"), F.col("block").alias("_b"), "epoch",
+               .select(F.col("s").alias("of"), F.col("block").alias("b"), "epoch",
                        ((F.col("epoch") + (F.col("rank") - 0.5) / F.col("blocks")) / F.col("passes")).alias("position")))
-    plan = planned.groupBy("_s", "_b").agg(F.collect_list(F.struct("epoch", "position")).alias("_uses"))
-    placed = docs.withColumn("block", block)
-    return (placed.join(plan, placed[source].eqNullSafe(plan["_s"]) & (placed["block"] == plan["_b"]))
-            .withColumn("_use", F.explode("_uses")).select(*docs.columns, "_use.epoch", "block", "_use.position"))
+    plan = planned.groupBy("of", "b").agg(F.collect_list(F.struct("epoch", "position")).alias("uses"))
+    used = (rows.join(plan, rows["s"].eqNullSafe(plan["of"]) & (rows["block"] == plan["b"]))
+            .select("row", "block", F.explode("uses").alias("use")))
+    return used.select("row.*", F.col("use.epoch").alias("epoch"), "block", F.col("use.position").alias("position"))
+
+
+def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 17, **how) -> DataFrame:
+    """The uses of `mixed` with the columns of `docs` alone, written in the mixture's order: a block is no unit, its rows are spread over tasks by a hash."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    at = {c: names[docs.columns.index(c)] for c in (key, text, how.pop("source", "source"))}
+    key, text, source = at.values()
+    tie = F.xxhash64(F.lit(seed), F.col(key), F.when(F.col(key).isNull(), F.col(text)), "epoch")
+    found = mixed(plain, key, text, source, seed=seed, **how).withColumn("tie", tie)
+    return found.repartitionByRange("position", "tie").sortWithinPartitions("position", "tie").select(*names).toDF(*docs.columns)

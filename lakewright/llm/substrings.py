@@ -229,10 +229,14 @@ def cut_repeats(docs: DataFrame, size: int = 13, key: str = "doc_id", text: str
     All columns stay as they were but `text` and, where there is one, `n_chars`.
     Texts from which nothing is removed are unchanged.
     """
+    # Under names of their own the caller's columns meet none of the operator's.
+    names, columns = [f"c{i}" for i in range(len(docs.columns))], docs.columns
+    place, docs = dict(zip(columns, names)), docs.toDF(*names)
+    key, text, n_chars = place[key], place[text], place.get("n_chars")
     cut = without_repeats(docs, size, key, text)
     cut = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     cut = cut.withColumn(text, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType))
-                             .otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    if n_chars:
+        cut = cut.withColumn(n_chars, F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema[n_chars].dataType))
+                             .otherwise(F.col(n_chars)))
+    return cut.select(*names).toDF(*columns)
