@@ -1,7 +1,9 @@
 """BPE encoding by content-defined chunks: what documents share is encoded once, and the joins are repaired exactly.
 
-A sketch of all chunk digests tells which chunks may occur more than once.
-Documents without such a chunk are encoded where they are read. Of the
+A sketch of all texts' hashes tells which texts may occur more than once. Those
+are brought together first, so each goes on once, and its ids are joined to its uses.
+A sketch of all chunk digests tells which chunks may occur in more than one text.
+Texts without such a chunk are encoded where they are read. Of the
 others only the chunks' digests, each shared chunk's text once, and the ids
 of what lies between them are moved.
 """
@@ -14,13 +16,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lakewright.session import cut_lineage
 
 from .chunking import Sizes, chunk_ends
-from .common import pack_ids, rows_by_size, texts, unpack_ids
+from .common import pack_ids, rows_by_size, texts, unpack_ids, unzstd, zstd
 from .encoding import PieceIds, encoder, tokenizer
 from .sketch import PARTIAL, cells_for, merged, partial_sketch
 
@@ -105,26 +108,20 @@ def _to_first_boundary(ids: np.ndarray, spell: list[bytes]) -> tuple[int, bytes]
         n *= 4
 
 
-_KINDS = "kind int, row long, doc long, seq int, digest binary, ids binary, body binary"
+#: A text: the document's id, or two hashes of a text that may come more than once.
+_KEY = "doc long, ca long, cb long"
+_KINDS = f"kind int, row long, {_KEY}, seq int, digest binary, ids binary, body binary"
 WHOLE, OWN, SHARED, CHUNK = range(4)
 
 
-def _results(docs: list, ids: list[np.ndarray], path: str, wanted: list[str]) -> dict:
-    """doc_id and the wanted columns."""
+#: Digests of a text's ids and of the text decoded from them.
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digests(ids: list[np.ndarray], path: str) -> list[pa.Array]:
     raw = [i.astype("<u4").tobytes() for i in ids]
-    found = {"doc_id": pa.array(docs, pa.int64())}
-    if "ids" in wanted:
-        found["ids"] = pa.array(raw, pa.binary())
-    if "n_tokens" in wanted:
-        found["n_tokens"] = pa.array(map(len, ids), pa.int64())
-        found["ids_sha256"] = pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string())
-    if "decoded_sha256" in wanted or "decoded" in wanted:
-        texts_ = [decode(i, path) for i in ids]
-        if "decoded_sha256" in wanted:
-            found["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts_], pa.string())
-        if "decoded" in wanted:
-            found["decoded"] = pa.array(texts_, pa.string())
-    return found
+    return [pa.array(map(len, ids), pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
+            pa.array([hashlib.sha256(decode(i, path).encode()).hexdigest() for i in ids], pa.string())]
 
 
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str = "doc_id", text: str = "text",
@@ -138,8 +135,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
     count as such. A text that is no valid UTF-8 is encoded with replacement characters.
     """
     spark = docs.sparkSession
-    rows = texts(docs, key, text)
-    n_bytes = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    rows, prepared, refs, n_bytes = _texts_once(texts(docs, key, text))
     width = cells_for(n_bytes // sizes.normal + 1)
 
     def chunks_of(batch):
@@ -148,7 +144,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
 
     def sketch_task(batches):
         held = []
-        for batch in rows_by_size(batches, 1 << 20):
+        for batch in rows_by_size(prepared(batches), 1 << 20):
             held += [xxhash.xxh3_64_intdigest(body[s:e]) for body, ends in zip(*chunks_of(batch)) for s, e in zip([0, *ends], ends)]
             if len(held) >= HELD:
                 yield partial_sketch(np.array(held, np.uint64), width)
@@ -157,23 +153,23 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
             yield partial_sketch(np.array(held, np.uint64), width)
 
     repeated = spark.sparkContext.broadcast(merged(rows.mapInArrow(sketch_task, PARTIAL), width))
-    digests = not keep_ids if digests is None else digests
-    out = ("doc_id long" + ", ids binary" * keep_ids + ", n_tokens long, ids_sha256 string, decoded_sha256 string" * digests
-           + ", decoded string" * decoded)
-    names = [x.split()[0] for x in out.split(", ")][1:]
-    # Ids travel packed and are opened at the end; digests are smaller than they and are made at once.
+    digests_wanted = not keep_ids if digests is None else digests
+    # Digests are made once for each text; ids travel packed, and are opened and decoded at the end.
     late = keep_ids or decoded
+    made = ", own_ids binary" * late + f", {_DIGESTS}" * digests_wanted
+    names = [x.split()[0] for x in made.split(", ")[1:]]
+    known_digests = [n for n in names if n != "own_ids"]
 
     def split_task(batches):
         from pyspark import TaskContext
         known, row, sent = encoder(path, False), TaskContext.get().partitionId() << 32, set()
-        for batch in rows_by_size(batches, 1 << 20):
+        for batch in rows_by_size(prepared(batches), 1 << 20):
             bodies, ends = chunks_of(batch)
             spans = [list(zip([0, *e], e)) for e in ends]
             digests = [xxhash.xxh3_64_intdigest(b[s:e]) for b, own in zip(bodies, spans) for s, e in own]
             shared, at = repeated.value.estimate(np.array(digests, np.uint64)).tolist(), 0
-            whole, parts, chunks = [], [], {}  # (doc, text); [row, doc, seq, digest, text of its own]
-            for doc, body, own in zip(batch.column("doc").to_pylist(), bodies, spans):
+            whole, parts, chunks = [], [], {}  # (key, text); [row, key, seq, digest, text of its own]
+            for doc, body, own in zip(_keys(batch), bodies, spans):
                 marks, at = shared[at:at + len(own)], at + len(own)
                 if not any(marks):
                     whole.append((doc, body))
@@ -196,16 +192,16 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
             own_parts = [p for p in parts if p[3] is None]
             ids, lengths = known.encode([b for _, b in whole] + [p[4] for p in own_parts])
             ids = np.split(ids, np.cumsum(lengths)[:-1]) if len(lengths) else []
-            n, finished = len(whole), {} if late else _results([d for d, _ in whole], ids[:len(whole)], path, names)
-            found = ([(WHOLE, None, d, None, None, pack_ids(i) if late else None, None) for (d, _), i in zip(whole, ids)]
-                     + [(OWN, r, d, q, None, pack_ids(i), None) for (r, d, q, _, _), i in zip(own_parts, ids[n:])]
-                     + [(SHARED, r, d, q, g, None, None) for r, d, q, g, _ in parts if g is not None]
-                     + [(CHUNK, None, None, None, g, None, b) for g, b in chunks.items()])
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            n = len(whole)
+            finished = _digests(ids[:n], path) if digests_wanted else []
+            found = ([(WHOLE, None, *d, None, None, pack_ids(i) if late else None, None) for (d, _), i in zip(whole, ids)]
+                     + [(OWN, r, *d, q, None, pack_ids(i), None) for (r, d, q, _, _), i in zip(own_parts, ids[n:])]
+                     + [(SHARED, r, *d, q, g, None, None) for r, d, q, g, _ in parts if g is not None]
+                     + [(CHUNK, None, None, None, None, None, g, None, b) for g, b in chunks.items()])
+            kinds = (pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.binary(), pa.binary(), pa.binary())
             columns = [pa.array(c, t) for c, t in zip(zip(*found), kinds)]
-            early = [c for c in names if c in finished]
-            done = [pa.concat_arrays([finished[c], pa.nulls(len(found) - n, finished[c].type)]) for c in early]
-            yield pa.record_batch(columns + done, names=["kind", "row", "doc", "seq", "digest", "own_ids", "body", *early])
+            done = [pa.concat_arrays([f, pa.nulls(len(found) - n, f.type)]) for f in finished]
+            yield pa.record_batch(columns + done, names=["kind", "row", "doc", "ca", "cb", "seq", "digest", "own_ids", "body", *known_digests])
 
     def encode_task(batches):
         known = encoder(path, False)
@@ -214,35 +210,104 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
             parts = np.split(ids, np.cumsum(lengths)[:-1])
             yield pa.record_batch({"digest": batch.column("digest"), "own_ids": pa.array(map(pack_ids, parts), pa.binary())})
 
+    def joined_rows(keys, ids):
+        columns = [pa.array(c, pa.int64()) for c in zip(*keys)]
+        return pa.record_batch(columns + [pa.array(map(pack_ids, ids), pa.binary())] * late + (_digests(ids, path) if digests_wanted else []),
+                               names=["doc", "ca", "cb", *names])
+
     def join_task(batches):
-        known, last, held, made = encoder(path, False), None, [], []
+        known, last, held, done = encoder(path, False), None, [], []
         for batch in batches:
-            for row, doc, ids in zip(*(batch.column(c).to_pylist() for c in ("row", "doc", "own_ids"))):
+            for row, doc, ids in zip(batch.column("row").to_pylist(), _keys(batch), batch.column("own_ids").to_pylist()):
                 if row != last:
                     if held:
-                        made.append((last_doc, repaired(held, known)))
+                        done.append((last_doc, repaired(held, known)))
                     last, last_doc, held = row, doc, []
                 held.append(unpack_ids(ids))
-            if len(made) > 500:
-                yield pa.record_batch(_results(*zip(*made), path, names))
-                made = []
+            if len(done) > 500:
+                yield joined_rows(*zip(*done))
+                done = []
         if held:
-            made.append((last_doc, repaired(held, known)))
-        if made:
-            yield pa.record_batch(_results(*zip(*made), path, names))
+            done.append((last_doc, repaired(held, known)))
+        if done:
+            yield joined_rows(*zip(*done))
 
     def open_task(batches):
         for batch in rows_by_size(batches, 1 << 20, "own_ids"):
-            yield pa.record_batch(_results(batch.column("doc").to_pylist(), [unpack_ids(i) for i in batch.column("own_ids").to_pylist()], path, names))
-
-    kinds = _KINDS.replace("ids", "own_ids") + ("" if late else "," + out.partition(",")[2])
+            ids = [unpack_ids(i) for i in batch.column("own_ids").to_pylist()]
+            columns = {"doc_id": batch.column("doc")}
+            if keep_ids:
+                columns["ids"] = pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())
+            columns |= {c: batch.column(c) for c in known_digests}
+            if decoded:
+                columns["decoded"] = pa.array([decode(i, path) for i in ids], pa.string())
+            yield pa.record_batch(columns)
+
+    kinds = _KINDS.replace("ids", "own_ids") + f", {_DIGESTS}" * digests_wanted
     split = cut_lineage(rows.mapInArrow(split_task, kinds), "chunks")
     shared = (split.where(F.col("kind") == CHUNK).groupBy("digest").agg(F.first("body").alias("body"))
               .mapInArrow(encode_task, "digest binary, own_ids binary"))
-    refs = split.where(F.col("kind") == SHARED).select("row", "doc", "seq", "digest").join(shared, "digest")
-    parts = refs.select("row", "doc", "seq", "own_ids").unionByName(
-        split.where(F.col("kind") == OWN).select("row", "doc", "seq", "own_ids"))
-    joined = parts.repartition("row").sortWithinPartitions("row", "seq").mapInArrow(join_task, out)
+    part = ["row", "doc", "ca", "cb", "seq"]
+    parts = split.where(F.col("kind") == SHARED).select(*part, "digest").join(shared, "digest").select(*part, "own_ids").unionByName(
+        split.where(F.col("kind") == OWN).select(*part, "own_ids"))
+    joined = parts.repartition("row").sortWithinPartitions("row", "seq").mapInArrow(join_task, _KEY + made)
     whole = split.where(F.col("kind") == WHOLE)
-    return joined.unionByName(whole.select("doc", "own_ids").mapInArrow(open_task, out) if late
-                              else whole.select(F.col("doc").alias("doc_id"), *names))
+    done = cut_lineage(joined.unionByName(whole.select("doc", "ca", "cb", *names)), "encoded")
+    # A text of very many uses is one row here; adaptive execution splits its uses.
+    uses = refs.join(done.where("ca is not null").drop("doc"), ["ca", "cb"])
+    result = done.where("ca is null").unionByName(uses).select("doc", *names)
+    if not late:
+        return result.withColumnRenamed("doc", "doc_id")
+    return result.mapInArrow(open_task, "doc_id long" + ", ids binary" * keep_ids + f", {_DIGESTS}" * digests_wanted + ", decoded string" * decoded)
+
+
+def _keys(batch: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(batch.column(c).to_pylist() for c in ("doc", "ca", "cb"))))
+
+
+def _texts_once(rows: DataFrame):
+    """Rows `doc`, `ca`, `cb`, `body`, `packed`, for tasks that first pass them through the function beside them; uses of texts that may come again; bytes of all.
+
+    The function leaves `doc` and `body` of texts that come once, and `ca`, `cb` and `body` of each of the others, once.
+    """
+    hashed = rows.select("doc", F.xxhash64("body").alias("ca"), F.xxhash64(F.lit(1), "body").alias("cb"), "body")
+    n, n_bytes = rows.agg(F.count("*"), F.sum(F.octet_length("body"))).first()
+    width = cells_for(n)
+
+    def sketch_task(batches):
+        for batch in batches:
+            yield partial_sketch(batch.column("ca").to_numpy().view(np.uint64), width)
+
+    found = rows.sparkSession.sparkContext.broadcast(merged(hashed.select("ca").mapInArrow(sketch_task, PARTIAL), width))
+
+    def repeated(batch: pa.RecordBatch) -> pa.Array:
+        return pa.array(found.value.estimate(batch.column("ca").to_numpy().view(np.uint64)))
+
+    def prepared(batches):
+        for batch in batches:
+            own = batch.filter(pc.and_(pc.is_null(batch.column("packed")), pc.invert(repeated(batch))))
+            none = pa.nulls(own.num_rows, pa.int64())
+            yield pa.record_batch([own.column("doc"), none, none, own.column("body")], names=["doc", "ca", "cb", "body"])
+            for part in rows_by_size([batch.filter(pc.is_valid(batch.column("packed")))], 1 << 18, "packed"):
+                bodies = [unzstd(b, np.uint8).tobytes() for b in part.column("packed").to_pylist()]
+                yield pa.record_batch([pa.nulls(part.num_rows, pa.int64()), part.column("ca"), part.column("cb"), pa.array(bodies, pa.binary())],
+                                      names=["doc", "ca", "cb", "body"])
+
+    def again(batches):
+        for batch in batches:
+            own = batch.filter(repeated(batch))
+            yield pa.record_batch([own.column("ca"), own.column("cb"), pa.array([zstd(b) for b in map(_bytes, own.column("body"))], pa.binary())],
+                                  names=["ca", "cb", "packed"])
+
+    def uses(batches):
+        for batch in batches:
+            yield batch.filter(repeated(batch))
+
+    packed = hashed.select("ca", "cb", "body").mapInArrow(again, "ca long, cb long, packed binary")
+    distinct = cut_lineage(packed.groupBy("ca", "cb").agg(F.first("packed").alias("packed")), "texts")
+    return (hashed.unionByName(distinct, allowMissingColumns=True), prepared,
+            hashed.select("doc", "ca", "cb").mapInArrow(uses, _KEY), n_bytes or 0)
+
+
+def _bytes(value: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint8)

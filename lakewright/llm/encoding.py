@@ -47,7 +47,7 @@ class PieceIds(dict):
     so pieces are plain words, in lower case unless special tokens may be in the text.
     """
 
-    def __init__(self, path: str, drops_space: bool = False, limit: int = 750_000) -> None:
+    def __init__(self, path: str, drops_space: bool = False, limit: int = 500_000) -> None:
         super().__init__()
         self.path, self.drops_space, self.limit, self.fresh = path, drops_space, limit, []
         self.sizes, self.starts, self.uses = (np.zeros(1024, np.int64) for _ in range(3))
