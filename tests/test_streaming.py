@@ -41,3 +41,32 @@ def test_file_stream_sees_each_file_once(spark, tmp_path):
     names = [n for batch in seen for n in batch]
     assert sorted(names) == ["1.csv", "2.csv", "3.csv", "4.csv"]  # the empty file never shows
     assert len(seen) >= 2
+
+
+def test_overdue_rows_come_from_timers_and_completed_entries_leave_no_state(spark, tmp_path):
+    """One row for each change; the timer speaks once, of entries that are still open."""
+    schema = "event_id long, source string, table_name string, file_name string, increment int, ts timestamp, stage string, rows_read long"
+    start = datetime(2024, 1, 1)
+
+    def at(minutes, event, name, stage, rows=None):
+        return (event, "s", "t", name, 0, start + timedelta(minutes=minutes), stage, rows)
+
+    batches = [
+        [at(0, 1, "open.csv", "NEW"), at(0, 2, "done.csv", "NEW", 5), at(3, 3, "done.csv", "COMPLETED"), at(1, 4, "slow.csv", "NEW")],
+        [at(15, 5, "slow.csv", "STAGED", 7), (None, None, None, None, None, start + timedelta(minutes=95), None, None)],
+        [at(96, 6, "open.csv", "STAGED"), (None, None, None, None, None, start + timedelta(minutes=300), None, None)],
+        [at(301, 7, "slow.csv", "COMPLETED"), at(302, 8, "open.csv", "COMPLETED")]]
+    source, out, offsets = (str(tmp_path / x) for x in ("in", "out", "offsets"))
+    seen = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/part={n}")
+        stream = spark.readStream.schema(schema).parquet(f"{source}/part=*")
+        state.write_updates(state.stage_state(stream, minutes=20), out, offsets).awaitTermination()
+        latest = state.read_updates(spark, out, ["source", "table_name", "file_name", "increment"], ["overdue"]).collect()
+        seen.append({r.file_name: (r.stage, r.rows_read, r.date_completed is not None, r.overdue) for r in latest})
+    assert seen[0] == {"open.csv": ("NEW", None, False, False), "done.csv": ("COMPLETED", 5, True, False), "slow.csv": ("NEW", None, False, False)}
+    assert seen[1]["slow.csv"] == ("STAGED", 7, False, True) and seen[1]["open.csv"][3] and not seen[1]["done.csv"][3]
+    assert seen[2]["open.csv"] == ("STAGED", None, False, True)
+    assert seen[3] == {n: ("COMPLETED", r, True, False) for n, r in (("open.csv", None), ("done.csv", 5), ("slow.csv", 7))}
+    held = spark.read.format("statestore").option("stateVarName", "entry").load(offsets)
+    assert held.count() == 0
