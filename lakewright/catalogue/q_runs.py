@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators import quality
 from ..operators.ledger import latest_stage
+from ..plans.folder import ingest_on_arrival
 from ..plans.ingest import Ingestion
 from ..plans.models import ModelRegistry
 from ..plans.specs import ORDERS, from_dict
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sinks.publish import publish
 from ..sinks.store import TableStore
 from ..sources import extract
-from ..sources.landing import rows_read
+from ..sources.landing import list_files, move_files, rows_read
 from ..sources.layout import Layout
 from ..streaming import landing as stream_landing
 from ..streaming import state
@@ -211,22 +212,31 @@ def _(t):
 
 @query("stream_ingest", f"""
     select file_path, count(*) as rows_read, count(*) filter (where failed = '') as rows_clean,
-           count(*) filter (where failed <> '') as rows_review
+           count(*) filter (where failed <> '') as rows_review, 'COMPLETED' as stage, 'archive' as area
     from ({PER_FILE}) x group by file_path""")
 def _(t):
-    root = landed_months(t)
-    out, checkpoint = scratch_path(t.spark, "tested"), scratch_path(t.spark, "offsets")
-    checks = SPEC.build_tests({"customer": t["customer"]}, scope=("file_path",))
-
-    def handle(batch, batch_id):
-        rows = quality.cast_columns(batch.withColumn("file_path", file_of("file_path")), SPEC.columns, ["file_path"])
-        quality.tag_failures(rows, checks).write.mode("overwrite").parquet(f"{out}/_batch_id={batch_id}")
-
-    source = stream_landing.row_stream(t.spark, f"{root}/raw", SPEC.names)
-    stream_landing.ingest_stream(source, handle, checkpoint).awaitTermination()
-    failed = F.size(quality.FAILED) > 0
-    return t.spark.read.parquet(out).groupBy("file_path").agg(
-        F.count("*").alias("rows_read"), F.count_if(~failed).alias("rows_clean"), F.count_if(failed).alias("rows_review"))
+    """Files as they land, through ledger, archive, review and main table."""
+    root = scratch_path(t.spark, "lake")
+    drop_files(t, root)
+    job = Ingestion(t.spark, TableStore(t.spark, f"{root}/tables"), from_dict(ORDERS)[("sales", "orders")], {"customer": t["customer"]})
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    ingest_on_arrival([job], root, scratch_path(t.spark, "offsets"), lambda: now).awaitTermination()
+    done = job.summary(job.ledger.entries("sales", "orders").where(F.col("increment") == 0))
+    kept = list_files(t.spark, f"{root}/archive/sales/orders").select(
+        F.substring_index("path", "/", -1).alias("file_name"), F.lit("archive").alias("area"))
+    return done.join(kept, "file_name", "left").select(
+        F.concat(F.lit("sales/orders/"), "file_name").alias("file_path"), "rows_read", "rows_clean", "rows_review", "stage", "area")
+
+
+def drop_files(t: Tables, root: str) -> None:
+    """The raw orders as landed files, one per month: `raw/sales/orders/<month>.csv`."""
+    drafts = scratch_path(t.spark, "drafts")
+    t["raw_orders"].withColumn("month", F.regexp_extract("file_path", r"(\d+)\.csv$", 1)).drop("file_path").repartition(
+        "month").write.partitionBy("month").option("header", "true").csv(drafts)
+    plan = list_files(t.spark, drafts).where(F.col("path").endswith(".csv")).select(
+        F.col("path").alias("src"),
+        F.concat(F.lit(f"{root}/raw/sales/orders/"), F.regexp_extract("path", r"month=(\d+)/", 1), F.lit(".csv")).alias("dst"))
+    cut_lineage(move_files(plan), "landed")
 
 
 def events_stream(t: Tables):

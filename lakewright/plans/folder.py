@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..constants import RUN_LIMIT_MINUTES
 from ..operators import ledger
-from ..session import cut_lineage
+from ..session import cut_lineage, time_limit
 from ..sources import landing
 from ..sources.layout import Layout
 from ..streaming.landing import file_stream, ingest_stream
@@ -26,16 +27,22 @@ def landed(spark: SparkSession, root: str, source: str, table: str, increment: i
         "source", "table_name", "file_name", F.lit(increment).alias("increment"), "path")
 
 
+def pending(job: Ingestion, files: DataFrame, increment: int = 0) -> DataFrame:
+    """`files` (entry keys, path), and the entries that an earlier run left open."""
+    spec = job.spec
+    if job.ledger.transitions() is None:
+        return files
+    open_entries = ledger.requeue(job.ledger.entries(spec.source, spec.table)).where(F.col("increment") == increment)
+    waiting = open_entries.select(*KEYS).join(files.select(*KEYS), KEYS, "left_anti")
+    return files.unionByName(waiting.withColumn(
+        "path", F.concat(F.lit(f"raw/{spec.source}/{spec.table}/"), F.col("file_name"))))
+
+
 def ingest_folder(job: Ingestion, root: str, now: Column, run_id: str, increment: int = 0,
-                  stop_after: str | None = None) -> DataFrame:
-    """Ingest the landed files of the job's table and resume entries an earlier run left open."""
+                  stop_after: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Ingest the landed files of the job's table, or those of `files`, and resume entries an earlier run left open."""
     spark, spec, layout = job.spark, job.spec, Layout(root)
-    files = landed(spark, root, spec.source, spec.table, increment)
-    if job.ledger.transitions() is not None:
-        open_entries = ledger.requeue(job.ledger.entries(spec.source, spec.table)).where(F.col("increment") == increment)
-        waiting = open_entries.select(*KEYS).join(files.select(*KEYS), KEYS, "left_anti")
-        files = files.unionByName(waiting.withColumn(
-            "path", F.concat(F.lit(f"raw/{spec.source}/{spec.table}/"), F.col("file_name"))))
+    files = pending(job, landed(spark, root, spec.source, spec.table, increment) if files is None else files, increment)
     raw_dir, archive_dir = (layout.path(c, spec.source, spec.table) for c in ("raw", "archive"))
 
     def archive(batch: DataFrame) -> None:
@@ -61,15 +68,33 @@ def ingest_folder(job: Ingestion, root: str, now: Column, run_id: str, increment
     return job.run(files, read_rows, now, run_id, archive, headers, stop_after)
 
 
+def arrived(batch: DataFrame, source: str, table: str, increment: int = 0) -> DataFrame:
+    """Entry keys and path of the files of one table in a batch of `file_stream`."""
+    folder = f"raw/{source}/{table}"
+    return batch.where(F.col("folder_path").endswith(f"/{folder}")).select(
+        F.lit(source).alias("source"), F.lit(table).alias("table_name"), "file_name", F.lit(increment).alias("increment"),
+        F.concat(F.lit(f"{folder}/"), F.col("file_name")).alias("path")).distinct()
+
+
 def ingest_on_arrival(jobs: list[Ingestion], root: str, checkpoint: str, now: Callable[[], Column],
-                      max_files: int | None = None, available_now: bool = True) -> StreamingQuery:
-    """Ingest files as they land: one stream, one run at a time, all pending files of a table together."""
+                      max_files: int | None = None, available_now: bool = True,
+                      minutes: float = RUN_LIMIT_MINUTES) -> StreamingQuery:
+    """Ingest files as they land: one stream, one run at a time, the files of a batch and a table together.
+
+    A batch whose runs take longer than `minutes` is cancelled and ends the
+    stream; nothing is tried again by itself. The next start gets the same
+    batch, and the ledger says what of it is done: completed entries stay as
+    they are, open ones go on, also those whose files were moved already.
+    """
     spark = jobs[0].spark
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        for job in jobs:
-            folder = f"/raw/{job.spec.source}/{job.spec.table}"
-            if not batch.where(F.col("folder_path").endswith(folder)).isEmpty():
-                ingest_folder(job, root, now(), f"arrival-{batch_id}")
+        with time_limit(spark, minutes * 60):
+            # Once, before any file is moved.
+            files = cut_lineage(batch.select("file_name", "folder_path"), "arrivals")
+            for job in jobs:
+                mine = cut_lineage(pending(job, arrived(files, job.spec.source, job.spec.table)), "pending")
+                if not mine.isEmpty():
+                    ingest_folder(job, root, now(), f"arrival-{batch_id}", files=mine)
 
     return ingest_stream(file_stream(spark, f"{root}/raw", max_files), handle, checkpoint, available_now)

@@ -15,7 +15,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..constants import ENTRY_KEYS
+from ..constants import ABANDONED, ENTRY_KEYS
 from ..operators import ledger, quality
 from ..operators.lists import union_distinct
 from ..operators.ranking import cluster
@@ -92,6 +92,8 @@ class Ingestion:
         self.hooks = hooks or HookRegistry()
         self.ledger = Ledger(store)
         self.tests = spec.build_tests(parents, scope=(INGEST_ID,))
+        #: Ids of abandoned entries whose rows lie in the partitions of this run; None if there are none.
+        self._given_up: DataFrame | None = None
         name = f"{spec.source}/{spec.table}"
         self.staging, self.review, self.main = (f"{area}/{name}" for area in ("staging", "review", "source"))
 
@@ -147,7 +149,7 @@ class Ingestion:
     def _finish(self, entries: DataFrame) -> None:
         self.ledger.compact()
         # Files whose header does not fit wait at NEW; review rows wait for `retry_review`.
-        ledger.assert_completed(entries.where((F.col("stage") != "NEW") & F.col(BATCH).isNotNull()))
+        ledger.assert_completed(entries.where(~F.col("stage").isin("NEW", ABANDONED) & F.col(BATCH).isNotNull()))
         if self.models is not None:
             self.models.propagate(self.spark, self.store, self.spec.source, self.spec.table)
 
@@ -171,8 +173,11 @@ class Ingestion:
         """
         known = cut_lineage(self._entries(), "entries")
         mine = known.join(batch.select(*KEYS).distinct(), KEYS, "left_semi")
-        attempts = mine.where(F.col(BATCH).isNotNull() & (F.col("stage") != "COMPLETED")).select(
+        attempts = mine.where(F.col(BATCH).isNotNull() & ~F.col("stage").isin("COMPLETED", ABANDONED)).select(
             BATCH, "stage").distinct()
+        gone = known.where(F.col("stage") == ABANDONED).join(attempts.select(BATCH).distinct(), BATCH, "left_semi").select(
+            ingest_id().alias(INGEST_ID))
+        self._given_up = None if gone.isEmpty() else gone
         others = known.join(attempts, [BATCH, "stage"], "left_semi").join(
             mine.select(*KEYS), KEYS, "left_anti")
         everyone = mine.unionByName(others).select(*KEYS, "stage", "rows_read", BATCH)
@@ -244,8 +249,10 @@ class Ingestion:
         return entries
 
     def _read(self, area: str, ids: DataFrame) -> DataFrame:
+        """Rows of the partitions that `ids` names, without those of abandoned entries."""
         if self.store.has_appended(area):
-            return self.store.read_batches(area, ids, BATCH)
+            rows = self.store.read_batches(area, ids, BATCH)
+            return rows if self._given_up is None else rows.join(self._given_up, INGEST_ID, "left_anti")
         # Nothing was ever written: no staged rows, or no failing ones.
         columns = ", ".join(f"`{c}` {t}" for c, t in [
             (INGEST_ID, "string"), ("source", "string"), ("table_name", "string"), ("file_name", "string"),
@@ -263,7 +270,8 @@ class Ingestion:
 
         Rows that still fail go back to review under the next increment.
         """
-        keys = cut_lineage(entries.select(*KEYS).distinct(), "review")
+        given_up = self._entries().where(F.col("stage") == ABANDONED).select(*KEYS)
+        keys = cut_lineage(entries.select(*KEYS).distinct().join(given_up, KEYS, "left_anti"), "review")
         name = attempt(run_id)
         rows = self.store.read_appended(self.review, BATCH).join(keys, KEYS, "left_semi")
         fixed = fix(rows.drop(ROW, BATCH, quality.FAILED)).withColumn(INGEST_ID, ingest_id())
@@ -276,6 +284,22 @@ class Ingestion:
             f"{run_id}-STAGED")
         return self.run(keys, lambda _: rows, now, run_id)
 
+    def abandon(self, targets: DataFrame, now: Column, run_id: str) -> DataFrame:
+        """Give up the open entries named by `targets` (row_hash, increment); returns their keys.
+
+        One staging partition holds the rows of many entries. The ledger row is
+        the tombstone: from the next run on the entry's rows are not read any
+        more, and they go with the partition, at once if none of its entries is
+        open, else when the last one is completed.
+        """
+        gone = cut_lineage(ledger.abandon(self._entries(), targets, now), "abandoned")
+        self.ledger.append(gone, f"{run_id}-{ABANDONED}")
+        entries = cut_lineage(self._entries().where(F.col(BATCH).isNotNull()), "entries")
+        alive = ledger.incomplete(entries).select(BATCH).distinct()
+        dead = entries.join(gone.select(*KEYS), KEYS, "left_semi").select(BATCH).distinct().join(alive, BATCH, "left_anti")
+        self.store.drop_ingest(self.staging, dead, BATCH)
+        return gone.select(*KEYS)
+
     # -- results ----------------------------------------------------------
 
     def main_table(self) -> DataFrame:

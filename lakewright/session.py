@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,3 +130,35 @@ def cut_lineage(df: DataFrame, purpose: str = "step") -> DataFrame:
     finally:
         spark.conf.set(FREES_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class RunTimeout(RuntimeError):
+    """Work took longer than it may."""
+
+
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float) -> Iterator[None]:
+    """Cancel the Spark jobs that this thread starts within the block once `seconds` are over, and raise `RunTimeout`."""
+    context, tag = spark.sparkContext, f"limit-{uuid.uuid4().hex}"
+    over, ended = threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not ended.wait(seconds):
+            over.set()
+            # Again and again: the block may be between two jobs.
+            while not ended.wait(0.2):
+                context.cancelJobsWithTag(tag)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    context.addJobTag(tag)
+    watcher.start()
+    try:
+        yield
+    except Exception as error:
+        if over.is_set():
+            raise RunTimeout(f"cancelled after {seconds:g} seconds") from error
+        raise
+    finally:
+        ended.set()
+        watcher.join()
+        context.removeJobTag(tag)

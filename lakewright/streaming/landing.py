@@ -11,8 +11,11 @@ from ..sources.landing import FILE_COLUMNS
 
 
 def file_stream(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
-    """(file_name, folder_path, size) of each non-empty file once, as it appears; content is not read."""
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    """(path, file_name, folder_path, size) of each non-empty file once, as it appears; content is not read.
+
+    A file that was moved before its batch was read (a batch that comes again) is left out.
+    """
+    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return (

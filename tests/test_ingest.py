@@ -202,6 +202,77 @@ def test_files_arriving_as_a_stream(spark, root, now, tmp_path):
     assert main_rows(job) == [*EXPECTED, ("5", "10", "O", "9.00")]
 
 
+def test_a_batch_that_comes_again_goes_on_where_it_stopped(spark, root, now, tmp_path, monkeypatch):
+    """Its files are in the archive by then, so the stream does not find them in their old place."""
+    job, offsets = make_job(spark, root), str(tmp_path / "offsets")
+    original = Ingestion._clean
+
+    def dies(self, *args):
+        original(self, *args)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(Ingestion, "_clean", dies)
+    with pytest.raises(Exception, match="lost"):
+        ingest_on_arrival([job], str(root), offsets, now).awaitTermination()
+    monkeypatch.undo()
+    assert not list((root / "raw/sales/orders").glob("*.csv"))
+    ingest_on_arrival([job], str(root), offsets, lambda: now("2024-02-01 01:00:00")).awaitTermination()
+    check_finished(job, job.ledger.entries().where("increment = 0"))
+
+
+def test_a_batch_that_takes_too_long_is_cancelled_and_ends_the_stream(spark, root, now, tmp_path):
+    job, offsets = make_job(spark, root), str(tmp_path / "offsets")
+
+    @F.udf("boolean")
+    def slow(_):
+        import time
+        time.sleep(120)
+        return True
+
+    job.hooks = HookRegistry()
+    job.hooks.register("sales", "orders")(lambda raw: raw.where(slow("o_orderkey")))
+    with pytest.raises(Exception, match="cancelled after"):
+        ingest_on_arrival([job], str(root), offsets, now, minutes=0.3).awaitTermination()
+    job.hooks = HookRegistry()
+    ingest_on_arrival([job], str(root), offsets, lambda: now("2024-02-01 01:00:00")).awaitTermination()
+    check_finished(job, job.ledger.entries().where("increment = 0"))
+
+
+@pytest.mark.parametrize("stage", ["STAGED", "CLEANED"])
+def test_rows_of_an_abandoned_entry_are_neither_read_nor_kept(spark, root, now, stage):
+    """Both files lie in one staging partition."""
+    job = make_job(spark, root)
+    ingest_folder(job, str(root), now(), "first", stop_after=stage)
+    hashed = job.ledger.entries().withColumn("row_hash", ledger.entry_hash())
+    second = hashed.where("file_name = 'file +[1].csv' and increment = 0")
+    assert job.abandon(second, now("2024-02-01 01:00:00"), "gone").count() == 1
+    assert job.store.has_appended(job.staging)
+    ingest_folder(job, str(root), now("2024-02-01 02:00:00"), "second")
+    assert {r.file_name: r.stage for r in job.ledger.entries().where("increment = 0").collect()} == {
+        "file +[0].csv": "COMPLETED", "file +[1].csv": "ABANDONED"}
+    assert main_rows(job) == [("1", "10", "F", "5.50"), ("2", "11", "O", "6.00")]
+    assert not job.store.has_appended(job.staging)
+
+
+def test_abandoning_all_entries_drops_their_staging_at_once(spark, root, now):
+    job = make_job(spark, root)
+    ingest_folder(job, str(root), now(), "first", stop_after="STAGED")
+    hashed = job.ledger.entries().withColumn("row_hash", ledger.entry_hash())
+    assert job.abandon(hashed, now("2024-02-01 01:00:00"), "gone").count() == 2
+    assert not job.store.has_appended(job.staging)
+    assert job.abandon(hashed, now("2024-02-01 01:30:00"), "again").count() == 0
+
+
+def test_an_abandoned_review_entry_is_not_taken_through_again(spark, root, now):
+    job = make_job(spark, root)
+    ingest_folder(job, str(root), now(), "run")
+    waiting = job.ledger.entries().where("increment = 1")
+    job.abandon(waiting.withColumn("row_hash", ledger.entry_hash()), now("2024-02-01 01:00:00"), "gone")
+    job.retry_review(waiting, lambda rows: rows, now("2024-02-02 00:00:00"), "repair")
+    assert [r.stage for r in job.ledger.entries().where("increment = 1").collect()] == ["ABANDONED"]
+    assert main_rows(job) == EXPECTED
+
+
 def test_specs():
     with pytest.raises(UnknownTable, match="'beta'.*'sales'"):
         get_spec(SPECS, "sales", "beta")
