@@ -131,8 +131,10 @@ def _(t):
     "where type = 'Folder'",
     "where type = 'Folder' and modified >= cast('2024-01-20 00:00:00' as timestamp) - interval '3' day")))
 def _(t):
-    files = t["listing"].select(F.col("source").alias("schema"), F.col("table_name").alias("name"), "type", "modified")
-    return sync.sync(files, t["catalog_tables"], at("2024-01-20 00:00:00"))
+    def listing():
+        return t["listing"].select(F.col("source").alias("schema"), F.col("table_name").alias("name"), "type", "modified")
+
+    return sync.scheduled_sync(t.spark, listing, at("2024-01-20 00:00:00"), catalog=lambda _: t["catalog_tables"])
 
 
 @query("mirror_plan", """

@@ -20,7 +20,7 @@ from ..operators import ledger, quality
 from ..operators.lists import union_distinct
 from ..operators.ranking import cluster
 from ..session import cut_lineage
-from ..sinks.store import INGEST_ID, TableStore
+from ..sinks.store import INGEST_ID, CommitConflict, TableStore
 from ..sources.landing import HookRegistry
 from .models import ModelRegistry
 from .specs import TableSpec
@@ -31,6 +31,7 @@ TEST_LOG = "orchestration/test_results"
 APPEND = "_append"
 BATCH = "_batch"
 ROW = "_row"
+FOLD_ATTEMPTS = 4
 
 # Rows of the given entries: entry keys plus the declared columns as text.
 ReadRows = Callable[[DataFrame], DataFrame]
@@ -74,12 +75,24 @@ class Ledger:
             LEDGER, marked.select(*ledger.LOG_COLUMNS, BATCH, F.lit(attempt(name)).alias(APPEND)), APPEND, gather=False)
 
     def compact(self, target_files: int = 8) -> None:
-        """Fold appended transitions into the base, clustered by source and table."""
-        if not self.store.has_appended(LEDGER):
+        """Fold appended transitions into the base, clustered by source and table; versions before the last two go.
+
+        A run of another table that folds at the same time may commit first:
+        then its version is the base, and what it folded is not folded again.
+        """
+        for left in reversed(range(FOLD_ATTEMPTS)):
+            if not self.store.has_appended(LEDGER):
+                return
+            folded = cut_lineage(self.store.read_appended(LEDGER, APPEND).select(APPEND).distinct(), "folded")
+            try:
+                self.store.write(LEDGER, cluster(self.transitions(), ["source", "table_name"], target_files))
+            except CommitConflict:
+                if not left:
+                    raise
+                continue
+            self.store.drop_ingest(LEDGER, folded, APPEND)
+            self.store.vacuum(LEDGER)
             return
-        folded = cut_lineage(self.store.read_appended(LEDGER, APPEND).select(APPEND).distinct(), "folded")
-        self.store.write(LEDGER, cluster(self.transitions(), ["source", "table_name"], target_files))
-        self.store.drop_ingest(LEDGER, folded, APPEND)
 
 
 class Ingestion:

@@ -91,10 +91,15 @@ def with_retries(job: Callable[[], Result], attempts: int = LISTING_ATTEMPTS, se
 
 
 def scheduled_sync(spark: SparkSession, listing: Callable[[], DataFrame], now: Column, days: int = RECENT_DAYS,
-                   attempts: int = LISTING_ATTEMPTS, seconds: float = RETRY_SECONDS) -> DataFrame:
-    """The scheduled chain as one job: the listing with retries, packed and unpacked again, against the session catalogue."""
+                   attempts: int = LISTING_ATTEMPTS, seconds: float = RETRY_SECONDS,
+                   catalog: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The scheduled chain as one job: the listing with retries, its recent folders, and which of them the catalogue lacks.
+
+    `catalog` gives (db, name) of what is registered for the folders it gets; by default the session catalogue.
+    """
     def listed() -> DataFrame:
         return cut_lineage(folders(recent(listing(), now, days)), "listing")
 
     storage = with_retries(listed, attempts, seconds)
-    return alert_texts(new_tables(storage, catalog_tables(spark, storage)))
+    known = catalog(storage) if catalog else catalog_tables(spark, storage)
+    return alert_texts(new_tables(storage, known))

@@ -218,8 +218,24 @@ class TableStore:
         return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(target)) if n.startswith(f"{BUCKET}="))
 
     def optimize(self, table: str, columns: Sequence[str], target_files: int) -> int:
-        """Rewrite the current version clustered by `columns`."""
-        return self.write(table, cluster(self.read(table), columns, target_files))
+        """Rewrite the current version clustered by `columns`; a table that has buckets keeps them, each clustered by itself.
+
+        `target_files` counts for tables without buckets.
+        """
+        old = self.version(table)
+        commit = self._commit_of(table, old)
+        if not commit["buckets"]:
+            return self.write(table, cluster(self.read(table), columns, target_files))
+        # The directory names the bucket, so the keys of the merge need not be known.
+        bucket = F.regexp_extract(F.col("_metadata.file_path"), f"/{BUCKET}=(\\d+)/", 1).cast("int")
+        rows = self.read(table).withColumn(BUCKET, bucket)
+        name = _folder_name(old + 1)
+        folder = f"{self.path(table)}/{name}"
+        (rows.hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, *columns)
+         .write.partitionBy(BUCKET).parquet(folder))
+        self._commit(table, old + 1, [f"{name}/{d}" for d in self._folders(folder)],
+                     StructType.fromJson(commit["schema"]), commit["buckets"])
+        return old + 1
 
     def vacuum(self, table: str, keep: int = 2) -> None:
         """Drop what only versions before the last `keep` use; not while readers use them."""

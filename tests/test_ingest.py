@@ -125,6 +125,33 @@ def test_ledger_compaction(spark, root, now):
     assert entries.columns
 
 
+def test_folding_keeps_two_versions_and_survives_another_writer(spark, root, now, monkeypatch):
+    from lakewright.sinks.store import CommitConflict
+    job = make_job(spark, root)
+    ingest_folder(job, str(root), now(), "first", stop_after="ARCHIVED")
+    before = job.ledger.entries().count()
+    write, tries = TableStore.write, []
+
+    def beaten(self, table, df):
+        tries.append(table)
+        if len(tries) == 1:
+            write(self, table, df)  # the other writer's fold of the same rows
+            raise CommitConflict("first")
+        return write(self, table, df)
+
+    monkeypatch.setattr(TableStore, "write", beaten)
+    job.ledger.compact(1)
+    monkeypatch.undo()
+    assert len(tries) == 2 and job.ledger.entries().count() == before and not job.store.has_appended(LEDGER)
+    assert job.ledger.transitions().count() == job.ledger.transitions().distinct().count()
+    for n in range(3):
+        job.ledger.append(ledger.advance(job.ledger.entries(), F.lit("STAGED"), now(f"2024-02-0{n + 2} 00:00:00")), f"n{n}")
+        job.ledger.compact(1)
+    assert len(list((root / "lake" / LEDGER / "_commits").glob("0*"))) == 2
+    assert len(list((root / "lake" / LEDGER).glob("v=*"))) == 2
+    assert job.ledger.entries().count() == before
+
+
 def test_header_mismatch_stops_the_file(spark, root, now):
     land(root, "wide.csv", HEADER + ",o_comment\n9,10,F,1.00,2020-01-01,LOW,hello\n")
     land(root, "narrow.csv", "o_custkey,o_orderkey,o_orderstatus,o_totalprice,o_orderdate\n10,8,F,1.00,2020-01-01\n")

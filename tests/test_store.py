@@ -91,6 +91,18 @@ def test_optimize_keeps_rows(spark, store):
     assert store.read("t").count() == 500
 
 
+def test_optimize_keeps_the_buckets(spark, store):
+    store.merge("t", spark.range(1000).selectExpr("id", "cast(id % 7 as string) v"), ["id"], ["v"])
+    store.merge("t", spark.createDataFrame([(5, "new")], "id bigint, v string"), ["id"], ["v"])
+    store.optimize("t", ["v", "id"], 4)
+    before = set(store._parts("t", 3))
+    store.merge("t", spark.createDataFrame([(5, "newer"), (2000, "new")], "id bigint, v string"), ["id"], ["v"])
+    after = set(store._parts("t", 4))
+    assert len(before) == len(after) == 16 and len(after - before) <= 2
+    assert store.read("t").count() == 1001 and store.read("t").where("v = 'newer'").count() == 1
+    assert store.read("t").columns == ["id", "v"]
+
+
 def test_merge_rewrites_touched_buckets_only(spark, store):
     store.merge("t", spark.range(1000).selectExpr("id", "'old' v"), ["id"], ["v"])
     before = set(store._parts("t", 1))
