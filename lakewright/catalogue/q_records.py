@@ -219,14 +219,17 @@ def _(t):
     return merge(t["target_orders"], t["order_updates"], ["o_orderkey"], ["o_totalprice"])
 
 
-@query("scd2_snapshot", """
+VERSIONS = """
     with seen as (select o_custkey, o_orderstatus, o_orderkey, o_orderdate,
                          lag(o_orderstatus) over w as before, row_number() over w as rn
                   from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)),
          versions as (select * from seen where rn = 1 or before <> o_orderstatus)
     select o_custkey, o_orderstatus, o_orderkey, o_orderdate as valid_from,
            lead(o_orderdate) over w as valid_to, lead(o_orderdate) over w is null as is_current
-    from versions window w as (partition by o_custkey order by o_orderdate, o_orderkey)""")
+    from versions window w as (partition by o_custkey order by o_orderdate, o_orderkey)"""
+
+
+@query("scd2_snapshot", VERSIONS)
 def _(t):
     return scd2(t["orders"], ["o_custkey"], ["o_orderstatus"], ["o_orderdate", "o_orderkey"])
 

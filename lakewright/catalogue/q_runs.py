@@ -9,7 +9,9 @@ from ..operators import quality
 from ..operators.ledger import latest_stage
 from ..plans.folder import ingest_on_arrival
 from ..plans.ingest import Ingestion
-from ..plans.models import ModelRegistry
+from ..plans.models import ModelRegistry, document_table
+from ..plans.profiles import Profiles
+from ..plans.snapshots import Snapshot
 from ..plans.specs import ORDERS, from_dict
 from ..session import cut_lineage, scratch_path
 from ..sinks.publish import publish
@@ -21,7 +23,7 @@ from ..streaming import landing as stream_landing
 from ..streaming import state
 from .q_ledger import entries
 from .q_quality import ROW, SPEC, STAGED, TEST_NAMES, staged, tagged_sql, tests
-from .q_records import MERGED
+from .q_records import MERGED, VERSIONS
 from .registry import Tables, query
 
 PER_FILE = tagged_sql("s.file_path, s.o_orderkey")
@@ -164,6 +166,70 @@ def _(t):
     return registry.read(store, "gold/revenue")
 
 
+@query("snapshot_changes", VERSIONS)
+def _(t):
+    snapshot = Snapshot(new_store(t, "history"), "order_status", ["o_custkey"], ["o_orderstatus"], ["o_orderkey"])
+    cuts = [None, "1994-06-01", "1996-01-01", None]
+    for since, before in zip(cuts, cuts[1:]):
+        rows = t["orders"]
+        rows = rows if since is None else rows.where(F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz"))
+        rows = rows if before is None else rows.where(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
+        snapshot.extend(rows, "o_orderdate")
+    return snapshot.history()
+
+
+@query("snapshot_states", """
+    with states as (
+            select c_custkey, timestamp '2024-01-01 00:00:00' as loaded,
+                   case when c_custkey % 5 <> 0 then c_mktsegment end as segment from customer
+            union all select c_custkey, timestamp '2024-02-01 00:00:00',
+                   case when c_custkey % 5 = 0 or c_custkey % 7 <> 0
+                        then case when c_custkey % 3 = 0 then 'MOVED' else c_mktsegment end end from customer
+            union all select c_custkey, timestamp '2024-03-01 00:00:00', c_mktsegment from customer),
+         seen as (select *, lag(segment) over w as before, row_number() over w as rn
+                  from states window w as (partition by c_custkey order by loaded)),
+         changes as (select c_custkey, segment, loaded, lead(loaded) over (partition by c_custkey order by loaded) as until
+                     from seen where rn = 1 or before is distinct from segment)
+    select c_custkey, segment as c_mktsegment, loaded as valid_from, until as valid_to, until is null as is_current
+    from changes where segment is not null""")
+def _(t):
+    snapshot = Snapshot(new_store(t, "history"), "customer", ["c_custkey"], ["c_mktsegment"])
+    moved = F.when(F.col("c_custkey") % 3 == 0, "MOVED").otherwise(F.col("c_mktsegment")).alias("c_mktsegment")
+    # Customers come, change, leave and come back.
+    snapshot.load(t["customer"].where("c_custkey % 5 <> 0"), "2024-01-01 00:00:00")
+    snapshot.load(t["customer"].where("c_custkey % 5 = 0 or c_custkey % 7 <> 0").select("c_custkey", moved), "2024-02-01 00:00:00")
+    snapshot.load(t["customer"], "2024-03-01 00:00:00")
+    return snapshot.history()
+
+
+#: Tables with a column that deals their rows to partitions, as SQL.
+PARTITIONED = {
+    "orders": ("cast(year(o_orderdate) as string)", "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"),
+    "lineitem": ("l_returnflag", "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, "
+                                 "l_linestatus, l_shipdate"),
+    "customer": ("cast(c_nationkey as string)", "c_custkey, c_name, c_acctbal, c_mktsegment"),
+}
+
+
+@query("table_profiles", " union all ".join(
+    f"select '{table}' as table_name, '{column}' as column_name, count(distinct {part}) as partitions, count(*) as rows, "
+    f"count(*) - count({column}) as nulls, cast(min({column}) as string) as min_value, "
+    f"cast(max({column}) as string) as max_value, true as distinct_is_near from {table}"
+    for table, (part, columns) in PARTITIONED.items() for column in columns.split(", ")))
+def _(t):
+    profiles, exact = Profiles(new_store(t, "profiles")), None
+    for table, (part, columns) in PARTITIONED.items():
+        rows = t[table].select(F.expr(part).alias("_part"), *columns.split(", "))
+        profiles.add(table, rows, "_part")
+        counts = document_table(rows.drop("_part"), table, exact=True).select(
+            "table_name", "column_name", F.col("distinct_values").alias("counted"))
+        exact = counts if exact is None else exact.unionByName(counts)
+    # Six standard errors of the sketch.
+    near = F.abs(F.col("distinct_values") - F.col("counted")) <= 6 * 1.04 / 2 ** (profiles.precision / 2) * F.col("counted")
+    return profiles.document().join(exact, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "partitions", "rows", "nulls", "min_value", "max_value", near.alias("distinct_is_near"))
+
+
 @query("publish_results", REVENUE)
 def _(t):
     path = scratch_path(t.spark, "results")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.graph import downstream
 from ..sinks.store import TableStore
@@ -60,12 +60,21 @@ class ModelRegistry:
         return [name for _, _, name in names]
 
 
+#: Types of at most 64 bits a value.
+NARROW = ("boolean", "tinyint", "smallint", "int", "bigint", "date", "timestamp", "timestamp_ntz")
+
+
+def hashable(column: str, kind: str) -> Column:
+    """The column, or its text where it holds maps, which have no hash."""
+    return F.col(f"`{column}`").cast("string") if "map<" in kind else F.col(f"`{column}`")
+
+
 def document_table(df: DataFrame, table: str, columns: Sequence[str] | None = None,
                    exact: bool = False) -> DataFrame:
     """(table_name, column_name, type, rows, nulls, distinct_values, min_value, max_value) per column; lists have no bounds.
 
     One pass over the table with approximate distinct counts; `exact` counts
-    the distinct values in a second aggregation over (column, value).
+    the distinct values in a second aggregation over (column, 128-bit digest of the value).
     """
     names = list(columns or df.columns)
     types = dict(df.dtypes)
@@ -87,10 +96,14 @@ def document_table(df: DataFrame, table: str, columns: Sequence[str] | None = No
         for i, c in enumerate(names)])))
     if not exact:
         return per_column
+    # Two 64-bit hashes stand for a value, so that no text is shuffled; one is enough where it takes a value of 64 bits.
     values = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in names])).alias("p"))
+        F.when(F.col(c).isNotNull(), F.struct(
+            F.lit(c).alias("column_name"), F.xxhash64(F.lit(1), hashable(c, types[c])).alias("a"),
+            (F.lit(0).cast("bigint") if types[c] in NARROW else F.xxhash64(F.lit(2), hashable(c, types[c]))).alias("b")))
+        for c in names])).alias("p")).where("p is not null")
     counts = (
-        values.select("p.*").where(F.col("v").isNotNull()).distinct()
+        values.select("p.*").distinct()
         .groupBy("column_name").agg(F.count("*").alias("distinct_values")))
     return per_column.join(counts, "column_name", "left").select(
         "table_name", "column_name", "type", "rows", "nulls",

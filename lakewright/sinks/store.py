@@ -205,6 +205,17 @@ class TableStore:
         self._commit(table, version, untouched + [f"{name}/{d}" for d in self._folders(folder)], schema, buckets)
         return version
 
+    def read_touched(self, table: str, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """The buckets of a merged table that the keys of `rows` fall into, and no others."""
+        commit = self._commit_of(table, self.version(table))
+        schema = StructType.fromJson(commit["schema"])
+        if not commit["buckets"]:
+            return self._read_parts(table, commit["parts"], schema)
+        typed = fitted(rows, StructType([f for f in schema if f.name in keys]))
+        touched = {r[0] for r in typed.select(self._bucket_of(keys, commit["buckets"])).distinct().collect()}
+        parts = [p for p in commit["parts"] if int(p.rsplit("=", 1)[1]) in touched]
+        return self._read_parts(table, parts, schema) if parts else self.spark.createDataFrame([], schema)
+
     def show_as(self, table: str, view: str) -> None:
         """Make the catalogue's `view` show exactly the current version; repeat it after a commit."""
         commit = self._commit_of(table, self.version(table))
