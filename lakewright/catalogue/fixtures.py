@@ -98,6 +98,26 @@ VIEWS = {
         union all select file_path, 'o_orderdate', case when m = 2 then 'timestamp' else 'date' end from shaped
         union all select file_path, 'o_orderpriority', 'string' from shaped
         union all select file_path, 'o_comment', 'string' from shaped where m = 5""",
+    # Texts whose narrowest type differs from file to file.
+    "order_texts": """
+        select concat('sales/orders/', cast(year(o_orderdate) * 100 + month(o_orderdate) as string), '.csv') as file_path,
+               case when month(o_orderdate) = 3 and o_orderkey % 50 = 0 then concat('A', cast(o_orderkey as string))
+                    else cast(o_orderkey as string) end as o_orderkey,
+               case when month(o_orderdate) = 6 then concat(cast(o_custkey as string), '.5')
+                    when month(o_orderdate) = 7 then cast(o_custkey * 10000000000 as string)
+                    when month(o_orderdate) = 8 then cast(o_custkey % 100 as string)
+                    else cast(o_custkey as string) end as o_custkey,
+               case when month(o_orderdate) = 9 then null when month(o_orderdate) = 10 then 'true' else o_orderstatus end as o_orderstatus,
+               case when month(o_orderdate) = 4 then concat(cast(o_custkey as string), 'e3')
+                    when month(o_orderdate) = 5 then concat(cast(cast(o_totalprice as decimal(18,2)) as string), '125')
+                    when month(o_orderdate) = 11 then concat('-0', cast(cast(o_totalprice as decimal(18,2)) as string))
+                    else cast(cast(o_totalprice as decimal(18,2)) as string) end as o_totalprice,
+               case when month(o_orderdate) = 2 and o_orderkey % 3 = 0
+                    then concat(cast(cast(o_orderdate as date) as string), ' 10:30:00')
+                    when month(o_orderdate) = 12 and o_orderkey % 97 = 0 then '1999-02-30'
+                    else cast(cast(o_orderdate as date) as string) end as o_orderdate,
+               o_orderpriority
+        from <<orders>>""",
     # One declared column per part, some of them broken.
     "declarations": """
         select p_brand as source, p_type as table_name,

@@ -174,6 +174,62 @@ def _(t):
     return quality.compare_schema(t["file_columns"], SPEC.columns, "file_path")
 
 
+def found_sql() -> str:
+    """The narrowest type per file and column; texts are tested one by one, then put together."""
+    texts = " union all ".join(f"select file_path, '{c}' as column_name, {c} as v from <<order_texts>>" for c in SPEC.names)
+    return f"""
+        select file_path, column_name,
+               case when count(v) = 0 then 'void' when bool_and(lower(v) in ('true', 'false')) then 'boolean'
+                    when bool_and(whole and try_cast(v as tinyint) is not null) then 'tinyint'
+                    when bool_and(whole and try_cast(v as smallint) is not null) then 'smallint'
+                    when bool_and(whole and try_cast(v as int) is not null) then 'int'
+                    when bool_and(whole and try_cast(v as bigint) is not null) then 'bigint'
+                    when bool_and(fraction) and max(digits) + max(scale) <= 38
+                         then concat('decimal(', greatest(max(digits) + max(scale), 1), ',', max(scale), ')')
+                    when bool_and(regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?')) then 'double'
+                    when bool_and(length(v) = 10 and try_cast(v as date) is not null) then 'date'
+                    when bool_and(regexp_matches(v, '^[0-9]{{4}}-') and try_cast(v as timestamp) is not null) then 'timestamp'
+                    else 'string' end as column_type,
+               max(digits) as digits, max(scale) as scale
+        from (select *, regexp_full_match(v, '[+-]?[0-9]+') as whole,
+                     regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)?') as fraction,
+                     case when regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)?')
+                          then length(regexp_replace(split_part(v, '.', 1), '^[+-]?0*', '')) end as digits,
+                     case when regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)?')
+                          then length(regexp_replace(split_part(v, '.', 2), '0+$', '')) end as scale
+              from ({texts}) t) x
+        group by file_path, column_name"""
+
+
+@query("found_schema", f"select file_path, column_name, column_type from ({found_sql()}) f")
+def _(t):
+    return quality.found_types(t["order_texts"], SPEC.names, "file_path").select("file_path", "column_name", "column_type")
+
+
+#: The table that the declared orders are loaded into; the day was once declared as text, keys as int.
+OLD_TABLE = (("o_orderkey", "bigint"), ("o_custkey", "int"), ("o_totalprice", "decimal(20,2)"), ("o_orderdate", "string"))
+
+
+@query("compare_schema_table", f"""
+    with found as ({found_sql()}),
+         declared(column_name, want, kept) as (values ('o_orderkey', 'bigint', null), ('o_custkey', 'bigint', 'int'),
+            ('o_orderstatus', 'string', null), ('o_totalprice', 'decimal(18,2)', null), ('o_orderdate', 'date', null),
+            ('o_orderpriority', 'string', null)),
+         judged as (
+            select f.*, d.want, d.kept,
+                   column_type in ('void', want) or want = 'string'
+                   or (want = 'bigint' and column_type in ('tinyint', 'smallint', 'int'))
+                   or (want = 'decimal(18,2)' and digits <= 16 and scale <= 2 and (column_type like '%int' or column_type like 'decimal%')) as fits
+            from found f join declared d on f.column_name = d.column_name)
+    select file_path, column_name,
+           case when not fits then concat('type ', column_type, ' does not fit ', want)
+                else concat('type ', want, ' does not fit ', kept, ' of the table') end as problem
+    from judged where not fits or kept is not null""")
+def _(t):
+    found = quality.found_types(t["order_texts"], SPEC.names, "file_path")
+    return quality.compare_schema(found, SPEC.columns, "file_path", OLD_TABLE)
+
+
 @query("check_source_schema", """
     with d as (select * from <<declarations>>)
     select source, table_name, column_name, 'no column name' as problem from d where coalesce(column_name, '') = ''

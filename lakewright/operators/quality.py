@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -175,25 +176,95 @@ def widens(old: Column, new: Column) -> Column:
     return reduce(or_, [(old == a) & (new == b) for a, b in pairs])
 
 
-def compare_schema(found: DataFrame, declared: Sequence[tuple[str, str]], by: str) -> DataFrame:
+#: Texts that are numbers, days and times, without their range.
+WHOLE, FRACTION = r"^[+-]?[0-9]+$", r"^[+-]?[0-9]+([.][0-9]+)?$"
+FLOATING = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+DAY, TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?$"
+
+
+def found_types(raw: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
+    """(`by`, column_name, column_type, digits, scale): the narrowest type that holds all texts of a column, per file.
+
+    One aggregate over a lattice of types: tinyint, smallint, int, bigint,
+    decimal(p,s), double; date, timestamp; boolean; string, which holds
+    everything; void, where all values are NULL. `digits` before and `scale`
+    behind the point are the most that any number needs.
+    """
+    picks = []
+    for i, c in enumerate(columns):
+        v = F.col(f"`{c}`")
+        whole, fraction = v.rlike(WHOLE), v.rlike(FRACTION)
+        before = F.length(F.regexp_replace(F.split_part(v, F.lit("."), F.lit(1)), "^[+-]?0*", ""))
+        behind = F.length(F.regexp_replace(F.split_part(v, F.lit("."), F.lit(2)), "0+$", ""))
+        day = v.rlike(DAY) & F.expr(f"try_cast(`{c}` as date)").isNotNull()
+        holds = {
+            "boolean": F.lower(v).isin("true", "false"),
+            **{k: whole & F.expr(f"try_cast(`{c}` as {k})").isNotNull() for k in ("tinyint", "smallint", "int", "bigint")},
+            "decimal": fraction, "double": v.rlike(FLOATING), "date": day,
+            "timestamp": day | (v.rlike(TIME) & F.expr(f"try_cast(`{c}` as timestamp_ntz)").isNotNull())}
+        # bool_and leaves NULL out, so a type holds a column if it holds every value that is there.
+        flags = F.struct(*[
+            F.coalesce(F.bool_and(F.when(v.isNotNull(), test)), F.lit(False)).alias(kind) for kind, test in holds.items()])
+        picks.append(F.struct(
+            F.lit(c).alias("column_name"), F.count(v).alias("n"), flags.alias("holds"),
+            F.max(F.when(fraction, before)).alias("digits"), F.max(F.when(fraction, behind)).alias("scale")).alias(f"_{i}"))
+    seen = raw.groupBy(by).agg(*picks).select(by, F.inline(F.array(*[F.col(f"_{i}") for i in range(len(columns))])))
+    number = F.greatest(F.col("digits") + F.col("scale"), F.lit(1))
+    kind = F.when(F.col("n") == 0, F.lit("void"))
+    for name in ("boolean", "tinyint", "smallint", "int", "bigint"):
+        kind = kind.when(F.col(f"holds.{name}"), F.lit(name))
+    kind = (
+        kind.when(F.col("holds.decimal") & (number <= 38), F.format_string("decimal(%d,%d)", number, F.col("scale")))
+        .when(F.col("holds.double"), F.lit("double")).when(F.col("holds.date"), F.lit("date"))
+        .when(F.col("holds.timestamp"), F.lit("timestamp")).otherwise(F.lit("string")))
+    numeric = kind.rlike("int$|^decimal")
+    return seen.select(by, "column_name", kind.alias("column_type"),
+                       F.when(numeric, F.col("digits")).alias("digits"), F.when(numeric, F.col("scale")).alias("scale"))
+
+
+def fits(found: Column, digits: Column, scale: Column, wanted: Column) -> Column:
+    """Whether every value of a found type is one of the wanted type; numbers go by the digits they need."""
+    precision = F.regexp_extract(wanted, r"^decimal\((\d+)", 1).try_cast("int")
+    places = F.regexp_extract(wanted, r",\s*(\d+)\)$", 1).try_cast("int")
+    return (
+        F.when((found == "void") | (found == wanted) | (wanted == "string"), True)
+        .when(wanted.startswith("decimal") & digits.isNotNull(), (digits <= precision - places) & (scale <= places))
+        # A double keeps 15 digits of any number.
+        .when((wanted == "double") & digits.isNotNull(), digits + scale <= 15)
+        .when((found == "timestamp") & (wanted == "timestamp_ntz"), True)
+        .when((found == "date") & (wanted == "timestamp_ntz"), True)
+        .otherwise(widens(found, wanted)))
+
+
+def compare_schema(found: DataFrame, declared: Sequence[tuple[str, str]], by: str,
+                   table: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Differences between columns found per file (`by`, column_name, column_type) and a declaration.
 
     An undeclared column stops ingestion until the declaration is updated. A
     type may widen towards the declared one and must not narrow. With a column
     `position` (from 0) the order has to agree too. Every file is compared as a
     whole: it loses no column to a reader that skips what it does not know.
+
+    `found` may come from `found_types`; then numbers go by the digits that
+    their values need. `table` is the schema of the existing table: a declared
+    type that does not fit it is a problem of every file that has the column.
     """
     wanted = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(t).alias("t")) for c, t in declared])
     names = F.array(*[F.lit(c) for c, _ in declared])
     declared_type = F.get(F.filter(wanted, lambda w: w["c"] == F.col("column_name")), F.lit(0))["t"]
     declared_at = F.array_position(names, F.col("column_name")) - 1
     moved = F.col("position") != declared_at if "position" in found.columns else F.lit(False)
+    sized = [c for c in ("digits", "scale") if c in found.columns]
     typed = found.select(
-        by, "column_name", "column_type", declared_type.alias("_want"), moved.alias("_moved"))
+        by, "column_name", "column_type", *sized, declared_type.alias("_want"), moved.alias("_moved"))
+    kind, want = F.col("column_type"), F.col("_want")
+    same = fits(kind, F.col("digits"), F.col("scale"), want) if sized else (kind == want) | widens(kind, want)
+    refused = unlike_table(declared, table)
+    kept = F.try_element_at(F.create_map(*[F.lit(x) for pair in refused.items() for x in pair]), F.col("column_name")) if refused else F.lit(None)
     problem = (
-        F.when(F.col("_want").isNull(), F.lit("not declared"))
-        .when((F.col("column_type") != F.col("_want")) & ~widens(F.col("column_type"), F.col("_want")),
-              F.concat(F.lit("type "), F.col("column_type"), F.lit(" does not fit "), F.col("_want")))
+        F.when(want.isNull(), F.lit("not declared"))
+        .when(~same, F.concat(F.lit("type "), kind, F.lit(" does not fit "), want))
+        .when(kept.isNotNull(), F.concat(F.lit("type "), want, F.lit(" does not fit "), kept, F.lit(" of the table")))
         .when(F.col("_moved"), F.lit("out of order"))
     )
     present = typed.select(by, "column_name", problem.alias("problem")).where(F.col("problem").isNotNull())
@@ -214,9 +285,25 @@ def table_problems(declared: Sequence[tuple[str, str]], existing: Sequence[tuple
 
     Columns that only one side has are no problem: the table takes new ones, and keeps old ones as NULL.
     """
+    known = dict(declared)
+    return [f"column {name}: {known[name]} does not fit {kept}" for name, kept in unlike_table(declared, existing).items()]
+
+
+def unlike_table(declared: Sequence[tuple[str, str]], existing: Sequence[tuple[str, str]]) -> dict[str, str]:
+    """Declared columns whose type does not fit the table's, with the table's type."""
     known = dict(existing)
-    return [f"column {name}: {kind} does not fit {known[name]}" for name, kind in declared
-            if name in known and kind != known[name] and known[name] not in WIDER.get(kind, ())]
+    return {name: known[name] for name, kind in declared
+            if name in known and kind != known[name] and known[name] not in WIDER.get(kind, ())
+            and not _within(kind, known[name])}
+
+
+def _within(kind: str, wider: str) -> bool:
+    """Whether one decimal type holds another."""
+    sizes = [re.fullmatch(r"decimal\((\d+), ?(\d+)\)", t) for t in (kind, wider)]
+    if None in sizes:
+        return False
+    (p, s), (q, t) = [(int(m[1]), int(m[2])) for m in sizes]
+    return t >= s and q - t >= p - s
 
 
 #: Column types of table declarations; settings declarations use the words of DECLARED_TYPES.
