@@ -118,6 +118,32 @@ VIEWS = {
                     else cast(cast(o_orderdate as date) as string) end as o_orderdate,
                o_orderpriority
         from <<orders>>""",
+    # Nested settings of a customer as a document, some of them broken.
+    "settings_documents": """
+        select c_custkey,
+               case when c_custkey % 101 = 0 then concat('{"name":"', c_name, '"')
+                    else concat('{"name":"', c_name, case when c_custkey % 19 = 0 then 'x' else '' end,
+                                '","tier":"', c_mktsegment, '",', case when c_custkey % 17 = 0 then '"extra":1,' else '' end,
+                                '"limits":{"credit":', cast(cast(c_acctbal as decimal(18,2)) as string),
+                                case when c_custkey % 7 = 0 then '' else concat(',"days":', cast(c_custkey % 30 as string)) end,
+                                '},"contacts":[{"mail":"a@b","phone":{"code":', cast(c_nationkey - 2 as string), '}},{',
+                                case when c_custkey % 13 = 0 then '"mail":null,' else '"mail":"c@d",' end,
+                                case when c_custkey % 23 = 0 then '"phone":"12"' else '"phone":{"code":5}' end, '}]}') end as body
+        from <<customer>>""",
+    # Rules of nested declarations, eight parts an owner; fragments include each other, some of them for ever.
+    "nested_declarations": """
+        with p as (select p_partkey, p_size, p_partkey % 8 as m, p_partkey - p_partkey % 8 as o from <<part>>)
+        select concat('T', cast(o as string)) as owner,
+               case m when 0 then 'a' when 1 then 'a.b' when 2 then 'a.b.*' when 3 then 'a.b.x' when 4 then 'i' when 5 then 'n'
+                      when 6 then 'n.c' else 'z.q' end as path,
+               case when m = 0 then 'map' when m = 1 then 'list' when m = 2 and p_size % 9 = 3 then 'thing'
+                    when m = 4 and o % 32 <> 24 then 'include' when m >= 4 then 'int' else 'str' end as type,
+               m < 2 as required, case when m = 2 then p_size - 3 end as max_length, case when m = 3 then 0 when m = 5 then p_size end as min_value,
+               cast(null as string) as accepted,
+               case when m <> 4 or o % 32 = 24 then null when p_size % 11 = 7 then 'nowhere'
+                    when o % 32 = 16 and p_size % 2 = 0 then concat('T', cast(o - 8 as string))
+                    else concat('T', cast(o + 8 as string)) end as include
+        from p""",
     # One declared column per part, some of them broken.
     "declarations": """
         select p_brand as source, p_type as table_name,

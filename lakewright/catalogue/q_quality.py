@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import quality
+from ..operators import declarations, quality
 from ..plans.specs import ORDERS, from_dict
 from ..sources.landing import HookRegistry, rows_read
 from .registry import query
@@ -245,3 +245,64 @@ def _(t):
               where coalesce(column_name, '') <> '' group by source, table_name, column_name having count(*) > 1""")
 def _(t):
     return quality.check_declarations(t["declarations"])
+
+
+@query("check_nested_declarations", """
+    with recursive r as (select * from <<nested_declarations>>),
+         reach(owner, target) as (
+            select owner, include from r where include is not null
+            union select reach.owner, r.include from reach join r on reach.target = r.owner where r.include is not null),
+         endless as (select distinct a.owner from reach a join reach b on a.target = b.owner and b.owner = b.target),
+         placed as (select r.owner, r.path, h.type as holder, regexp_replace(r.path, '[.][^.]*$', '') as above,
+                           regexp_extract(r.path, '[^.]*$') as name
+                    from r left join r h on h.owner = r.owner and h.path = regexp_replace(r.path, '[.][^.]*$', '')
+                    where r.path like '%.%')
+    select owner, path, 'unknown type' as problem from r where type = 'thing'
+    union all select owner, path, 'negative length' from r where max_length < 0
+    union all select owner, path, 'length on a type other than str' from r where max_length is not null and type <> 'str'
+    union all select owner, path, 'minimum on a type that is not a number' from r where min_value is not null and type <> 'int'
+    union all select owner, path, 'its parent is not declared' from placed where holder is null
+    union all select owner, path, 'its parent holds no fields' from placed where holder not in ('list', 'map', 'include', 'any')
+    union all select owner, path, 'an element of a list has a name' from placed where holder = 'list' and name <> '*'
+    union all select owner, path, 'include of an unknown fragment' from r
+              where type = 'include' and not exists (select 1 from r o where o.owner = r.include)
+    union all select owner, path, 'include never ends' from r where include in (select owner from endless)""")
+def _(t):
+    rules = t["nested_declarations"].withColumn("accepted", F.split("accepted", ";"))
+    return declarations.check_rules(rules)
+
+
+#: Rules of `settings_documents`: three levels, two of them included.
+SETTINGS = [
+    ("settings", "name", "str", True, 18, None, None, None),
+    ("settings", "tier", "enum", True, None, None, ["BUILDING", "MACHINERY", "HOUSEHOLD", "FURNITURE"], None),
+    ("settings", "limits", "map", True, None, None, None, None),
+    ("settings", "limits.credit", "num", False, None, 0, None, None),
+    ("settings", "limits.days", "int", True, None, None, None, None),
+    ("settings", "contacts", "list", False, None, None, None, None),
+    ("settings", "contacts.*", "include", False, None, None, None, "contact"),
+    ("contact", "mail", "str", True, None, None, None, None),
+    ("contact", "phone", "include", True, None, None, None, "phone"),
+    ("phone", "code", "int", True, None, 1, None, None),
+]
+
+
+@query("check_settings", """
+    with fine as (select c_custkey, body from <<settings_documents>> where json_valid(body)),
+         contacts as (select c_custkey, i, json_extract(body, concat('$.contacts[', i, ']')) as c
+                      from fine cross join (values ('0'), ('1')) n(i))
+    select c_custkey, '' as path, 'not a document' as problem from <<settings_documents>> where not json_valid(body)
+    union all select c_custkey, 'name', 'too long' from fine where length(json_extract_string(body, '$.name')) > 18
+    union all select c_custkey, 'tier', 'not an accepted value' from fine
+              where json_extract_string(body, '$.tier') not in ('BUILDING', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE')
+    union all select c_custkey, 'extra', 'not declared' from fine where json_extract(body, '$.extra') is not null
+    union all select c_custkey, 'limits.credit', 'below the minimum' from fine
+              where cast(json_extract_string(body, '$.limits.credit') as double) < 0
+    union all select c_custkey, 'limits.days', 'missing' from fine where json_extract(body, '$.limits.days') is null
+    union all select c_custkey, concat('contacts.', i, '.mail'), 'missing' from contacts where json_extract_string(c, '$.mail') is null
+    union all select c_custkey, concat('contacts.', i, '.phone'), 'str instead of map' from contacts where json_type(c, '$.phone') = 'VARCHAR'
+    union all select c_custkey, concat('contacts.', i, '.phone.code'), 'below the minimum' from contacts
+              where cast(json_extract_string(c, '$.phone.code') as int) < 1""")
+def _(t):
+    rules = t.spark.createDataFrame(SETTINGS, declarations.RULE)
+    return declarations.check_documents(t["settings_documents"], "body", "c_custkey", declarations.resolve(rules, "settings"))
