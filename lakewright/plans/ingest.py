@@ -28,6 +28,7 @@ from .specs import TableSpec
 KEYS = list(ENTRY_KEYS)
 LEDGER = "orchestration/import_file"
 TEST_LOG = "orchestration/test_results"
+CONTENT = "orchestration/content"
 APPEND = "_append"
 BATCH = "_batch"
 ROW = "_row"
@@ -74,6 +75,18 @@ class Ledger:
         self.store.append(
             LEDGER, marked.select(*ledger.LOG_COLUMNS, BATCH, F.lit(attempt(name)).alias(APPEND)), APPEND, gather=False)
 
+    def note_content(self, files: DataFrame, now: Column, name: str) -> None:
+        """Record what landed: entry keys, `digest`, and whether the content was `taken` or had been before."""
+        self.store.append(CONTENT, files.select(
+            *KEYS, "digest", "taken", now.alias("ts"), F.lit(attempt(name)).alias(APPEND)), APPEND, gather=False)
+
+    def content(self, source: str, table: str) -> DataFrame | None:
+        """Landed contents of a table: entry keys, `digest`, `taken`, `ts`."""
+        if not self.store.has_appended(CONTENT):
+            return None
+        return self.store.read_appended(CONTENT, APPEND).drop(APPEND).where(
+            (F.col("source") == source) & (F.col("table_name") == table))
+
     def compact(self, target_files: int = 8) -> None:
         """Fold appended transitions into the base, clustered by source and table; versions before the last two go.
 

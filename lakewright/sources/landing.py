@@ -187,11 +187,11 @@ def rows_read(staged: DataFrame, by: str = "_ingest_id") -> DataFrame:
 
 # --- archiving ----------------------------------------------------------------
 
-def archive_plan(files: DataFrame, archive_root: str, prefix: str = LANDING_PREFIX) -> DataFrame:
-    """(src, dst): every landed file to the same place below the archive."""
+def archive_plan(files: DataFrame, archive_root: str, prefix: str = LANDING_PREFIX, keep: Sequence[str] = ()) -> DataFrame:
+    """(src, dst, `keep`): every landed file to the same place below the archive."""
     below = F.regexp_replace("path", f"^/*{prefix}", "")
     return files.select(F.col("path").alias("src"),
-                        F.concat(F.lit(archive_root.rstrip("/") + "/"), below).alias("dst"))
+                        F.concat(F.lit(archive_root.rstrip("/") + "/"), below).alias("dst"), *keep)
 
 
 def move_files(plan: DataFrame) -> DataFrame:
@@ -220,3 +220,27 @@ def move_files(plan: DataFrame) -> DataFrame:
                         status=[one(s, d) for s, d in zip(batch["src"], batch["dst"])])
 
     return plan.select("src", "dst").mapInPandas(move, "src string, dst string, status string")
+
+
+def content_digests(files: DataFrame) -> DataFrame:
+    """(path, digest): the SHA-256 of each file's bytes, read by the tasks in blocks; NULL for a file that is gone."""
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        from ._files import frame, open_uri
+
+        def one(path: str) -> str | None:
+            files, name = open_uri(path)
+            digest = hashlib.sha256()
+            try:
+                with files.open_input_stream(name, compression=None) as stream:
+                    while block := stream.read(1 << 20):
+                        digest.update(block)
+            except FileNotFoundError:
+                return None
+            return digest.hexdigest()
+
+        for batch in batches:
+            yield frame(path=batch["path"], digest=[one(p) for p in batch["path"]])
+
+    return files.select("path").mapInPandas(hashed, "path string, digest string")
