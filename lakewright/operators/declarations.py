@@ -109,12 +109,13 @@ def check_documents(documents: DataFrame, body: str, by: str, rules: DataFrame)
             "rule", "type", "max_length", "min_value", "accepted", "needs", _up(F.col("rule")).alias("above"),
             _last(F.col("rule")).alias("name")), "rules")
     depth = known.agg(F.max(F.size(F.split("rule", r"\.")))).first()[0] or 0
-    top = needs.where("rule = ''").select(F.col("needs").alias("_needs"))
+    # The required names of the first level, as the declaration lists them.
+    top = needs.where("rule = ''").first()
+    first = F.array(*[F.lit(n) for n in sorted(top["needs"])]) if top else F.lit(None).cast("array<string>")
     parsed = documents.select(by, F.try_parse_json(F.col(body)).alias("v"))
-    start = parsed.join(top, how="left") if not top.isEmpty() else parsed.withColumn("_needs", F.lit(None).cast("array<string>"))
     fine = F.coalesce(_kind(F.col("v")) == "map", F.lit(False))
-    nodes = cut_lineage(start.select(
-        by, F.lit("").alias("path"), F.lit("").alias("rule"), F.lit("map").alias("type"), F.col("_needs").alias("needs"),
+    nodes = cut_lineage(parsed.select(
+        by, F.lit("").alias("path"), F.lit("").alias("rule"), F.lit("map").alias("type"), first.alias("needs"),
         F.when(fine, F.to_json("v")).alias("v")), "nodes")
     found = [nodes.where("v is null").select(by, "path", F.lit("not a document").alias("problem"))]
     nodes = nodes.where("v is not null")
