@@ -11,6 +11,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import DECLARED_TYPES
+from ..session import cut_lineage
 from .keys import absent
 
 FAILED = "_failed_tests"
@@ -89,14 +90,16 @@ def tag_failures(staged: DataFrame, tests: Sequence[Test]) -> DataFrame:
     """Add `_failed_tests`, the names of the tests each row fails.
 
     Row tests are columns of one projection; each key test adds one join with
-    its failing keys, which are few unless the file is broken.
+    its failing keys, which are few unless the file is broken. They are written
+    first: their size is known then, and where it is small the rows
+    are neither shuffled nor sorted, so a task holds keys and no rows.
     """
     rows, flags = staged, []
     for i, test in enumerate(tests):
         if test.failing is not None:
             flags.append(F.when(test.failing, F.lit(test.name)))
             continue
-        marks = _bad_keys(staged, test).select(
+        marks = cut_lineage(_bad_keys(staged, test), "failing_keys").select(
             *[F.col(c).alias(f"_k{i}_{c}") for c in test.columns], F.lit(True).alias(f"_bad{i}"))
         match = [rows[c] == marks[f"_k{i}_{c}"] for c in test.columns]
         rows = rows.join(marks, match, "left")
