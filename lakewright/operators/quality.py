@@ -191,40 +191,56 @@ def found_types(raw: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
     One aggregate over a lattice of types: tinyint, smallint, int, bigint,
     decimal(p,s), double; date, timestamp; boolean; string, which holds
     everything; void, where all values are NULL. `digits` before and `scale`
-    behind the point are the most that any number needs.
+    behind the point are the most that any number needs. Every value is a row
+    of its own, whose types are bits of one number: the code for a row
+    stays short, whatever the number of columns.
     """
-    picks = []
-    for i, c in enumerate(columns):
-        v = F.col(f"`{c}`")
-        whole, fraction = v.rlike(WHOLE), v.rlike(FRACTION)
-        before = F.length(F.regexp_replace(F.split_part(v, F.lit("."), F.lit(1)), "^[+-]?0*", ""))
-        behind = F.length(F.regexp_replace(F.split_part(v, F.lit("."), F.lit(2)), "0+$", ""))
-        day = v.rlike(DAY) & F.expr(f"try_cast(`{c}` as date)").isNotNull()
-        holds = {
-            "boolean": F.lower(v).isin("true", "false"),
-            **{k: whole & F.expr(f"try_cast(`{c}` as {k})").isNotNull() for k in ("tinyint", "smallint", "int", "bigint")},
-            "decimal": fraction, "double": v.rlike(FLOATING), "date": day,
-            "timestamp": day | (v.rlike(TIME) & F.expr(f"try_cast(`{c}` as timestamp_ntz)").isNotNull())}
-        # bool_and leaves NULL out, so a type holds a column if it holds every value that is there.
-        flags = F.struct(*[
-            F.coalesce(F.bool_and(F.when(v.isNotNull(), test)), F.lit(False)).alias(kind) for kind, test in holds.items()])
-        picks.append(F.struct(
-            F.lit(c).alias("column_name"), F.count(v).alias("n"), flags.alias("holds"),
-            F.max(F.when(fraction, before)).alias("digits"), F.max(F.when(fraction, behind)).alias("scale")).alias(f"_{i}"))
-    seen = raw.groupBy(by).agg(*picks).select(by, F.inline(F.array(*[F.col(f"_{i}") for i in range(len(columns))])))
-    number = F.greatest(F.col("digits") + F.col("scale"), F.lit(1))
-    kind = F.when(F.col("n") == 0, F.lit("void"))
+    values = raw.select(by, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("_v")) for c in columns])))
+    v = F.col("_v")
+    # Whole numbers are fractions, and those are floating; the other forms exclude each other.
+    form = (
+        F.when(v.rlike(WHOLE), "whole").when(v.rlike(FRACTION), "fraction").when(v.rlike(FLOATING), "floating")
+        .when(F.lower(v).isin("true", "false"), "boolean").when(v.rlike(DAY), "day").when(v.rlike(TIME), "time"))
+    formed = values.withColumn("_form", form).withColumn(
+        "_n", F.when(F.col("_form") == "whole", v.try_cast("bigint")))
+    form, n = F.col("_form"), F.col("_n")
+    number = _held("decimal", "double")
+    held = (
+        F.when(v.isNull(), None).when(form == "whole", F.when(n.between(-2**7, 2**7 - 1), number + _held("tinyint", "smallint", "int", "bigint"))
+               .when(n.between(-2**15, 2**15 - 1), number + _held("smallint", "int", "bigint"))
+               .when(n.between(-2**31, 2**31 - 1), number + _held("int", "bigint"))
+               .when(n.isNotNull(), number + _held("bigint")).otherwise(number))
+        .when(form == "fraction", number).when(form == "floating", _held("double")).when(form == "boolean", _held("boolean"))
+        .when((form == "day") & v.try_cast("date").isNotNull(), _held("date", "timestamp"))
+        .when((form == "time") & v.try_cast("timestamp_ntz").isNotNull(), _held("timestamp")).otherwise(0))
+    exact = form.isin("whole", "fraction")
+    before = F.length(F.regexp_replace(F.split_part(v, F.lit("."), F.lit(1)), "^[+-]?0*", ""))
+    behind = F.when(form == "whole", 0).otherwise(F.length(F.regexp_replace(F.split_part(v, F.lit("."), F.lit(2)), "0+$", "")))
+    # bit_and leaves NULL out, so a type holds a column if it holds every value that is there.
+    seen = formed.groupBy(by, "column_name").agg(
+        F.bit_and(held).alias("_held"), F.max(F.when(exact, before)).alias("digits"), F.max(F.when(exact, behind)).alias("scale"))
+    digits = F.greatest(F.col("digits") + F.col("scale"), F.lit(1))
+    held, kind = F.col("_held"), F.when(F.col("_held").isNull(), F.lit("void"))
     for name in ("boolean", "tinyint", "smallint", "int", "bigint"):
-        kind = kind.when(F.col(f"holds.{name}"), F.lit(name))
+        kind = kind.when(held.bitwiseAND(_held(name)) > 0, F.lit(name))
     kind = (
-        kind.when(F.col("holds.decimal") & (number <= 38), F.format_string("decimal(%d,%d)", number, F.col("scale")))
-        .when(F.col("holds.double"), F.lit("double")).when(F.col("holds.date"), F.lit("date"))
-        .when(F.col("holds.timestamp"), F.lit("timestamp")).otherwise(F.lit("string")))
+        kind.when((held.bitwiseAND(_held("decimal")) > 0) & (digits <= 38), F.format_string("decimal(%d,%d)", digits, F.col("scale")))
+        .when(held.bitwiseAND(_held("double")) > 0, F.lit("double")).when(held.bitwiseAND(_held("date")) > 0, F.lit("date"))
+        .when(held.bitwiseAND(_held("timestamp")) > 0, F.lit("timestamp")).otherwise(F.lit("string")))
     numeric = kind.rlike("int$|^decimal")
     return seen.select(by, "column_name", kind.alias("column_type"),
                        F.when(numeric, F.col("digits")).alias("digits"), F.when(numeric, F.col("scale")).alias("scale"))
 
 
+#: Types that hold a text, a bit each.
+_BITS = ("boolean", "tinyint", "smallint", "int", "bigint", "decimal", "double", "date", "timestamp")
+
+
+def _held(*kinds: str) -> Column:
+    return F.lit(sum(1 << _BITS.index(k) for k in kinds))
+
+
 def fits(found: Column, digits: Column, scale: Column, wanted: Column) -> Column:
     """Whether every value of a found type is one of the wanted type; numbers go by the digits they need."""
     precision = F.regexp_extract(wanted, r"^decimal\((\d+)", 1).try_cast("int")

@@ -37,3 +37,23 @@ def test_declared_types_against_the_table(spark):
     got = compare_schema(found, declared, "file", table).collect()
     assert [tuple(r) for r in got] == [("f", "a", "type bigint does not fit int of the table")]
     assert table_problems(declared, table) == ["column a: bigint does not fit int"]
+
+
+def test_a_value_is_matched_once_whatever_the_number_of_columns(spark):
+    names = [f"c{i}" for i in range(6)]
+    raw = spark.createDataFrame([("f", *"123456")], "file string, " + ", ".join(f"{c} string" for c in names))
+
+    def matches(columns):
+        return found_types(raw, columns, "file")._jdf.queryExecution().optimizedPlan().toString().lower().count("rlike")
+
+    assert matches(names) == matches(names[:1])
+    assert [(r.column_name, r.column_type) for r in found_types(raw, names, "file").orderBy("column_name").collect()] == [(c, "tinyint") for c in names]
+
+
+def test_forms_with_an_edge(spark):
+    cases = [(["+5", "-0"], "tinyint"), (["5\n"], "tinyint"), (["9223372036854775808"], "decimal(19,0)"), (["-32768"], "smallint"), (["32768"], "int"),
+             (["-2147483649"], "bigint"), ([".5"], "double"), (["5."], "double"), (["true", None], "boolean"), (["2024-01-01 10:30:00.1234567"], "string"),
+             (["10000000000000000000000000000000000000000.5"], "double"), (["2024-01-01", "1"], "string")]
+    rows = [(f"f{i:02d}", v) for i, (values, _) in enumerate(cases) for v in values]
+    got = found_types(spark.createDataFrame(rows, "file string, a string"), ["a"], "file").orderBy("file").collect()
+    assert [r.column_type for r in got] == [kind for _, kind in cases]
