@@ -112,53 +112,65 @@ def check_documents(documents: DataFrame, body: str, by: str, rules: DataFrame)
     # The required names of the first level, as the declaration lists them.
     top = needs.where("rule = ''").first()
     first = F.array(*[F.lit(n) for n in sorted(top["needs"])]) if top else F.lit(None).cast("array<string>")
-    parsed = documents.select(by, F.try_parse_json(F.col(body)).alias("v"))
-    fine = F.coalesce(_kind(F.col("v")) == "map", F.lit(False))
+    # Documents are dealt to all tasks by their keys: a few small files may hold very many of them.
+    parsed = documents.select(by, body).repartition(F.col(by)).select(by, F.col(body).alias("v"), F.try_parse_json(F.col(body)).alias("_parsed"))
+    fine = F.coalesce(F.schema_of_variant("_parsed").startswith("OBJECT"), F.lit(False))
     nodes = cut_lineage(parsed.select(
         by, F.lit("").alias("path"), F.lit("").alias("rule"), F.lit("map").alias("type"), first.alias("needs"),
-        F.when(fine, F.to_json("v")).alias("v")), "nodes")
+        F.when(fine, F.col("v").cast("string")).alias("v")), "nodes")
     found = [nodes.where("v is null").select(by, "path", F.lit("not a document").alias("problem"))]
     nodes = nodes.where("v is not null")
-    for level in range(depth + 1):
-        opened = nodes.withColumn("v", F.parse_json("v"))
-        fields = F.map_filter(F.expr("cast(case when type = 'map' then v end as map<string,variant>)"),
-                              lambda _, v: ~F.is_variant_null(v))
-        found.append(opened.where("needs is not null and type = 'map'").select(
-            by, "path", F.explode(F.array_except("needs", F.map_keys(fields))).alias("_name")).where("_name <> '*'").select(
-            by, F.concat_ws(".", F.nullif(path, F.lit("")), "_name").alias("path"), F.lit("missing").alias("problem")))
-        if level == depth:
-            break
-        elements = F.expr("cast(case when type = 'list' then v end as array<variant>)")
-        entries = F.coalesce(
-            F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), e["key"].alias("name"), e["value"].alias("value"))),
-            F.transform(elements, lambda v, i: F.struct(i.cast("string").alias("key"), F.lit("*").alias("name"), v.alias("value"))))
-        kids = opened.select(by, path.alias("_above"), F.col("rule").alias("_in"), F.explode(entries).alias("e")).select(
+    for _ in range(depth):
+        # A value is opened once a level: its fields or elements, and the names that it lacks, come out as rows together.
+        opened = nodes.withColumn("v", F.parse_json("v")).select(
+            by, "path", "rule", F.when(F.col("type") == "map", F.col("needs")).alias("needs"),
+            F.expr("map_filter(cast(case when type = 'map' then v end as map<string,variant>), (k, w) -> not is_variant_null(w))").alias("fields"),
+            F.expr("cast(case when type = 'list' then v end as array<variant>)").alias("elements"))
+        none = F.lit(None).cast("variant")
+        absent = F.filter(F.array_except("needs", F.map_keys("fields")), lambda n: n != "*")
+        entries = [
+            F.transform(F.map_entries("fields"), lambda e: _entry(e["key"], e["key"], e["value"], False)),
+            F.transform(absent, lambda n: _entry(n, n, none, True)),
+            F.transform("elements", lambda v, i: _entry(i.cast("string"), F.lit("*"), v, False))]
+        empty = F.array().cast("array<struct<key string, name string, value variant, absent boolean>>")
+        kids = opened.select(
+            by, F.col("path").alias("_above"), F.col("rule").alias("_in"),
+            F.explode(F.concat(*[F.coalesce(e, empty) for e in entries])).alias("e")).select(
             by, "_in", F.concat_ws(".", F.nullif(F.col("_above"), F.lit("")), "e.key").alias("path"), F.col("e.name").alias("_name"),
-            F.col("e.value").alias("v"))
+            F.col("e.value").alias("v"), F.col("e.absent").alias("_absent"))
         named, anyone = known.alias("n"), known.where("name = '*'").alias("a")
         ruled = (
             kids.join(named, (F.col("_in") == F.col("n.above")) & (F.col("_name") == F.col("n.name")), "left")
             .join(anyone, (F.col("_in") == F.col("a.above")) & F.col("n.rule").isNull(), "left")
-            .select(by, "path", "v", *[F.coalesce(f"n.{c}", f"a.{c}").alias(c)
-                                       for c in ("rule", "type", "max_length", "min_value", "accepted", "needs")]))
-        judged = cut_lineage(ruled.select(
-            by, "path", "rule", "type", "needs", _problem().alias("problem"),
-            F.when(F.col("type").isin("list", "map"), F.to_json("v")).alias("v")), "nodes")
+            .select(by, "path", "v", "_absent", *[F.coalesce(f"n.{c}", f"a.{c}").alias(c)
+                                                  for c in ("rule", "type", "max_length", "min_value", "accepted", "needs")]))
+        # Each step uses what the one before found for a value, so that it is looked at once.
+        seen = (
+            ruled.withColumn("_json", F.to_json("v")).withColumn("_kind", _kind(F.col("v"), F.col("_json")))
+            .withColumn("_text", F.when(F.col("_kind").isin("map", "list"), F.col("_json")).otherwise(F.expr("try_variant_get(v, '$', 'string')"))))
+        judged = cut_lineage(seen.select(
+            by, "path", "rule", "type", "needs", F.when(F.col("_absent"), F.lit("missing")).otherwise(_problem()).alias("problem"),
+            F.when(F.col("type").isin("list", "map"), F.col("_json")).alias("v")), "nodes")
         found.append(judged.where("problem is not null").select(by, "path", "problem"))
         nodes = judged.where("problem is null and v is not null").drop("problem")
     return reduce(DataFrame.unionByName, found)
 
 
-def _kind(v: Column) -> Column:
-    shape = F.schema_of_variant(v)
+def _entry(key: Column, name: Column, value: Column, absent: bool) -> Column:
+    return F.struct(key.alias("key"), name.alias("name"), value.alias("value"), F.lit(absent).alias("absent"))
+
+
+def _kind(v: Column, json: Column) -> Column:
+    """The word for a value with that JSON text, whose first character tells all but the kinds of numbers."""
+    first = F.substring(json, 1, 1)
     return (
-        F.when(shape.startswith("OBJECT"), "map").when(shape.startswith("ARRAY"), "list").when(shape == "VOID", "null")
-        .when(shape == "STRING", "str").when(shape == "BOOLEAN", "bool").when(shape == "BIGINT", "int").otherwise("num"))
+        F.when(first == "{", "map").when(first == "[", "list").when(first == '"', "str").when(json.isin("true", "false"), "bool")
+        .when(json == "null", "null").when(F.schema_of_variant(v) == "BIGINT", "int").otherwise("num"))
 
 
 def _problem() -> Column:
-    """What is wrong with a value `v` under its rule, first things first."""
-    wanted, kind, text = F.col("type"), _kind(F.col("v")), F.expr("try_variant_get(v, '$', 'string')")
+    """What is wrong with a value `v` of a `_kind` and `_text` under its rule, first things first."""
+    wanted, kind, text = F.col("type"), F.col("_kind"), F.col("_text")
     number = F.expr("try_variant_get(v, '$', 'double')")
     alike = (
         F.when(wanted == "any", True).when(wanted == "enum", kind.isin("str", "int", "num", "bool"))

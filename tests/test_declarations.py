@@ -2,7 +2,9 @@ import json
 
 import pytest
 
+from lakewright.operators import declarations
 from lakewright.operators.declarations import RULE, EndlessInclude, check_documents, check_rules, endless_owners, resolve
+from lakewright.session import cut_lineage
 
 
 def rule(owner, path, kind, required=False, max_length=None, min_value=None, accepted=None, include=None):
@@ -93,3 +95,19 @@ def test_broken_rules(spark):
         ("i", "include of an unknown fragment"), ("j", "include of an unknown fragment"), ("e", "enum without values"), ("t", "unknown type"),
         ("twice", "declared more than once"), ("n", "minimum on a type that is not a number"), ("k", "negative length"),
         ("k", "length on a type other than str")])
+
+
+def test_documents_of_one_file_are_dealt_and_values_looked_at_once(spark, rules, monkeypatch):
+    plans = []
+
+    def stored(df, purpose="step"):
+        plans.append((purpose, df._jdf.queryExecution().optimizedPlan().toString()))
+        return cut_lineage(df, purpose)
+
+    monkeypatch.setattr(declarations, "cut_lineage", stored)
+    docs = spark.createDataFrame([(i, json.dumps(GOOD if i % 2 else {"name": "n"})) for i in range(40)], "id int, body string").coalesce(1)
+    found = check_documents(docs, "body", "id", resolve(rules, "root"))
+    assert {(r.path, r.problem) for r in found.collect()} == {("net", "missing")}
+    nodes = [plan for purpose, plan in plans if purpose == "nodes"]
+    assert "RepartitionByExpression [id" in nodes[0]
+    assert all(plan.count("schema_of_variant") <= 2 for plan in nodes)
