@@ -169,49 +169,57 @@ class Automaton:
         # The start of text is followed by a token as often as there is an end.
         first = grams.at[0][grams.starts[0]]
         end = grams.at[0][grams.starts[0] + grams.sizes[0] - 1]
-        self.width = len(counts[0])
         contexts = [counts[0].copy(), *counts[1:]]
         contexts[0][first] = counts[0][end]
         offsets = np.cumsum([1, *map(len, counts[:-1])])
-        states, words, chances, onward = [np.zeros(self.width, np.int64)], [np.arange(self.width)], [], []
-        fail, weight = [np.zeros(1, np.int64)], [np.zeros(1)]
         below = (counts[0] + 1) / (total + types + 1)
         self.known, self.base = counts[0] > 0, np.log10(below)
-        chances.append(self.base)
-        reached = contexts[0] > 0 if order > 1 else np.zeros(self.width, bool)
-        onward.append(np.where(reached, offsets[0] + np.arange(self.width), 0))
+        reached = contexts[0] > 0 if order > 1 else np.zeros(len(counts[0]), bool)
+        # Arcs are numbered by their n-grams, one order after the other; those never seen are no arcs.
+        seen, chances, onward = [np.ones(len(counts[0]), bool)], [self.base], [np.where(reached, offsets[0] + np.arange(len(counts[0])), 0)]
+        fail, weight, level = [np.zeros(1, np.int64)], [np.zeros(1)], [np.zeros(1, np.int64)]
         for n in range(2, order + 1):
             last, own = grams.last[n - 1], counts[n - 1]
             before, suffix = grams.at[n - 2][last - 1], grams.at[n - 2][last]
             p = (own + strength * below[suffix]) / (contexts[n - 2][before] + strength)
-            seen = own > 0
-            states.append((offsets[n - 2] + before)[seen])
-            words.append(grams.at[0][last][seen])
-            chances.append(np.log10(p[seen]))
-            onward.append((offsets[n - 1] + np.arange(len(own)) if n < order else offsets[n - 2] + suffix)[seen])
+            seen.append(own > 0)
+            chances.append(np.log10(p))
+            onward.append(offsets[n - 1] + np.arange(len(own)) if n < order else offsets[n - 2] + suffix)
             # Failure arcs of the contexts of n - 1 words.
             weight.append(np.log10(strength / (contexts[n - 2] + strength)))
             fail.append(np.zeros(len(contexts[0]), np.int64) if n == 2 else
                         offsets[n - 3] + grams.at[n - 3][grams.last[n - 2]])
+            level.append(np.full(len(contexts[n - 2]), n - 1))
             below = p
-        state, word = np.concatenate(states), np.concatenate(words)
-        self.arcs = dict(zip((state * self.width + word).tolist(), range(len(state))))
-        self.chance, self.onward = np.concatenate(chances).tolist(), np.concatenate(onward).tolist()
-        self.fail, self.weight = np.concatenate(fail).tolist(), np.concatenate(weight).tolist()
+        self.order, self.chance, self.onward = order, np.concatenate(chances), np.concatenate(onward)
+        self.fail, self.weight, self.level = np.concatenate(fail), np.concatenate(weight), np.concatenate(level)
+        firsts = np.cumsum([0, *map(len, counts[:-1])])
+        #: For every order the arc that spells the n-gram which ends at a place, -1 where there is none.
+        self.arcs = np.stack([np.where((at >= 0) & there[at], f + at, -1) for at, there, f in zip(grams.at, seen, firsts)])
         self.start = int(offsets[0] + first) if order > 1 and contexts[0][first] else 0
 
-    def score(self, words: list[int]) -> float:
-        arcs, chance, onward, fail, weight, width = self.arcs, self.chance, self.onward, self.fail, self.weight, self.width
-        state, total = self.start, 0.0
-        for word in words:
-            arc = arcs.get(state * width + word)
-            while arc is None:
-                total += weight[state]
-                state = fail[state]
-                arc = arcs.get(state * width + word)
-            total += chance[arc]
-            state = onward[arc]
-        return total
+    def walk(self, starts: np.ndarray) -> np.ndarray:
+        """For every place the log10 probability of its token; texts begin at `starts`, with a place that is no token.
+
+        All places step at once. The arc that a text takes at a place is the longest one seen
+        there: with an n-gram all its parts have been seen, so the state before it has that context.
+        From the state where the arc before led, failure arcs are followed until a state has an arc.
+        """
+        places = np.arange(self.arcs.shape[1])
+        taken = self.arcs[0].copy()
+        for arcs in self.arcs[1:]:
+            np.copyto(taken, arcs, where=arcs >= 0)
+        state = np.zeros(len(places), np.int64)
+        state[1:] = self.onward[taken[:-1]]
+        state[starts + 1] = self.start
+        found = np.zeros(len(places))
+        for _ in range(self.order - 1):
+            failing = places[self.arcs[self.level[state], places] < 0]
+            found[failing] += self.weight[state[failing]]
+            state[failing] = self.fail[state[failing]]
+        found += self.chance[self.arcs[self.level[state], places]]
+        found[starts] = 0
+        return found
 
 
 def lm_scores(docs: DataFrame, order: int = 2, strength: float = 300.0, key: str = "doc_id", text: str = "text",
@@ -252,13 +260,10 @@ def _scored(row: dict, counts: list[list[np.ndarray]], order: int, total: int, t
     grams = Grams(row, order)
     summed = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in counts]
     automaton = Automaton(grams, summed, total, types, strength)
-    words = grams.at[0]
-    known, base, score = [], [], []
-    for start, size in zip(grams.starts.tolist(), grams.sizes.tolist()):
-        own = words[start + 1:start + size]
-        known.append(int(automaton.known[own].sum()))
-        base.append(float(automaton.base[own].sum()))
-        score.append(automaton.score(own.tolist()))
+    base = automaton.base[grams.at[0]]
+    known = automaton.known[grams.at[0]].astype(np.int64)
+    base[grams.starts], known[grams.starts] = 0, 0
+    known, base, score = (np.add.reduceat(v, grams.starts) for v in (known, base, automaton.walk(grams.starts)))
     return pa.record_batch({
-        "doc_id": grams.docs, "held_out": pa.array(grams.held), "n_tokens": grams.sizes - 1, "n_known": pa.array(known, pa.int64()),
-        "train_tokens": np.full(len(known), total, np.int64), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+        "doc_id": grams.docs, "held_out": pa.array(grams.held), "n_tokens": grams.sizes - 1, "n_known": known,
+        "train_tokens": np.full(len(known), total, np.int64), "base_score": base, "score": score})

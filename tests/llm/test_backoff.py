@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lakewright.llm import backoff
@@ -55,3 +56,35 @@ def test_held_out_texts_gain_from_pairs(spark):
     rows = [(i, " ".join(f"w{(i + j) % 30}" for j in range(50)), None, None, None, None) for i in range(60)]
     found = [r for r in backoff.lm_scores(documents(spark, rows)).collect() if r.held_out]
     assert found and all(r.score > r.base_score for r in found)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_places_step_side_by_side_as_one_text_after_the_other(order):
+    """The walk of all places equals following arcs and failure arcs word by word, with few Python steps."""
+    import sys
+    rng = np.random.default_rng(order)
+    held = [(d, d % 3 == 0, np.concatenate([[backoff.START], rng.integers(3, 30, rng.integers(0, 40), dtype=np.uint64), [backoff.END]])) for d in range(60)]
+    grams = backoff.Grams(backoff._block(0, held).to_pylist()[0], order)
+    total, types = int(grams.counts[0].sum()), int((grams.counts[0] > 0).sum())
+    automaton = backoff.Automaton(grams, grams.counts, total, types, 5.0)
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    sys.settrace(count)
+    try:
+        found = automaton.walk(grams.starts)
+    finally:
+        sys.settrace(None)
+    assert lines < 100
+    for start, size in zip(grams.starts.tolist(), grams.sizes.tolist()):
+        state = automaton.start
+        for place in range(start + 1, start + size):
+            chance = 0.0
+            while (arc := automaton.arcs[automaton.level[state], place]) < 0:
+                chance, state = chance + automaton.weight[state], automaton.fail[state]
+            assert found[place] == pytest.approx(chance + automaton.chance[arc], rel=1e-12)
+            state = automaton.onward[arc]
