@@ -7,6 +7,7 @@ set's rarest shingles are sent, so many that two similar sets have one of them i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
@@ -25,6 +26,8 @@ from .substrings import BYTES, SKETCHED, Windows
 COUNTED, SEGMENT = 22, 1 << 16
 #: Pairs that share one sending of a set.
 SLICE = 64
+#: Nodes that a task remembers as sent; beyond that it may send a set again.
+SENT = 1 << 18
 
 
 def shingle_sets(made: Windows, bodies: list[bytes]) -> list[np.ndarray]:
@@ -50,8 +53,8 @@ def least_overlap(n: int, share: Fraction) -> int:
     return -(-n * share.numerator // share.denominator)
 
 
-def text_sets(docs: DataFrame, key: str, text: str, words: int, share: Fraction) -> DataFrame:
-    """`doc`, `node` (equal sets have equal ones), `n` (shingles) and, where a pair is possible, `hashes`.
+def text_sets(docs: DataFrame, key: str, text: str, words: int, share: Fraction, fingerprint: Callable[[bytes], int]) -> DataFrame:
+    """`doc`, `node` (equal sets have equal ones), `n` (shingles) and, where a pair is possible, `hashes` and `fp`, the text's fingerprint.
 
     hashes: the shingles that may come in other texts. A task sends those of a set once.
     """
@@ -75,21 +78,24 @@ def text_sets(docs: DataFrame, key: str, text: str, words: int, share: Fraction)
     def task(batches):
         made, sent = Windows(words), set()
         for batch in rows_by_size(batches, BYTES):
-            nodes, sizes, hashes = [], [], []
-            for own in shingle_sets(made, batch.column("body").to_pylist()):
+            nodes, sizes, hashes, prints = [], [], [], []
+            bodies = batch.column("body").to_pylist()
+            for body, own in zip(bodies, shingle_sets(made, bodies)):
                 node, shared = xxhash.xxh3_64_intdigest(own.tobytes()), own[repeated.value.estimate(own)]
                 nodes.append(node)
                 sizes.append(len(own))
                 possible = len(own) and len(shared) >= least_overlap(len(own), share) and node not in sent
                 hashes.append(shared.tobytes() if possible else None)
+                prints.append(np.array(fingerprint(body), np.uint64).view(np.int64).item() if possible else None)
                 if possible:
                     sent.add(node)
-            if len(sent) > 1 << 20:
+            if len(sent) > SENT:
                 sent.clear()
             yield pa.record_batch({"doc": batch.column("doc"), "node": np.array(nodes, np.uint64).view(np.int64),
-                                   "n": np.array(sizes, np.int64), "hashes": pa.array(hashes, pa.binary())})
+                                   "n": np.array(sizes, np.int64), "hashes": pa.array(hashes, pa.binary()),
+                                   "fp": pa.array(prints, pa.int64())})
 
-    return rows.mapInArrow(task, "doc long, node long, n long, hashes binary")
+    return rows.mapInArrow(task, "doc long, node long, n long, hashes binary, fp long")
 
 
 def levels(sets: DataFrame) -> np.ndarray:
@@ -166,7 +172,7 @@ def _possible(a: str, b: str, share: Fraction) -> Column:
 def similar(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """Those of the pairs `a`, `b` whose shared part is `share` of all their shingles or more."""
     def task(batches):
-        for batch in batches:
+        for batch in rows_by_size(batches, BYTES, "hashes_a"):
             near = []
             for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "hashes_a", "hashes_b"))):
                 both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
@@ -190,19 +196,20 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     return own.join(sent.drop("slices"), [side, "slice"]).drop("slice")
 
 
-def set_links(sets: DataFrame, share: Fraction) -> DataFrame:
+def set_links(sets: DataFrame, near: DataFrame, share: Fraction) -> DataFrame:
     """`a`, `b`: pairs of similar sets that span every component of `sets` (`node`, `n`, `hashes`).
 
-    First the members of each bucket, the sets that send one shingle, are compared with one of
-    them, which spans nearly all of a group of copies. Then
+    First come the pairs `near`, links of fingerprints, and the members of each bucket, the sets
+    that send one shingle, with one of them; these span nearly all of a group of copies. Then
     all that share a bucket and are not in one component yet, whatever their number.
+    Every pair is decided by its two sets.
     """
     sent = cut_lineage(prefixes(sets, share), "prefixes")
     # Of a group of copies the middle one has the fewest rare shingles of its own.
     first = sent.groupBy("k").agg(F.min(F.struct("at", "node", "n")).alias("b"), F.count("*").alias("many")).where("many > 1")
     stars = (sent.alias("a").join(first, "k").where((F.col("a.node") != F.col("b.node")) & _possible("a", "b", share))
-             .select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct())
-    stars = cut_lineage(stars, "compared")
+             .select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")))
+    stars = cut_lineage(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(stars).distinct(), "compared")
     found = cut_lineage(similar(stars, sets, share), "similar")
     roots = connected_components(found)
     rooted = cut_lineage(sent.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
@@ -214,12 +221,17 @@ def set_links(sets: DataFrame, share: Fraction) -> DataFrame:
     return found.unionByName(similar(cut_lineage(rest, "compared"), sets, share))
 
 
-def similar_sets(docs: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """`doc`, `node`, `component_id`: a row per row of `docs`; the least id reachable over pairs of similar sets."""
+def similar_sets(docs: DataFrame, key: str, text: str, words: int, similarity: float, fingerprint: Callable[[bytes], int],
+                 near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`doc`, `node`, `component_id`: a row per row of `docs`; the least id reachable over pairs of similar sets.
+
+    near: links of `node`s by their `fp`, the fingerprints, as pairs `a`, `b`.
+    """
     share = Fraction(str(similarity))
-    found = cut_lineage(text_sets(docs, key, text, words, share), "sets")
-    sets = cut_lineage(found.where("hashes is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "distinct")
-    roots = connected_components(set_links(sets, share))
+    found = cut_lineage(text_sets(docs, key, text, words, share, fingerprint), "sets")
+    sets = cut_lineage(found.where("hashes is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("fp").alias("fp")), "distinct")
+    links = cut_lineage(near(sets.select("fp", "node")), "near")
+    roots = connected_components(set_links(sets, links, share))
     firsts = found.groupBy("node").agg(F.min("doc").alias("first"))
     rooted = cut_lineage(firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -267,11 +267,12 @@ def _grouped(prints: DataFrame, linked) -> DataFrame:
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of `docs`: doc_id, component_id, for texts whose sets of shingles are similar (shared part of all) by `similarity` or more.
 
-    Every such pair is a link, and no other. Texts so similar differ in about a sixth of the bits
-    of their fingerprints, which other pairs come near too; so the sets themselves
-    are compared. Ids are treated as in `simhash_groups`; texts without words are equal.
+    Every such pair is a link, and no other. Fingerprints are compared as in `simhash_groups`, and
+    their links decided by the sets themselves. Texts just so similar differ in about a sixth of the bits
+    of their fingerprints, which other pairs come near too; so sets that share rare shingles and
+    are not in one group by then are compared as well. Ids are treated as in `simhash_groups`; texts without words are equal.
     """
-    return similar_sets(docs, key, text, words, similarity).select(F.col("doc").alias("doc_id"), "component_id")
+    return similar_sets(docs, key, text, words, similarity, lambda body: _fingerprint(body, words)[0], links).select(F.col("doc").alias("doc_id"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -164,3 +164,27 @@ def test_groups_equal_brute_force(spark):
     rows = [(i, t, None, None, None, None) for i, t in enumerate(texts)]
     found = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, rows)).collect()}
     assert found == dict(enumerate(number))
+
+
+def test_stage_gets_its_links_from_the_fingerprints(spark, monkeypatch):
+    """Texts within three bits meet by their fingerprints, and are decided by their shingles."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(0, 60, 2):
+        own = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows += [(i, " ".join(own), None, None, None, None), (i + 1, " ".join([*own[:-1], "changed"]), None, None, None, None)]
+    asked, compared = [], simhash.links
+
+    def seen(prints, *args):
+        asked.append({r.node: r.fp for r in prints.collect()})
+        found = compared(prints, *args)
+        asked.append([(r.a, r.b) for r in found.collect()])
+        return found
+
+    monkeypatch.setattr(simhash, "links", seen)
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, rows)).collect()}
+    prints, pairs = asked
+    wanted = {simhash._fingerprint(r[1].encode(), 5)[0] for r in rows}
+    assert {fp % 2**64 for fp in prints.values()} == wanted
+    assert pairs and all((prints[a] ^ prints[b]).bit_count() <= 3 or a == b for a, b in pairs)
+    assert found == {r[0]: r[0] - r[0] % 2 for r in rows}
