@@ -31,7 +31,11 @@ SIZES = Sizes(128, 512, 4096)
 #: Chunk digests a task holds before it passes its sketch on.
 HELD = 1 << 21
 #: Digests that a task remembers as sent; beyond that it may send a chunk again.
-SENT = 1 << 20
+SENT = 1 << 18
+#: Pieces that a Python worker keeps the ids of, beside what the stages before left in it.
+PIECES = 200_000
+#: Cells of a sketch for every text or chunk: of those that come once fewer than one in two hundred counts as repeated, and is moved.
+CELLS = 16
 #: A visible ASCII character before a space, tab or line end: pre-tokens, and so tokens, end between them in any text.
 _SURE = re.compile(rb"[\x21-\x7e](?=[ \t\n\r])")
 
@@ -136,7 +140,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
     """
     spark = docs.sparkSession
     rows, prepared, refs, n_bytes = _texts_once(texts(docs, key, text))
-    width = cells_for(n_bytes // sizes.normal + 1)
+    width = cells_for(n_bytes // sizes.normal + 1, CELLS)
 
     def chunks_of(batch):
         bodies = [b.decode("utf-8", "replace").encode() for b in batch.column("body").to_pylist()]
@@ -162,7 +166,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
 
     def split_task(batches):
         from pyspark import TaskContext
-        known, row, sent = encoder(path, False), TaskContext.get().partitionId() << 32, set()
+        known, row, sent = encoder(path, False, PIECES), TaskContext.get().partitionId() << 32, set()
         for batch in rows_by_size(prepared(batches), 1 << 20):
             bodies, ends = chunks_of(batch)
             spans = [list(zip([0, *e], e)) for e in ends]
@@ -204,7 +208,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
             yield pa.record_batch(columns + done, names=["kind", "row", "doc", "ca", "cb", "seq", "digest", "own_ids", "body", *known_digests])
 
     def encode_task(batches):
-        known = encoder(path, False)
+        known = encoder(path, False, PIECES)
         for batch in rows_by_size(batches, 1 << 20):
             ids, lengths = known.encode(batch.column("body").to_pylist())
             parts = np.split(ids, np.cumsum(lengths)[:-1])
@@ -216,7 +220,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
                                names=["doc", "ca", "cb", *names])
 
     def join_task(batches):
-        known, last, held, done = encoder(path, False), None, [], []
+        known, last, held, done = encoder(path, False, PIECES), None, [], []
         for batch in batches:
             for row, doc, ids in zip(batch.column("row").to_pylist(), _keys(batch), batch.column("own_ids").to_pylist()):
                 if row != last:
@@ -272,7 +276,7 @@ def _texts_once(rows: DataFrame):
     """
     hashed = rows.select("doc", F.xxhash64("body").alias("ca"), F.xxhash64(F.lit(1), "body").alias("cb"), "body")
     n, n_bytes = rows.agg(F.count("*"), F.sum(F.octet_length("body"))).first()
-    width = cells_for(n)
+    width = cells_for(n, CELLS)
 
     def sketch_task(batches):
         for batch in batches:

@@ -35,9 +35,9 @@ def tokenizer(path: str):
 
 
 @lru_cache(maxsize=8)
-def encoder(path: str, drops_space: bool) -> "PieceIds":
+def encoder(path: str, drops_space: bool, limit: int = 500_000) -> "PieceIds":
     """One for all tasks of a Python worker."""
-    return PieceIds(path, drops_space)
+    return PieceIds(path, drops_space, limit)
 
 
 class PieceIds(dict):

@@ -116,3 +116,14 @@ def test_words_without_their_marks_give_the_same_ids(path):
         ids, lengths = known.encode(bodies)
         assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == expected
         assert known.counts(bodies).tolist() == lengths.tolist()
+
+
+def test_few_texts_or_chunks_that_come_once_count_as_repeated():
+    import numpy as np
+
+    from lakewright.llm import chunk_bpe, sketch
+    n = 1 << 19
+    hashes = np.random.default_rng(3).integers(0, 2**64, n, dtype=np.uint64)
+    width = sketch.cells_for(n, chunk_bpe.CELLS)
+    rows = [np.packbits(np.bincount(sketch.cells(hashes, row, width), minlength=width) > 1, bitorder="little") for row in range(2)]
+    assert sketch.Repeated(width, rows).estimate(hashes).mean() < 0.005
