@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lakewright.llm import chunk_bpe, mixing, rules, simhash, substrings
-from lakewright.session import cut_lineage, release_scratch, scratch_mark, ship
+from lakewright.session import cut_lineage, release_scratch, scratch_mark, ship, small_batches
 
 #: What scratch tables there were before the stage that ran last.
 _before: dict[str, int] = {}
@@ -23,6 +23,7 @@ def stage(function):
     """A stage, which first removes the inner tables of the one before it: that one's rows are written by now."""
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         own = spark.sparkContext.applicationId
         if own in _before:
             release_scratch(spark, _before[own], keep=docs)

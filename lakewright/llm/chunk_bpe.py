@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from lakewright.session import cut_lineage
 
 from .chunking import Sizes, chunk_ends
-from .common import pack_ids, rows_by_size, texts, unpack_ids, unzstd, zstd
+from .common import gives_back, pack_ids, rows_by_size, texts, unpack_ids, unzstd, zstd
 from .encoding import PieceIds, encoder, tokenizer
 from .sketch import PARTIAL, cells_for, merged, partial_sketch
 
@@ -146,6 +146,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
         bodies = [b.decode("utf-8", "replace").encode() for b in batch.column("body").to_pylist()]
         return bodies, chunk_ends(bodies, sizes, whole_characters=True)
 
+    @gives_back
     def sketch_task(batches):
         held = []
         for batch in rows_by_size(prepared(batches), 1 << 20):
@@ -164,6 +165,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
     names = [x.split()[0] for x in made.split(", ")[1:]]
     known_digests = [n for n in names if n != "own_ids"]
 
+    @gives_back
     def split_task(batches):
         from pyspark import TaskContext
         known, row, sent = encoder(path, False, PIECES), TaskContext.get().partitionId() << 32, set()
@@ -207,6 +209,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
             done = [pa.concat_arrays([f, pa.nulls(len(found) - n, f.type)]) for f in finished]
             yield pa.record_batch(columns + done, names=["kind", "row", "doc", "ca", "cb", "seq", "digest", "own_ids", "body", *known_digests])
 
+    @gives_back
     def encode_task(batches):
         known = encoder(path, False, PIECES)
         for batch in rows_by_size(batches, 1 << 20):
@@ -219,6 +222,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
         return pa.record_batch(columns + [pa.array(map(pack_ids, ids), pa.binary())] * late + (_digests(ids, path) if digests_wanted else []),
                                names=["doc", "ca", "cb", *names])
 
+    @gives_back
     def join_task(batches):
         known, last, held, done = encoder(path, False, PIECES), None, [], []
         for batch in batches:
@@ -236,6 +240,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, key: str
         if done:
             yield joined_rows(*zip(*done))
 
+    @gives_back
     def open_task(batches):
         for batch in rows_by_size(batches, 1 << 20, "own_ids"):
             ids = [unpack_ids(i) for i in batch.column("own_ids").to_pylist()]
@@ -278,6 +283,7 @@ def _texts_once(rows: DataFrame):
     n, n_bytes = rows.agg(F.count("*"), F.sum(F.octet_length("body"))).first()
     width = cells_for(n, CELLS)
 
+    @gives_back
     def sketch_task(batches):
         for batch in batches:
             yield partial_sketch(batch.column("ca").to_numpy().view(np.uint64), width)
@@ -297,6 +303,7 @@ def _texts_once(rows: DataFrame):
                 yield pa.record_batch([pa.nulls(part.num_rows, pa.int64()), part.column("ca"), part.column("cb"), pa.array(bodies, pa.binary())],
                                       names=["doc", "ca", "cb", "body"])
 
+    @gives_back
     def again(batches):
         for batch in batches:
             own = batch.filter(repeated(batch))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import ctypes
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,31 @@ def rows_by_size(batches, limit: int, size: str = "body"):
             start = stop
 
 
+def gives_back(task):
+    """The task, at whose end the memory it has freed goes back to the system.
+
+    Spark keeps a Python worker for the tasks of all later stages, and the allocators of
+    Python and Arrow keep what the largest task of it took.
+    """
+    @wraps(task)
+    def run(batches):
+        yield from task(batches)
+        give_back()
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+@lru_cache
+def _trim():
+    """malloc_trim, which GNU's C library has."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 class Words(dict):
     """Word (bytes) -> place in `hashes`, two 64-bit hashes of each word met so far. Starts anew beyond `limit` words."""
 

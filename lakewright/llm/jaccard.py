@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lakewright.session import cut_lineage
 
-from .common import rows_by_size, texts, unzstd, zstd
+from .common import gives_back, rows_by_size, texts, unzstd, zstd
 from .components import connected_components
 from .sketch import PARTIAL, cells_for, merged, partial_sketch
 from .substrings import BYTES, SKETCHED, Windows
@@ -62,6 +62,7 @@ def text_sets(docs: DataFrame, key: str, text: str, words: int, share: Fraction,
     n_bytes = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     width = cells_for(n_bytes // 6 + 1)
 
+    @gives_back
     def sketch_task(batches):
         made, held, n = Windows(words), [], 0
         for batch in rows_by_size(batches, BYTES):
@@ -75,6 +76,7 @@ def text_sets(docs: DataFrame, key: str, text: str, words: int, share: Fraction,
 
     repeated = docs.sparkSession.sparkContext.broadcast(merged(rows.mapInArrow(sketch_task, PARTIAL), width))
 
+    @gives_back
     def task(batches):
         made, sent = Windows(words), set()
         for batch in rows_by_size(batches, BYTES):
@@ -100,6 +102,7 @@ def text_sets(docs: DataFrame, key: str, text: str, words: int, share: Fraction,
 
 def levels(sets: DataFrame) -> np.ndarray:
     """How common the shingles of a cell are in `sets`: eight steps for every power of two. Always as many cells."""
+    @gives_back
     def send(batches):
         counts = np.zeros(1 << COUNTED, np.int64)
         for batch in batches:
@@ -109,6 +112,7 @@ def levels(sets: DataFrame) -> np.ndarray:
             if part.any():
                 yield pa.record_batch({"segment": pa.array([at], pa.int32()), "counts": pa.array([zstd(part)], pa.binary())})
 
+    @gives_back
     def add(batches):
         last, held = None, None
         for batch in batches:
@@ -145,6 +149,7 @@ def prefixes(sets: DataFrame, share: Fraction) -> DataFrame:
     """
     common = sets.sparkSession.sparkContext.broadcast(levels(sets))
 
+    @gives_back
     def task(batches):
         for batch in rows_by_size(batches, BYTES, "hashes"):
             keys, places = [], []
@@ -171,6 +176,7 @@ def _possible(a: str, b: str, share: Fraction) -> Column:
 
 def similar(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """Those of the pairs `a`, `b` whose shared part is `share` of all their shingles or more."""
+    @gives_back
     def task(batches):
         for batch in rows_by_size(batches, BYTES, "hashes_a"):
             near = []

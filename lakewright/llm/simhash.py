@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lakewright.session import cut_lineage
 
-from .common import rows_by_size, runs, texts
+from .common import gives_back, rows_by_size, runs, texts
 from .components import connected_components
 from .jaccard import similar_sets
 
@@ -33,6 +33,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     words than a shingle make one shingle, none (null, empty) makes zero.
     Equal rows give equal rows.
     """
+    @gives_back
     def task(batches):
         for batch in rows_by_size(batches, 1 << 20):
             found = [_fingerprint(x, words, signed) for x in batch.column("body").to_pylist()]
@@ -109,6 +110,7 @@ def links(prints: DataFrame, radius: int = 3, masks: list[int] | None = None, ag
              .select("t", "k", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), *own_columns))
     bucket = ["t", "k", "i", "j"]
 
+    @gives_back
     def task(batches):
         for group in _whole_groups(batches):
             yield pa.record_batch(forest(*group, radius, agree), names=["a", "b"])

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import runs, unzstd, zstd
+from .common import gives_back, runs, unzstd, zstd
 
 #: Cells in a segment; a segment is the unit of merging.
 SEGMENT = 1 << 20
@@ -24,16 +24,21 @@ def cells_for(values: int, each: int = 4) -> int:
 def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     """The cell of each 64-bit hash in a row of the sketch; the two rows use its two halves."""
     half = hashes >> np.uint64(32) if row == 0 else hashes & np.uint64(0xFFFFFFFF)
-    return (half * np.uint64(width) >> np.uint64(32)).astype(np.uint32)
+    half *= np.uint64(width)
+    half >>= np.uint64(32)
+    return half.astype(np.uint32)
 
 
 def partial_sketch(hashes: np.ndarray, width: int) -> pa.RecordBatch:
     """Segments that hold a cell: those that count one or more, and two or more, as packed places."""
     segments, ones, twos = [], [], []
     for row in range(2):
-        ordered = np.sort(cells(hashes, row, width))
-        starts, ends = runs(ordered)
-        found, more = ordered[starts], ends - starts > 1
+        ordered = cells(hashes, row, width)
+        ordered.sort()
+        # Masks instead of places: a task holds millions of cells.
+        new = np.ones(len(ordered) + 1, bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:-1])
+        found, more = ordered[new[:-1]], ~new[1:][new[:-1]]
         own = found // SEGMENT
         for s, e in zip(*runs(own)):
             segments.append(row * (MOST_CELLS // SEGMENT) + int(own[s]))
@@ -89,6 +94,7 @@ def merged(partials: DataFrame, width: int) -> Repeated:
     Only the bitmaps of repeated cells reach the driver: 2 * width / 8 bytes
     at most, so never more than 2 * MOST_CELLS / 8.
     """
+    @gives_back
     def task(batches):
         last, one, two = None, None, None
         for batch in batches:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import (LAST_ID, Words, longs, odd_numbers, pack_longs, pack_sorted, rows_by_size, runs, share_of,
+from .common import (LAST_ID, Words, gives_back, longs, odd_numbers, pack_longs, pack_sorted, rows_by_size, runs, share_of,
                      shuffle_parts, texts, unpack_longs, unpack_sorted, unzstd, zstd)
 from .sketch import PARTIAL, cells_for, merged, partial_sketch
 
@@ -66,6 +66,7 @@ def repeated_windows(docs: DataFrame, size: int, shares: int, key: str = "doc_id
     windows = n_bytes // 6 + 1
     width = cells_for(windows)
 
+    @gives_back
     def sketch_task(batches):
         made, held, n = Windows(size), [], 0
         for batch in rows_by_size(batches, BYTES):
@@ -80,6 +81,7 @@ def repeated_windows(docs: DataFrame, size: int, shares: int, key: str = "doc_id
     repeated = spark.sparkContext.broadcast(merged(bodies.mapInArrow(sketch_task, PARTIAL), width))
     buckets = max(shuffle_parts(spark), windows // HELD)
 
+    @gives_back
     def pick_task(batches):
         made, held, n = Windows(size), [], 0
         for batch in rows_by_size(batches, BYTES):
@@ -93,6 +95,7 @@ def repeated_windows(docs: DataFrame, size: int, shares: int, key: str = "doc_id
         if n:
             yield _packed(held, buckets)
 
+    @gives_back
     def group_task(batches):
         last, held = None, []
         for batch in batches:
@@ -163,6 +166,7 @@ def without_repeats(docs: DataFrame, size: int = 13, key: str = "doc_id", text:
     out = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields),
                      "n_words long", "n_removed long", "kept string"])
 
+    @gives_back
     def task(batches):
         made, part, gone = Windows(size), None, Gone()
         for batch in rows_by_size(batches, BYTES, text):

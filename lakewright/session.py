@@ -29,6 +29,10 @@ SQL_CONF = {
 FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of an Arrow batch on its way to Python. Spark's own limits are rows, 10,000, and 256 MB, which a batch of long texts or of pairs of sets reaches.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def build_session(app: str = "lakewright", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -40,6 +44,7 @@ def build_session(app: str = "lakewright", master: str | None = None, **conf: st
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once per application: tasks import it wherever the driver was started."""
+    small_batches(spark)
     context, package = spark.sparkContext, Path(__file__).resolve().parent
     name = f"{package.name}-{context.applicationId}.zip"
     if not any(name in str(path) for path in context._python_includes):
@@ -51,6 +56,12 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that tasks send to Python, unless the session has a limit of its own."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, BATCH)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`.
 
