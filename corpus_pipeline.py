@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lakewright.llm import chunk_bpe, mixing, rules, simhash, substrings
+from lakewright.llm.common import give_back
 from lakewright.session import cut_lineage, release_scratch, scratch_mark, ship, small_batches
 
 #: What scratch tables there were before the stage that ran last.
@@ -28,6 +29,7 @@ def stage(function):
         if own in _before:
             release_scratch(spark, _before[own], keep=docs)
         _before[own] = scratch_mark(spark)
+        give_back()
         return function(spark, docs, sf_dir)
     return run_stage
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import gives_back, runs, unzstd, zstd
+from .common import give_back, gives_back, runs, unzstd, zstd
 
 #: Cells in a segment; a segment is the unit of merging.
 SEGMENT = 1 << 20
@@ -114,6 +114,7 @@ def merged(partials: DataFrame, width: int) -> Repeated:
     for segment, twos in found.toLocalIterator():
         row, own = divmod(segment, MOST_CELLS // SEGMENT)
         rows[row][own * SEGMENT // 8:(own + 1) * SEGMENT // 8] = unzstd(bytes(twos), np.uint8)
+    give_back()
     return Repeated(width, rows)
 
 
